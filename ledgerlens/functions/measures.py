@@ -26,8 +26,12 @@ class Part:
 PARTS: dict[str, Part] = {
     "p_rows": Part(lambda: F.count(F.lit(1)), F.sum),
     "p_amounts": Part(lambda: F.count("amount_usd"), F.sum),
-    "p_value": Part(lambda: F.sum("amount_usd"), F.sum),
-    "p_squares": Part(lambda: F.sum(F.col("amount_usd") * F.col("amount_usd")), F.sum),
+    "p_units": Part(lambda: exact.value_sums(F.col("row_cents"))[0], F.sum),
+    "p_cents": Part(lambda: exact.value_sums(F.col("row_cents"))[1], F.sum),
+    "p_square_low": Part(lambda: exact.square_sums()[0], F.sum),
+    "p_square_middle": Part(lambda: exact.square_sums()[1], F.sum),
+    "p_square_high": Part(lambda: exact.square_sums()[2], F.sum),
+    "p_square_large": Part(lambda: exact.square_sums()[3], F.sum),
     "p_least": Part(lambda: F.min("amount_usd"), F.min),
     "p_most": Part(lambda: F.max("amount_usd"), F.max),
     "p_flagged": Part(lambda: F.sum("is_flagged"), F.sum),
@@ -43,35 +47,43 @@ class Measure:
     build: Callable[..., Column]
 
 
-def _money(amount: Column) -> Column:
-    return amount.cast("double")
+VALUE = ("p_units", "p_cents")
+SQUARES = ("p_square_low", "p_square_middle", "p_square_high", "p_square_large")
+MOMENTS = ("p_amounts", *VALUE, *SQUARES)
 
 
-def _average(value: Column, amounts: Column) -> Column:
-    return exact.mean_hundredths(exact.total_hundredths(value), amounts) / F.lit(100.0)
+def moments(amounts: Column, units: Column, cents: Column, *squares: Column) -> tuple[Column, Column, Column]:
+    """Count, sum and sum of squares of amounts in hundredths, from the parts named in MOMENTS."""
+    return amounts, exact.total_hundredths(units, cents), exact.total_squares(*squares)
 
 
-def _deviation(amounts: Column, value: Column, squares: Column) -> Column:
-    total = exact.total_hundredths(value)
-    return exact.deviation_hundredths(amounts, total, square_hundredths(squares)) / F.lit(100.0)
+def _same(column: Column) -> Column:
+    return column
 
 
-def square_hundredths(square_sum: Column) -> Column:
-    """A sum of squared amounts in squared hundredths."""
-    return (square_sum * 10000).cast(exact.WHOLE)
+def _amount(column: Column) -> Column:
+    return column.cast("double")
 
 
-def _same(column: Column) -> Column:
-    return column
+def _value(units: Column, cents: Column) -> Column:
+    return exact.total_hundredths(units, cents).cast("double") / F.lit(100.0)
+
+
+def _average(amounts: Column, units: Column, cents: Column) -> Column:
+    return exact.mean_hundredths(exact.total_hundredths(units, cents), amounts) / F.lit(100.0)
+
+
+def _deviation(*parts: Column) -> Column:
+    return exact.deviation_hundredths(*moments(*parts)) / F.lit(100.0)
 
 
 MEASURES: dict[str, Measure] = {
     "total_transactions": Measure(("p_rows",), _same),
-    "total_value_usd": Measure(("p_value",), _money),
-    "average_amount_usd": Measure(("p_value", "p_amounts"), _average),
-    "min_transaction_usd": Measure(("p_least",), _money),
-    "max_transaction_usd": Measure(("p_most",), _money),
-    "spend_volatility": Measure(("p_amounts", "p_value", "p_squares"), _deviation),
+    "total_value_usd": Measure(VALUE, _value),
+    "average_amount_usd": Measure(("p_amounts", *VALUE), _average),
+    "min_transaction_usd": Measure(("p_least",), _amount),
+    "max_transaction_usd": Measure(("p_most",), _amount),
+    "spend_volatility": Measure(MOMENTS, _deviation),
     "flagged_count": Measure(("p_flagged",), _same),
     "flagged_percentage": Measure(("p_flagged", "p_rows"), exact.percent),
     "off_hours_count": Measure(("p_off_hours",), _same),
@@ -86,6 +98,7 @@ def _parts_needed(names: tuple[str, ...]) -> list[str]:
 
 
 def parts_of_rows(names: tuple[str, ...]) -> list[Column]:
+    """Aggregates over fact rows that went through `exact.with_cents`."""
     return [PARTS[part].of_rows().alias(part) for part in _parts_needed(names)]
 
 

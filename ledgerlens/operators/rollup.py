@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
+from ledgerlens.functions.exact import with_cents
 from ledgerlens.functions.measures import finish, parts_of_parts, parts_of_rows
 
 
 def summarise(rows: DataFrame, keys: list[str], names: tuple[str, ...], extra: dict[str, Column] | None = None) -> DataFrame:
     """Measures of fact rows per group; `extra` adds named aggregates such as distinct counts."""
     extra = extra or {}
-    grouped = rows.groupBy(*keys).agg(
+    grouped = with_cents(rows).groupBy(*keys).agg(
         *parts_of_rows(names), *[column.alias(name) for name, column in extra.items()]
     )
     return finish(grouped, keys, names, list(extra))
@@ -34,7 +35,7 @@ def key_parts(rows: DataFrame, grain: list[str], names: tuple[str, ...]) -> Data
     key instead of every transaction: a key that holds a third of the rows
     collapses inside the map tasks, before any shuffle.
     """
-    return rows.groupBy(*grain).agg(*parts_of_rows(names))
+    return with_cents(rows).groupBy(*grain).agg(*parts_of_rows(names))
 
 
 def summarise_by_dimension(

@@ -5,10 +5,9 @@ above zero and below 660 seconds; the two transaction ids must differ. The
 first row of a pair is called its leader, the second its follower.
 
 Counting never builds pairs. Rows are first collapsed to one row per account
-and instant, then running counts over a pair of adjacent eleven-minute cells
-give the followers of each instant as a difference of two running sums. A busy
-account spreads over its cells, and a cell holds no more rows than the clock
-has instants, however many transactions share them.
+and instant; a running count inside eleven-minute cells then gives the followers
+of each instant. A busy account spreads over its cells, and a cell holds no more
+rows than the clock has instants, however many transactions share them.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.exact import epoch_micros
+from ledgerlens.functions import exact
 from ledgerlens.operators.ranking import top
 from ledgerlens.session import write_table
 
@@ -27,16 +26,28 @@ REACH = 11 * MINUTE  # first gap, in microseconds, that is too long
 def _timed(rows: DataFrame) -> DataFrame:
     """Rows that can be part of a pair, with their instant in microseconds."""
     usable = rows.filter(F.col("account_key").isNotNull() & F.col("transaction_datetime").isNotNull())
-    return usable.withColumn("instant", epoch_micros(F.col("transaction_datetime")))
+    return usable.withColumn("instant", exact.epoch_micros(F.col("transaction_datetime")))
 
 
-def _recurring_ids(rows: DataFrame) -> DataFrame:
-    """Ids seen at more than one instant of an account, the only ones that could pair with themselves."""
-    spans = rows.groupBy("account_key", "transaction_id").agg(
+def _at_several_instants(rows: DataFrame, by: str) -> DataFrame:
+    spans = rows.groupBy("account_key", by).agg(
         F.min("instant").alias("earliest"), F.max("instant").alias("latest")
     )
-    recurring = spans.filter(F.col("earliest") < F.col("latest")).select("account_key", "transaction_id")
-    return write_table(recurring, "recurring-ids")
+    return spans.filter(F.col("earliest") < F.col("latest")).select("account_key", by)
+
+
+def _recurring_ids(rows: DataFrame) -> DataFrame | None:
+    """Ids seen at more than one instant of an account, the only ones that could pair with themselves.
+
+    A pass over a hash of the id comes first; it leaves next to nothing for the exact one.
+    """
+    hashed = rows.withColumn("id_hash", F.xxhash64("transaction_id"))
+    suspects = write_table(_at_several_instants(hashed, "id_hash"), "recurring-hashes")
+    if suspects.isEmpty():
+        return None
+    candidates = hashed.join(suspects, ["account_key", "id_hash"], "left_semi")
+    recurring = write_table(_at_several_instants(candidates, "transaction_id"), "recurring-ids")
+    return None if recurring.isEmpty() else recurring
 
 
 def _cell(instant: str = "instant") -> Column:
@@ -45,56 +56,76 @@ def _cell(instant: str = "instant") -> Column:
 
 def _adjacent_cells(rows: DataFrame) -> DataFrame:
     """Each row in its own cell, and once more in the cell before, where it can only follow."""
-    own = _cell()
-    return rows.withColumn("own_cell", own).withColumn(
+    return rows.withColumn("own_cell", _cell()).withColumn(
         "cell", F.explode(F.array(F.col("own_cell"), F.col("own_cell") - 1))
     )
 
 
 def _leaders(rows: DataFrame, same: list[str], leads: Column) -> DataFrame:
-    """Per account, customer and instant: leading rows, their amount, and followers per leading row."""
-    instants = rows.groupBy(*same, "customer_key", "instant").agg(
+    """Pairs per account, customer and instant of the leader, and the leader amounts they add up to.
+
+    A cell is as long as the reach. A leader is followed by whatever comes
+    after it in its own cell, and in the next cell by whatever comes before the
+    end of its reach; the first is counted where the leader stands, the second
+    at a mark the leader sets in the next cell.
+    """
+    units, cents = exact.value_sums(F.when(leads, F.col("row_cents")))
+    instants = exact.with_cents(rows).groupBy(*same, "customer_key", "instant").agg(
         F.count(F.lit(1)).alias("rows_here"),
         F.count(F.when(leads, 1)).alias("leading_rows"),
-        F.sum(F.when(leads, F.col("amount_usd"))).alias("leading_value"),
+        exact.total_hundredths(units, cents).alias("leading_cents"),
+    )
+    stands = F.struct(_cell().alias("cell"), F.col("instant").alias("at"), F.col("rows_here").alias("counted"))
+    marks = F.struct(
+        (_cell() + 1).alias("cell"),
+        (F.col("instant") + (REACH - 1)).alias("at"),
+        F.lit(0).cast("bigint").alias("counted"),
     )
-    by_time = Window.partitionBy(*same, "cell").orderBy("instant")
-    up_to_reach = F.sum("rows_here").over(by_time.rangeBetween(Window.unboundedPreceding, REACH - 1))
-    up_to_now = F.sum("rows_here").over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    places = instants.withColumn(
+        "place", F.explode(F.when(F.col("leading_rows") > 0, F.array(stands, marks)).otherwise(F.array(stands)))
+    ).select(*same, "customer_key", "instant", "leading_rows", "leading_cents", "place.*")
+    in_cell = Window.partitionBy(*same, "cell")
+    so_far = F.sum("counted").over(in_cell.orderBy("at"))
+    whole_cell = F.sum("counted").over(in_cell)
+    followers = F.when(F.col("at") == F.col("instant"), whole_cell - so_far).otherwise(so_far)
     return (
-        _adjacent_cells(instants)
-        .withColumn("followers", up_to_reach - up_to_now)
-        .filter((F.col("cell") == F.col("own_cell")) & (F.col("leading_rows") > 0) & (F.col("followers") > 0))
+        places.withColumn("followers", followers)
+        .filter((F.col("leading_rows") > 0) & (F.col("followers") > 0))
         .select(
             "account_key",
             "customer_key",
             "instant",
             (F.col("leading_rows") * F.col("followers")).alias("pairs"),
-            (F.col("leading_value") * F.col("followers")).cast("decimal(38,2)").alias("pair_value"),
+            (F.col("leading_cents") * F.col("followers")).cast(exact.WHOLE).alias("pair_cents"),
         )
     )
 
 
 def velocity_leaders(rows: DataFrame, leads: Column, unique_ids: bool = False) -> DataFrame:
-    """Pair count and pair-weighted leader amount per account, customer and instant of the leader.
+    """Pair count and pair-weighted leader amount by account, customer and instant of the leader.
 
     `rows` are the possible followers; those for which `leads` holds can lead.
-    With `unique_ids` the caller vouches that a transaction id never recurs at
-    a second instant of its account, which saves one pass over the ids.
+    The counts of a leader may come in two rows, to be added up. With
+    `unique_ids` the caller vouches that every row has an id and that an id
+    never recurs at a second instant of its account, which saves a pass over
+    the ids.
     """
     timed = _timed(rows)
     if unique_ids:
         return _leaders(timed, ["account_key"], leads)
     timed = timed.filter(F.col("transaction_id").isNotNull())
     pairs = _leaders(timed, ["account_key"], leads)
-    repeated = timed.join(_recurring_ids(timed), ["account_key", "transaction_id"], "left_semi")
+    recurring = _recurring_ids(timed)
+    if recurring is None:
+        return pairs
+    repeated = timed.join(recurring, ["account_key", "transaction_id"], "left_semi")
     with_itself = _leaders(repeated, ["account_key", "transaction_id"], leads)
     net = pairs.unionByName(
-        with_itself.withColumns({"pairs": -F.col("pairs"), "pair_value": -F.col("pair_value")})
+        with_itself.withColumns({"pairs": -F.col("pairs"), "pair_cents": -F.col("pair_cents")})
     )
     return (
         net.groupBy("account_key", "customer_key", "instant")
-        .agg(F.sum("pairs").alias("pairs"), F.sum("pair_value").cast("decimal(38,2)").alias("pair_value"))
+        .agg(F.sum("pairs").alias("pairs"), F.sum("pair_cents").cast(exact.WHOLE).alias("pair_cents"))
         .filter(F.col("pairs") > 0)
     )
 
@@ -198,8 +229,10 @@ def closest_pairs(rows: DataFrame, accounts: DataFrame, customers: DataFrame, co
         rows.select("account_key", "customer_key", "transaction_key", "transaction_id",
                     "transaction_datetime", "amount_usd", "channel").filter(F.col("transaction_id").isNotNull())
     )
-    recurring = _recurring_ids(timed).select("account_key").distinct()
-    plain = timed.join(recurring, "account_key", "left_anti")
+    plain, recurring = timed, _recurring_ids(timed)
+    if recurring is not None:
+        accounts_in_full = recurring.select("account_key").distinct()
+        plain = timed.join(accounts_in_full, "account_key", "left_anti")
 
     # At most `count` rows, hence small enough to broadcast.
     groups = F.broadcast(write_table(_best_leaders(plain, accounts, customers, count), "best-leaders"))
@@ -218,5 +251,7 @@ def closest_pairs(rows: DataFrame, accounts: DataFrame, customers: DataFrame, co
     pairs = _as(first, "first", "account_key", "customer_key", "channel", "lead_instant").join(
         _as(second, "second", "account_key", "lead_instant"), ["account_key", "lead_instant"]
     )
-    in_full = velocity_pairs(rows.join(recurring, "account_key", "left_semi"))
-    return pairs.filter(_real_pair()).drop("lead_instant").unionByName(in_full)
+    pairs = pairs.filter(_real_pair()).drop("lead_instant")
+    if recurring is None:
+        return pairs
+    return pairs.unionByName(velocity_pairs(rows.join(accounts_in_full, "account_key", "left_semi")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import exact
 from ledgerlens.functions.labels import labelled
-from ledgerlens.functions.measures import square_hundredths
+from ledgerlens.functions.measures import MOMENTS, moments
 from ledgerlens.operators.ranking import top
 from ledgerlens.operators.rollup import key_parts, summarise, summarise_parts
 from ledgerlens.operators.velocity import MINUTE, closest_pairs, pair_order, velocity_leaders
@@ -70,7 +70,7 @@ def velocity_account_summary(star: Star, count: int = 20) -> DataFrame:
     leaders = velocity_leaders(_flagged(star), F.col("is_flagged") == 1)
     per_account = leaders.groupBy("account_key", "customer_key").agg(
         F.sum("pairs").alias("hits"),
-        F.sum("pair_value").cast("decimal(38,2)").alias("value"),
+        F.sum("pair_cents").cast(exact.WHOLE).alias("cents"),
         F.max("instant").alias("last_instant"),
     )
     keys = ["account_key", "account_id", "full_name", "customer_segment"]
@@ -80,18 +80,18 @@ def velocity_account_summary(star: Star, count: int = 20) -> DataFrame:
         .groupBy(*keys)
         .agg(
             F.sum("hits").alias("velocity_hits"),
-            F.sum("value").alias("value"),
+            F.sum("cents").cast(exact.WHOLE).alias("cents"),
             F.max("last_instant").alias("last_instant"),
         )
     )
-    mean = exact.mean_hundredths(exact.total_hundredths(F.col("value")), F.col("velocity_hits"))
+    mean = exact.mean_hundredths(F.col("cents"), F.col("velocity_hits"))
     order = [F.col("velocity_hits").desc(), "account_key", "full_name", "customer_segment"]
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     seconds = (F.col("last_instant").cast("decimal(20,0)") / 1000000).cast("decimal(18,6)")
     return top(named, count, *order).select(
         *keys,
         "velocity_hits",
-        F.col("value").cast("double").alias("total_value_usd"),
+        (F.col("cents").cast("double") / F.lit(100.0)).alias("total_value_usd"),
         (mean / F.lit(100.0)).alias("average_amount_usd"),
         (start + F.make_dt_interval(secs=seconds)).alias("last_seen"),
     )
@@ -100,14 +100,14 @@ def velocity_account_summary(star: Star, count: int = 20) -> DataFrame:
 def amount_outliers(star: Star, count: int = 50) -> DataFrame:
     """Rows at or above their customer's rounded mean plus three rounded deviations."""
     parts = key_parts(star.fact, ["customer_key"], ("spend_volatility",))
-    total, squares = exact.total_hundredths(F.col("p_value")), square_hundredths(F.col("p_squares"))
+    amounts, total, squares = moments(*map(F.col, MOMENTS))
     # Stored, so that the join back to the fact has a plain shuffle (or a
     # broadcast of known size) on either side and a hot customer can be split.
     usual = write_table(
         parts.select(
             "customer_key",
-            exact.mean_hundredths(total, F.col("p_amounts")).cast("bigint").alias("mean"),
-            exact.deviation_hundredths(F.col("p_amounts"), total, squares).alias("deviation"),
+            exact.mean_hundredths(total, amounts).cast("bigint").alias("mean"),
+            exact.deviation_hundredths(amounts, total, squares).alias("deviation"),
         ),
         "customer-amounts",
     )
@@ -140,9 +140,9 @@ def amount_outliers(star: Star, count: int = 50) -> DataFrame:
 
 def daily_spikes(star: Star) -> DataFrame:
     """Days with more transactions than the rounded daily mean plus two rounded deviations."""
-    days = star.fact.groupBy("transaction_date").agg(
+    days = exact.with_cents(star.fact).groupBy("transaction_date").agg(
         F.count(F.lit(1)).alias("daily_txn_count"),
-        F.sum("amount_usd").alias("value"),
+        exact.total_hundredths(*exact.value_sums(F.col("row_cents"))).alias("cents"),
         F.sum("is_flagged").alias("daily_flagged"),
     )
     # One row per calendar day reaches this window.
@@ -166,7 +166,7 @@ def daily_spikes(star: Star) -> DataFrame:
         .select(
             "transaction_date",
             "daily_txn_count",
-            F.col("value").cast("double").alias("daily_value"),
+            (F.col("cents").cast("double") / F.lit(100.0)).alias("daily_value"),
             "daily_flagged",
             (F.col("mean") / F.lit(100.0)).alias("avg_daily_txns"),
             exact.ratio(scaled, F.col("mean")).alias("times_above_avg"),

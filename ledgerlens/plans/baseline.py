@@ -108,13 +108,12 @@ def high_risk_country_share(star: Star) -> DataFrame:
     risk = labelled(F.col("is_high_risk_country") == 1, "High Risk Country", "Normal Country")
     places = star.location.select("location_key", risk.alias("country_risk"))
     names = ("total_transactions", "total_value_usd", "flagged_count", "flagged_percentage")
-    value = {"value": F.sum("p_value")}
+    value = {"value": exact.total_hundredths(F.sum("p_units"), F.sum("p_cents"))}
     shares = summarise_by_dimension(star.fact, places, "location_key", ["country_risk"], names, value)
     # Two rows at most reach this window.
     whole = F.sum("value").over(Window.partitionBy())
-    cents, all_cents = exact.total_hundredths(F.col("value")), exact.total_hundredths(whole)
     return (
-        shares.withColumn("percentage_of_total_value", exact.percent(cents, all_cents))
+        shares.withColumn("percentage_of_total_value", exact.percent(F.col("value"), whole))
         .drop("value")
         .orderBy("country_risk")
     )

@@ -63,14 +63,13 @@ def quarter_spend_spike(star: Star, count: int = 30) -> DataFrame:
     """
     months = star.date.select("date_key", "month_number", "month_name", "quarter_number")
     monthly = (
-        star.fact.join(months, "date_key")
+        exact.with_cents(star.fact).join(months, "date_key")
         .groupBy("customer_key", "month_number", "month_name", "quarter_number")
         .agg(
-            F.sum("amount_usd").alias("spend"),
+            exact.total_hundredths(*exact.value_sums(F.col("row_cents"))).alias("cents"),
             F.count(F.lit(1)).alias("monthly_txn_count"),
             F.sum("is_flagged").alias("monthly_flagged"),
         )
-        .withColumn("cents", exact.total_hundredths(F.col("spend")))
     )
     # A customer has one row per month, so the window group is a dozen rows.
     per_customer = Window.partitionBy("customer_key")
@@ -88,7 +87,7 @@ def quarter_spend_spike(star: Star, count: int = 30) -> DataFrame:
         "customer_segment",
         "month_name",
         F.col("quarter_number").alias("quarter"),
-        F.col("spend").cast("double").alias("monthly_spend"),
+        (F.col("cents").cast("double") / F.lit(100.0)).alias("monthly_spend"),
         "monthly_txn_count",
         "monthly_flagged",
         (F.col("baseline") / F.lit(100.0)).alias("q1_q2_baseline_spend"),

@@ -23,7 +23,8 @@ def kpi_cards(star: Star, quarter: int | None = None, channel: str | None = None
     if quarter is not None:
         days = star.date.filter(F.col("quarter_number") == quarter).select("date_key")
         rows = rows.join(days, "date_key", "left_semi")
-    suspicious = F.sum(F.when(F.col("is_flagged") == 1, F.col("amount_usd"))).cast("double")
+    units, rest = exact.value_sums(F.when(F.col("is_flagged") == 1, F.col("row_cents")))
+    suspicious = exact.total_hundredths(units, rest).cast("double") / F.lit(100.0)
     names = ("total_transactions", "total_value_usd", "flagged_percentage")
     return summarise(rows, [], names, {"suspicious_value_usd": suspicious})
 
@@ -55,13 +56,13 @@ def monthly_kpi_banded(star: Star) -> DataFrame:
 
 def segment_value_share(star: Star) -> DataFrame:
     segments = star.customer.select("customer_key", "customer_segment")
-    value = {"value": F.sum("p_value")}
+    value = {"value": exact.total_hundredths(F.sum("p_units"), F.sum("p_cents"))}
     shares = summarise_by_dimension(
         star.fact, segments, "customer_key", ["customer_segment"], ("total_value_usd",), value
     )
     # One row per segment reaches this window.
     whole = F.sum("value").over(Window.partitionBy())
-    share = exact.percent(exact.total_hundredths(F.col("value")), exact.total_hundredths(whole))
+    share = exact.percent(F.col("value"), whole)
     return baseline.by_value(shares.withColumn("percentage_of_total_value", share).drop("value"))
 
 

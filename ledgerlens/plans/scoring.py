@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import exact
 from ledgerlens.functions.labels import RISK_TIERS, place_in
-from ledgerlens.functions.measures import square_hundredths
+from ledgerlens.functions.measures import MOMENTS, PARTS, moments
 from ledgerlens.operators.ranking import top, with_quantiles
 from ledgerlens.operators.velocity import velocity_leaders
 from ledgerlens.session import write_table
@@ -52,15 +52,13 @@ def customer_activity(star: Star, geo: bool = True, shell: bool = True) -> DataF
     join those cells. Only the shell flag of the merchant meets single rows.
     Dimension keys are unique, so the left joins add no rows.
     """
-    rows = star.fact
+    rows = exact.with_cents(star.fact)
     grain = ["customer_key"]
     cells = {
         "total_txns": F.count(F.lit(1)),
         "flagged_count": F.sum("is_flagged"),
         "off_hours_count": F.sum("is_off_hours"),
-        "amounts": F.count("amount_usd"),
-        "value": F.sum("amount_usd"),
-        "squares": F.sum(F.col("amount_usd") * F.col("amount_usd")),
+        **{part: PARTS[part].of_rows() for part in MOMENTS},
     }
     sums = {name: F.sum(name) for name in cells}
     if shell:
@@ -92,7 +90,7 @@ def customer_activity(star: Star, geo: bool = True, shell: bool = True) -> DataF
 
 
 def _moments() -> tuple[Column, Column, Column]:
-    return F.col("amounts"), exact.total_hundredths(F.col("value")), square_hundredths(F.col("squares"))
+    return moments(*map(F.col, MOMENTS))
 
 
 def flagged_signal(star: Star) -> DataFrame:
@@ -137,8 +135,7 @@ def customer_amount_stats(star: Star) -> DataFrame:
 
 def _outliers(star: Star, activity: DataFrame) -> DataFrame:
     """Rows at or above the customer's own limit. `activity` is a stored table of known size."""
-    count, total, squares = _moments()
-    limits = activity.select("customer_key", exact.outlier_limit(count, total, squares).alias("limit"))
+    limits = exact.with_outlier_limit(activity, *_moments(), "limit").select("customer_key", "limit")
     beyond = exact.hundredths(F.col("amount_usd")) >= F.col("limit")
     return (
         star.fact.select("customer_key", "amount_usd")

@@ -19,6 +19,7 @@ def local_session(cores: str = "8", memory: str = "8g", **settings: str) -> Spar
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
     )
