@@ -30,6 +30,20 @@ def _conform(frame: DataFrame, name: str) -> DataFrame:
     return frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
 
 
+def _padded(key: Column, digits: int) -> Column:
+    """A key as text with leading zeros; longer keys are kept whole."""
+    text = key.cast("string")
+    return F.lpad(text, F.greatest(F.lit(digits), F.length(text)), F.lit("0"))
+
+
+def _transaction_key(order: Column, line: Column, part: Column, supplier: Column) -> Column:
+    """The four keys side by side, in wide arithmetic and brought back into the range of a BIGINT."""
+    wide = "decimal(38,0)"
+    side_by_side = (order.cast(wide) * 8 + line).cast(wide) * 1000000 + part
+    side_by_side = side_by_side.cast(wide) * 100000 + supplier
+    return (side_by_side.cast(wide) % F.lit(2**63 - 1).cast(wide)).cast("bigint")
+
+
 def _fact_transactions(lineitem: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:
     order, line, part, supplier, buyer = map(
         F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey")
@@ -56,7 +70,7 @@ def _fact_transactions(lineitem: DataFrame, orders: DataFrame, customer: DataFra
             {
                 "transaction_date": F.to_date("transaction_datetime"),
                 "transaction_hour": F.hour("transaction_datetime"),
-                "transaction_key": ((order * 8 + line) * 1000000 + part) * 100000 + supplier,
+                "transaction_key": _transaction_key(order, line, part, supplier),
             }
         )
         .withColumn("is_off_hours", _flag(F.col("transaction_hour").between(1, 4)))
@@ -95,7 +109,7 @@ def _dim_customer(customer: DataFrame, nation: DataFrame) -> DataFrame:
     kyc = F.when(key % 10 == 0, "Expired").when(key % 10 == 1, "Unverified").when(key % 10 == 2, "Pending")
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         key.alias("customer_key"),
-        F.concat(F.lit("C"), F.lpad(key.cast("string"), 6, "0")).alias("customer_id"),
+        F.concat(F.lit("C"), _padded(key, 6)).alias("customer_id"),
         F.col("c_name").alias("full_name"),
         F.when(key % 59 != 0, F.col("n_name")).alias("country"),
         kyc.otherwise("Verified").alias("kyc_status"),
@@ -114,7 +128,7 @@ def _dim_account(customer: DataFrame) -> DataFrame:
     balance = F.col("c_acctbal")
     return accounts.select(
         key.alias("account_key"),
-        F.concat(F.lit("A"), F.lpad(key.cast("string"), 7, "0")).alias("account_id"),
+        F.concat(F.lit("A"), _padded(key, 7)).alias("account_id"),
         _pick((F.col("c_custkey") + F.col("i")) % 3, ["Savings", "Current", "Business"]).alias("account_type"),
         F.when(balance < 1000, "Low").when(balance < 5000, "Medium").otherwise("High").alias("balance_tier"),
         F.lit("Active").alias("account_status"),

@@ -21,7 +21,7 @@ timed AS (
 placed AS (
   SELECT *, CASE WHEN hour(dt) BETWEEN 1 AND 4 THEN 1 ELSE 0 END AS off,
          CASE WHEN hl % 8 = 0 THEN (nk + 1 + hl % 7) % 25 ELSE nk END AS n,
-         ((ok*8+ln)*1000000+pk)*100000+sk AS tk FROM timed),
+         CAST((((ok::HUGEINT*8+ln)*1000000+pk)*100000+sk) % 9223372036854775807 AS BIGINT) AS tk FROM timed),
 fact_transactions AS (
   SELECT tk AS transaction_key, 'T' || tk AS transaction_id, ck AS customer_key, ck*2 + ok % 2 AS account_key,
          CASE WHEN hl = 13 OR ck % 139 = 7 THEN -1 ELSE sk END AS merchant_key,
@@ -40,7 +40,7 @@ fact_transactions AS (
          dt AS transaction_datetime
   FROM placed),
 dim_customer AS (
-  SELECT c_custkey AS customer_key, 'C' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS customer_id, c_name AS full_name,
+  SELECT c_custkey AS customer_key, 'C' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(6, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS customer_id, c_name AS full_name,
          CASE WHEN c_custkey % 59 = 0 THEN NULL ELSE n_name END AS country,
          CASE c_custkey % 10 WHEN 0 THEN 'Expired' WHEN 1 THEN 'Unverified' WHEN 2 THEN 'Pending' ELSE 'Verified' END AS kyc_status,
          CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Retail' WHEN 'AUTOMOBILE' THEN 'Retail' WHEN 'BUILDING' THEN 'SME'
@@ -49,7 +49,7 @@ dim_customer AS (
            CASE c_custkey % 4 WHEN 0 THEN 'Mobile' WHEN 1 THEN 'Web' WHEN 2 THEN 'ATM' ELSE 'Branch' END END AS preferred_channel
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 dim_account AS (
-  SELECT c_custkey*2 + i AS account_key, 'A' || lpad(CAST(c_custkey*2 + i AS VARCHAR), 7, '0') AS account_id,
+  SELECT c_custkey*2 + i AS account_key, 'A' || lpad(CAST(c_custkey*2 + i AS VARCHAR), CAST(greatest(7, length(CAST(c_custkey*2 + i AS VARCHAR))) AS INTEGER), '0') AS account_id,
          CASE (c_custkey + i) % 3 WHEN 0 THEN 'Savings' WHEN 1 THEN 'Current' ELSE 'Business' END AS account_type,
          CASE WHEN c_acctbal < 1000 THEN 'Low' WHEN c_acctbal < 5000 THEN 'Medium' ELSE 'High' END AS balance_tier
   FROM customer CROSS JOIN (VALUES (0), (1)) v(i)),
