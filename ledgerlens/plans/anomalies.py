@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import exact
 from ledgerlens.functions.labels import labelled
 from ledgerlens.functions.measures import MOMENTS, moments
+from ledgerlens.operators.hot_keys import join_per_key
 from ledgerlens.operators.ranking import top
 from ledgerlens.operators.rollup import key_parts, summarise, summarise_parts
 from ledgerlens.operators.velocity import MINUTE, closest_pairs, pair_order, velocity_leaders
@@ -101,11 +102,10 @@ def amount_outliers(star: Star, count: int = 50) -> DataFrame:
     """Rows at or above their customer's rounded mean plus three rounded deviations."""
     parts = key_parts(star.fact, ["customer_key"], ("spend_volatility",))
     amounts, total, squares = moments(*map(F.col, MOMENTS))
-    # Stored, so that the join back to the fact has a plain shuffle (or a
-    # broadcast of known size) on either side and a hot customer can be split.
     usual = write_table(
         parts.select(
             "customer_key",
+            "p_amounts",
             exact.mean_hundredths(total, amounts).cast("bigint").alias("mean"),
             exact.deviation_hundredths(amounts, total, squares).alias("deviation"),
         ),
@@ -115,8 +115,7 @@ def amount_outliers(star: Star, count: int = 50) -> DataFrame:
                "transaction_type", "amount_usd", "is_flagged"]
     cents = exact.hundredths(F.col("amount_usd"))
     far = (
-        star.fact.select(*columns)
-        .join(usual, "customer_key")
+        join_per_key(star.fact.select(*columns), usual, "customer_key", "p_amounts", ["transaction_key"])
         .filter(cents >= F.col("mean") + 3 * F.col("deviation"))
         .withColumn("times_above_average", exact.ratio(cents, F.col("mean")))
         .join(star.customer.select("customer_key", "full_name", "customer_segment"), "customer_key")

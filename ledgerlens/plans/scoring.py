@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import exact
 from ledgerlens.functions.labels import RISK_TIERS, place_in
 from ledgerlens.functions.measures import MOMENTS, PARTS, moments
+from ledgerlens.operators.hot_keys import join_per_key
 from ledgerlens.operators.ranking import top, with_quantiles
 from ledgerlens.operators.velocity import velocity_leaders
 from ledgerlens.session import write_table
@@ -134,12 +135,12 @@ def customer_amount_stats(star: Star) -> DataFrame:
 
 
 def _outliers(star: Star, activity: DataFrame) -> DataFrame:
-    """Rows at or above the customer's own limit. `activity` is a stored table of known size."""
-    limits = exact.with_outlier_limit(activity, *_moments(), "limit").select("customer_key", "limit")
+    """Rows at or above the customer's own limit. `activity` is a stored table."""
+    limits = exact.with_outlier_limit(activity, *_moments(), "limit").select("customer_key", "limit", "p_amounts")
+    amounts = star.fact.select("customer_key", "transaction_key", "amount_usd")
     beyond = exact.hundredths(F.col("amount_usd")) >= F.col("limit")
     return (
-        star.fact.select("customer_key", "amount_usd")
-        .join(limits, "customer_key")
+        join_per_key(amounts, limits, "customer_key", "p_amounts", ["transaction_key"])
         .groupBy("customer_key")
         .agg(F.sum(F.when(beyond, 1).otherwise(0)).alias("outlier_txn_count"))
     )
