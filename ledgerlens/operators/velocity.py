@@ -145,17 +145,16 @@ def _real_pair() -> Column:
     return _gap().between(1, REACH - 1) & (F.col("first_transaction_id") != F.col("second_transaction_id"))
 
 
-def velocity_pairs(rows: DataFrame) -> DataFrame:
-    """Every pair among `rows`: an equi-join on account and cell, each pair met once.
+def velocity_pairs(leading: DataFrame, following: DataFrame) -> DataFrame:
+    """Every pair of a leading and a following row: an equi-join on account and cell, each pair met once.
 
     The result is as large as the number of pairs; use `closest_pairs` for the
     top of the list.
     """
-    timed = _timed(rows)
-    first = _as(timed, "first", "account_key", "customer_key", "channel").withColumn(
+    first = _as(_timed(leading), "first", "account_key", "customer_key", "channel").withColumn(
         "cell", _cell("first_instant")
     )
-    second = _as(_adjacent_cells(timed), "second", "account_key", "cell")
+    second = _as(_adjacent_cells(_timed(following)), "second", "account_key", "cell")
     return first.join(second, ["account_key", "cell"]).filter(_real_pair()).drop("cell")
 
 
@@ -223,7 +222,7 @@ def closest_pairs(rows: DataFrame, accounts: DataFrame, customers: DataFrame, co
     paired, with the `count` largest amounts of the group and of each minute
     after it. Nothing is lost by that: whatever is left out has `count` better
     pairs ahead of it. The argument needs ids that do not recur within an
-    account; accounts in which one does are paired in full.
+    account; rows with an id that does are paired in full.
     """
     timed = _timed(
         rows.select("account_key", "customer_key", "transaction_key", "transaction_id",
@@ -231,8 +230,10 @@ def closest_pairs(rows: DataFrame, accounts: DataFrame, customers: DataFrame, co
     )
     plain, recurring = timed, _recurring_ids(timed)
     if recurring is not None:
-        accounts_in_full = recurring.select("account_key").distinct()
-        plain = timed.join(accounts_in_full, "account_key", "left_anti")
+        by_id = ["account_key", "transaction_id"]
+        plain = timed.join(recurring, by_id, "left_anti")
+        repeated = timed.join(recurring, by_id, "left_semi")
+        others = plain.join(recurring.select("account_key").distinct(), "account_key", "left_semi")
 
     # At most `count` rows, hence small enough to broadcast.
     groups = F.broadcast(write_table(_best_leaders(plain, accounts, customers, count), "best-leaders"))
@@ -254,4 +255,7 @@ def closest_pairs(rows: DataFrame, accounts: DataFrame, customers: DataFrame, co
     pairs = pairs.filter(_real_pair()).drop("lead_instant")
     if recurring is None:
         return pairs
-    return pairs.unionByName(velocity_pairs(rows.join(accounts_in_full, "account_key", "left_semi")))
+    with_repeated = velocity_pairs(repeated, repeated.unionByName(others)).unionByName(
+        velocity_pairs(others, repeated)
+    )
+    return pairs.unionByName(with_repeated)

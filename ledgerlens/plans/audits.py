@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.rollup import key_parts
@@ -31,47 +31,59 @@ def orphan_audit(star: Star) -> DataFrame:
 def reference_number_check(star: Star, expected: dict[str, int] | None = None) -> DataFrame:
     """Figures that should agree: the parts of the fact against its total, and any expected totals.
 
-    `expected` may name transactions, flagged transactions or scored customers
-    as published elsewhere.
+    `expected` may name transactions, flagged_transactions or customers, as
+    published elsewhere.
     """
-    # Small groups first, so that the date join and the checks see few rows.
+    # Small groups first, so that the date join and the sums see few rows.
     counts = star.fact.groupBy("channel", "transaction_type", "transaction_hour", "date_key", "is_flagged").agg(
         F.count(F.lit(1)).alias("n")
     )
     dated = counts.join(star.date.select("date_key", F.lit(1).alias("dated")), "date_key", "left")
-    totals = dated.agg(
+
+    def rows_where(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("n")))
+
+    rows = dated.agg(
         F.sum("n").alias("transactions"),
-        F.sum(F.when(F.col("is_flagged") == 1, F.col("n"))).alias("flagged_transactions"),
-        F.sum(F.when(F.col("channel").isNotNull(), F.col("n"))).alias("by_channel"),
-        F.sum(F.when(F.col("transaction_type").isNotNull(), F.col("n"))).alias("by_type"),
-        F.sum(F.when(F.col("transaction_hour").between(0, 23), F.col("n"))).alias("by_hour"),
-        F.sum(F.when(F.col("dated") == 1, F.col("n"))).alias("by_month"),
+        rows_where(F.col("is_flagged") == 1).alias("flagged_transactions"),
+        rows_where(F.col("channel").isNotNull()).alias("by_channel"),
+        rows_where(F.col("transaction_type").isNotNull()).alias("by_type"),
+        rows_where(F.col("transaction_hour").between(0, 23)).alias("by_hour"),
+        rows_where(F.col("dated") == 1).alias("by_month"),
+    )
+    active = star.fact.select("customer_key").distinct().select(F.lit(0).alias("in_tier"), F.lit(1).alias("n"))
+    tiers = scoring.risk_tier_summary(star).select(F.lit(1).alias("in_tier"), F.col("customer_count").alias("n"))
+    people = active.unionByName(tiers).agg(
+        F.sum(F.when(F.col("in_tier") == 0, F.col("n"))).alias("customers"),
+        F.sum(F.when(F.col("in_tier") == 1, F.col("n"))).alias("by_tier"),
     )
-    tiers = scoring.risk_tier_summary(star).agg(F.sum("customer_count").alias("by_tier"))
-    scored = star.fact.select("customer_key").distinct().agg(F.count(F.lit(1)).alias("scored_customers"))
-    # Three one-row frames side by side.
-    figures = totals.crossJoin(F.broadcast(tiers)).crossJoin(F.broadcast(scored))
-    checks = [
-        ("transactions by channel", F.col("by_channel"), F.col("transactions")),
-        ("transactions by hour", F.col("by_hour"), F.col("transactions")),
-        ("transactions by month", F.col("by_month"), F.col("transactions")),
-        ("transactions by type", F.col("by_type"), F.col("transactions")),
-        ("customers by risk tier", F.col("by_tier"), F.col("scored_customers")),
-    ]
+    checks = {
+        "transactions": [
+            ("transactions by channel", F.col("by_channel"), F.col("transactions")),
+            ("transactions by hour", F.col("by_hour"), F.col("transactions")),
+            ("transactions by month", F.col("by_month"), F.col("transactions")),
+            ("transactions by type", F.col("by_type"), F.col("transactions")),
+        ],
+        "customers": [("customers by risk tier", F.col("by_tier"), F.col("customers"))],
+    }
     for name, value in (expected or {}).items():
-        checks.append((f"expected {name}", F.col(name), F.lit(value)))
-    rows = F.array(
-        *[
+        subject = "customers" if name == "customers" else "transactions"
+        checks[subject].append((f"expected {name}", F.col(name), F.lit(value)))
+
+    def listed(figures: DataFrame, subject: str) -> DataFrame:
+        entries = [
             F.struct(
                 F.lit(label).alias("check_name"),
                 F.coalesce(found, F.lit(0)).cast("bigint").alias("found"),
                 F.coalesce(wanted, F.lit(0)).cast("bigint").alias("wanted"),
             )
-            for label, found, wanted in checks
+            for label, found, wanted in checks[subject]
         ]
-    )
+        return figures.select(F.inline(F.array(*entries)))
+
     return (
-        figures.select(F.inline(rows))
+        listed(rows, "transactions")
+        .unionByName(listed(people, "customers"))
         .withColumn("difference", F.col("found") - F.col("wanted"))
         .withColumn("agrees", (F.col("difference") == 0).cast("int"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.session import new_table_path
-from ledgerlens.sources.csv_load import load_csv_table
+from ledgerlens.sources.csv_load import NULL_FIELD, STATE, load_csv_table
 from ledgerlens.sources.star import Star
 
 DAMAGED = 997  # every row whose key is a multiple of this gets an amount that is no number
@@ -17,17 +17,11 @@ def reload_fact_from_csv(star: Star) -> DataFrame:
     spark = star.spark
     source = new_table_path(spark, "fact-csv")
     amount = F.when(F.col("transaction_key") % DAMAGED == 0, "n/a").otherwise(F.col("amount_usd").cast("string"))
-    star.fact.withColumn("amount_usd", amount).write.option("lineSep", "\r\n").csv(source, header=True)
+    damaged = star.fact.withColumn("amount_usd", amount)
+    damaged.write.option("lineSep", "\r\n").option("nullValue", NULL_FIELD).csv(source, header=True)
     load = load_csv_table(spark, "fact_transactions", source, new_table_path(spark, "fact-loaded"))
-    accepted = load.accepted.groupBy("channel").agg(
-        F.count(F.lit(1)).alias("row_count"), F.sum("amount_usd").cast("double").alias("total_value_usd")
-    )
-    rejected = load.rejected.agg(F.count(F.lit(1)).alias("row_count")).select(
-        F.lit("rejected").alias("load_state"),
-        F.lit(None).cast("string").alias("channel"),
-        "row_count",
-        F.lit(None).cast("double").alias("total_value_usd"),
-    )
-    return accepted.select(F.lit("accepted").alias("load_state"), "channel", "row_count", "total_value_usd").unionByName(
-        rejected
+    kept = F.col(STATE) == "accepted"
+    return load.stored.groupBy(STATE, F.when(kept, F.col("channel")).alias("channel")).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum(F.when(kept, F.col("amount_usd"))).cast("double").alias("total_value_usd"),
     )

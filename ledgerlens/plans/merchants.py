@@ -123,22 +123,21 @@ def merchant_customer_overlap(star: Star, count: int = 30) -> DataFrame:
 def merchant_concentration(star: Star, count: int = 20) -> DataFrame:
     keys = ["merchant_name", "merchant_category", "risk_rating"]
     names = ("flagged_count", "total_value_usd")
-    # Read three times below: for its first rows, its value masses and its total.
+    # Stored, as it is read three times: for its first rows, its value masses and its total.
     merchants = write_table(
         summarise_by_dimension(star.fact, _merchants(star, *keys), "merchant_key", keys, names), "merchant-flags"
     )
     first = top(merchants, count, F.col("flagged_count").desc(), *keys)
     running = running_total_by_value(merchants, "flagged_count", count, "running")
-    total = merchants.agg(F.sum("flagged_count").alias("all_flagged"))
+    total = merchants.agg(F.sum("flagged_count")).scalar()
     return (
         first.join(F.broadcast(running), "flagged_count")  # at most `count` rows
-        .crossJoin(F.broadcast(total))  # one row
         .select(
             *keys,
             "flagged_count",
             "total_value_usd",
-            exact.percent(F.col("flagged_count"), F.col("all_flagged")).alias("percentage_of_all_fraud"),
-            exact.percent(F.col("running"), F.col("all_flagged")).alias("cumulative_fraud_percentage"),
+            exact.percent(F.col("flagged_count"), total).alias("percentage_of_all_fraud"),
+            exact.percent(F.col("running"), total).alias("cumulative_fraud_percentage"),
         )
         .orderBy(F.col("flagged_count").desc(), *keys)
     )

@@ -30,12 +30,17 @@ def local_session(cores: str = "8", memory: str = "8g", **settings: str) -> Spar
     return spark
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach; one is made up only where the session names none."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_FOLDERS:
+            _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="ledgerlens-")
+        folder = _OWN_FOLDERS[application]
     return folder.rstrip("/")
 
 

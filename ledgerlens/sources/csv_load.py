@@ -12,41 +12,54 @@ from ledgerlens.sources.schema import SCHEMAS
 
 BAD_LINE = "bad_line"
 STATE = "load_state"
+NULL_FIELD = "\\N"
 
 
 @dataclass(frozen=True)
 class Load:
-    accepted: DataFrame
-    rejected: DataFrame  # one column, the line as read
+    """A stored load; both parts read the same folder and are told apart by a partition column."""
+
+    stored: DataFrame
+    names: list[str]
+
+    @property
+    def accepted(self) -> DataFrame:
+        return self.stored.filter(F.col(STATE) == "accepted").select(*self.names)
+
+    @property
+    def rejected(self) -> DataFrame:
+        """One column, the line as read."""
+        return self.stored.filter(F.col(STATE) == "rejected").select(BAD_LINE)
 
     def counts(self) -> DataFrame:
         """One row: lines accepted and lines rejected."""
-        rejected = self.rejected.agg(F.count(F.lit(1)).alias("rejected_rows"))
-        accepted = self.accepted.agg(F.count(F.lit(1)).alias("accepted_rows"))
-        return accepted.crossJoin(F.broadcast(rejected))
+        return self.stored.agg(
+            *[
+                F.count(F.when(F.col(STATE) == state, 1)).alias(f"{state}_rows")
+                for state in ("accepted", "rejected")
+            ]
+        )
 
 
 def load_csv_table(spark: SparkSession, name: str, source: str, target: str, line_end: str = "\r\n") -> Load:
     """Replace the Parquet table at `target` by the CSV files at `source`.
 
-    Fields are separated by commas and may be quoted; the first line of a file
-    is a header. A line with the wrong number of fields, or a field that does
-    not fit its type, goes to the rejected part as it was read. The lines are
-    parsed once: both parts are written together and told apart by folder.
+    Fields are separated by commas and may be quoted, `\\N` or nothing between two
+    commas stands for NULL, and the first line of a file is a header. A line with the wrong number of
+    fields, or a field that does not fit its type, goes to the rejected part as
+    it was read. Lines are parsed once: both parts are written together.
     """
     schema = SCHEMAS[name]
+    with_line = [*schema.fields, StructField(BAD_LINE, StringType())]
     lines = (
-        spark.read.schema(StructType([*schema.fields, StructField(BAD_LINE, StringType())]))
+        spark.read.schema(StructType(with_line))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD_LINE)
         .option("lineSep", line_end)
+        .option("nullValue", NULL_FIELD)
         .csv(source, header=True, quote='"')
     )
     state = F.when(F.col(BAD_LINE).isNull(), "accepted").otherwise("rejected")
     lines.withColumn(STATE, state).write.mode("overwrite").partitionBy(STATE).parquet(target)
-    written = StructType([*schema.fields, StructField(BAD_LINE, StringType()), StructField(STATE, StringType())])
-    stored = spark.read.schema(written).parquet(target)
-    return Load(
-        accepted=stored.filter(F.col(STATE) == "accepted").select(*schema.names),
-        rejected=stored.filter(F.col(STATE) == "rejected").select(BAD_LINE),
-    )
+    written = StructType([*with_line, StructField(STATE, StringType())])
+    return Load(spark.read.schema(written).parquet(target), schema.names)

@@ -44,6 +44,23 @@ def test_bad_lines_are_kept_apart_as_read(spark, tmp_path):
     assert got.counts().first().asDict() == {"accepted_rows": 2, "rejected_rows": 4}
 
 
+def test_null_marker_and_empty_fields(spark, tmp_path):
+    got = load(spark, tmp_path, [HEADER, line(1, amount="\\N"), line(2, channel=""), line(3, amount="")])
+    rows = {r["transaction_key"]: r for r in got.accepted.collect()}
+    assert rows[1]["amount_usd"] is None and rows[2]["channel"] == "" and rows[3]["amount_usd"] is None
+    assert got.rejected.count() == 0
+
+
+def test_every_table_can_be_loaded(spark, tmp_path):
+    values = {"int": "1", "bigint": "2", "string": "x", "date": "2024-01-02", "timestamp_ntz": "2024-01-02 00:00:00"}
+    for name, schema in SCHEMAS.items():
+        source = tmp_path / f"{name}.csv"
+        fields = [values.get(f.dataType.simpleString(), "1.25") for f in schema]
+        source.write_text(",".join(schema.names) + "\r\n" + ",".join(fields) + "\r\n", newline="")
+        got = load_csv_table(spark, name, str(source), new_table_path(spark, name))
+        assert got.counts().first().asDict() == {"accepted_rows": 1, "rejected_rows": 0}
+
+
 def test_all_lines_bad_or_none(spark, tmp_path):
     assert load(spark, tmp_path, [HEADER, "x"]).counts().first().asDict() == {"accepted_rows": 0, "rejected_rows": 1}
     assert load(spark, tmp_path, [HEADER]).counts().first().asDict() == {"accepted_rows": 0, "rejected_rows": 0}

@@ -54,6 +54,7 @@ SHAPES = [
     dict(count=150, accounts=4, span=4000),
     dict(count=150, accounts=4, span=4000, micros=True),
     dict(count=150, accounts=2, span=3000, recurring=True),
+    dict(count=150, accounts=3, span=60000, recurring=True),
     dict(count=200, accounts=1, span=5),  # one hot account, a handful of instants
 ]
 
@@ -102,7 +103,8 @@ def test_closest_pairs_equal_all_pairs(spark, shape, count):
 def test_all_pairs_once_each(spark, shape):
     rows = random_rows(random.Random(11), **shape)
     wanted = sorted((a["transaction_key"], b["transaction_key"]) for a, b in pairs_by_hand(rows, lambda row: True))
-    found = velocity_pairs(frame_of(spark, "fact_transactions", rows))
+    frame = frame_of(spark, "fact_transactions", rows)
+    found = velocity_pairs(frame, frame)
     assert sorted(map(tuple, found.select("first_transaction_key", "second_transaction_key").collect())) == wanted
 
 
