@@ -1,4 +1,4 @@
-"""Every job against the independent SQL statement, on the smallest data set."""
+"""Every job against the independent SQL statement, on the smallest data set, and what no plan may contain."""
 
 from __future__ import annotations
 
@@ -16,9 +16,23 @@ def test_every_job_has_an_oracle():
     assert set(contract.queries()) == set(contract.oracle_sql())
 
 
+# Global windows are allowed over rows of a small, bounded grain only.
+OVER_FEW_ROWS = {
+    "q13_high_risk_country_share",  # two rows
+    "q21_daily_spikes",  # calendar days
+    "q42_risk_tier_summary",  # five rows
+    "d05_segment_value_share",  # segments
+    "d19_quarter_change",  # quarters
+}
+
+
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_job_equals_sql(spark, small_folder, connection, name):
     job = contract.queries()[name](spark, small_folder)
+    plan = compare.plan_of(job)
+    assert "CartesianProduct" not in plan
+    assert "Python" not in plan and "Pandas" not in plan
+    assert (compare.global_windows(plan) > 0) == (name in OVER_FEW_ROWS)
     assert compare.differences(job, connection, contract.oracle_sql()[name]) == []
 
 

@@ -1,4 +1,4 @@
-"""What the plans must not contain."""
+"""What reaches the scan, and what is not sorted. See also the plan checks in test_jobs_against_sql."""
 
 from __future__ import annotations
 
@@ -6,41 +6,7 @@ import re
 
 import __spark_entry__ as contract
 import pytest
-
-from ledgerlens.jobs import JOBS
-
-def plan_of(frame) -> str:
-    return frame._jdf.queryExecution().executedPlan().toString()
-
-
-def global_windows(plan: str) -> int:
-    """Windows that sit on an exchange into a single partition."""
-    lines = [line.strip(" :+-*()0123456789") for line in plan.splitlines()]
-    found = 0
-    for number, line in enumerate(lines):
-        if line.startswith("Window ["):
-            below = next(b for b in lines[number + 1 :] if not b.startswith(("Sort", "Project", "Window")))
-            found += below.startswith("Exchange SinglePartition")
-    return found
-
-
-# Global windows are allowed over rows of a small, bounded grain only.
-OVER_FEW_ROWS = {
-    "q13_high_risk_country_share",  # two rows
-    "q21_daily_spikes",  # calendar days
-    "q42_risk_tier_summary",  # five rows
-    "d05_segment_value_share",  # segments
-    "d19_quarter_change",  # quarters
-}
-
-
-@pytest.mark.parametrize("name", sorted(JOBS))
-def test_no_product_no_python_no_global_window(spark, small_folder, name):
-    plan = plan_of(contract.queries()[name](spark, small_folder))
-    assert "CartesianProduct" not in plan
-    assert "Python" not in plan and "Pandas" not in plan
-    assert (global_windows(plan) > 0) == (name in OVER_FEW_ROWS)
-
+from compare import plan_of
 
 @pytest.mark.parametrize(
     "name, columns",
