@@ -8,6 +8,7 @@ import __spark_entry__ as contract
 import pytest
 from compare import plan_of
 
+
 @pytest.mark.parametrize(
     "name, columns",
     [
