@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,10 +35,17 @@ _OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; one is made up only where the session names none."""
+    """The folder every executor can reach, as the session names it.
+
+    Only a session in one process (tests, benchmark) may leave it unset, and
+    then gets a temporary folder; a cluster's executors would not see that.
+    """
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        application = spark.sparkContext.applicationId
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors of {context.master} share")
+        application = context.applicationId
         if application not in _OWN_FOLDERS:
             _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="ledgerlens-")
         folder = _OWN_FOLDERS[application]

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+import pytest
+
 from ledgerlens.session import CHECKPOINT_SETTING, shared_folder
 
 
-def session(setting=None, context_folder=None, application="app-1"):
+def session(setting=None, context_folder=None, application="app-1", master="local[2]"):
     return SimpleNamespace(
         conf=SimpleNamespace(get=lambda name, default=None: setting if name == CHECKPOINT_SETTING else default),
-        sparkContext=SimpleNamespace(getCheckpointDir=lambda: context_folder, applicationId=application),
+        sparkContext=SimpleNamespace(
+            getCheckpointDir=lambda: context_folder, applicationId=application, master=master
+        ),
     )
 
 
@@ -27,3 +31,10 @@ def test_an_own_folder_is_made_once_per_application():
 
 def test_this_session_names_a_folder(spark):
     assert shared_folder(spark)
+
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://host"])
+def test_a_cluster_without_a_shared_folder_is_refused(master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session(application="app-3", master=master))
