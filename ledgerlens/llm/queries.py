@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, sharding
+from ledgerlens.llm import chat, licenses, sharding
 
 SHARDS = 8
 
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     found = sharding.shard_table(_table(spark, folder, "documents"), "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -37,6 +41,7 @@ def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op5_sharding": op5_sharding,
     "op9_chat_formatting": op9_chat_formatting,
 }
