@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, licenses, sharding
+from ledgerlens.llm import chat, language, licenses, quality, sharding
 
 SHARDS = 8
 
@@ -29,6 +29,26 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def _remainder(number: int) -> Column:
+    """crc32 of doc_id as text, modulo a number; a null doc_id counts as empty text."""
+    return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % number
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").withColumn("held_out", _remainder(4) == 2)
+    profiles = language.learn(docs.filter("not held_out").select("doc_id", "text", "lang"))
+    found = docs.select("doc_id", "held_out", language.identify(F.col("text"), profiles).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    labels = _table(spark, folder, "labels").filter(_remainder(3) != 1)
+    model = quality.learn(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    scored = docs.select("doc_id", (_remainder(3) == 1).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.range(2).select(
@@ -43,6 +63,8 @@ def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op5_sharding": op5_sharding,
+    "op7_language_id": op7_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
 }
 
