@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, language, licenses, quality, sharding
+from ledgerlens.llm import chat, language, licenses, packing, quality, sharding
 
 SHARDS = 8
 
@@ -24,6 +25,10 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents"))
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     found = sharding.shard_table(_table(spark, folder, "documents"), "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -62,6 +67,7 @@ def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_packing": op2_packing,
     "op5_sharding": op5_sharding,
     "op7_language_id": op7_language_id,
     "op8_quality_classifier": op8_quality_classifier,
