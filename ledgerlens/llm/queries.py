@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, language, licenses, packing, quality, sharding
+from ledgerlens.llm import chat, language, licenses, packing, quality, sharding, simhash
 
 SHARDS = 8
 
@@ -34,6 +34,11 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.group(_table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+
+
 def _remainder(number: int) -> Column:
     """crc32 of doc_id as text, modulo a number; a null doc_id counts as empty text."""
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % number
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
     "op5_sharding": op5_sharding,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op7_language_id": op7_language_id,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
