@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, language, licenses, packing, quality, sharding, simhash
+from ledgerlens.llm import chat, embeddings, language, licenses, packing, quality, sharding, simhash
 
 SHARDS = 8
 
@@ -29,6 +29,10 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     found = sharding.shard_table(_table(spark, folder, "documents"), "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -73,6 +77,7 @@ def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_sharding": op5_sharding,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_language_id": op7_language_id,
