@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, embeddings, language, licenses, packing, quality, sharding, simhash
+from ledgerlens.llm import chat, embeddings, language, licenses, packing, quality, sharding, simhash, substrings
 
 SHARDS = 8
 
@@ -74,6 +74,10 @@ def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.unionByName(marked)))
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup_digest(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 OP5_SQL = f"""
