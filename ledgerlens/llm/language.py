@@ -86,12 +86,14 @@ def learn(labelled: DataFrame, size: int = PROFILE_SIZE, sample: int = SAMPLE_SI
 
     The sample is by hash of doc_id and text, so it depends on the rows
     alone. Rows without text or language are left out; without any row there
-    are no languages. The driver gets the first `size` n-grams of each language.
+    are no languages. The driver gets the first `size` n-grams of each
+    language; the broadcast table has one row per language, so it is smaller
+    than the profiles. Texts are not shuffled.
     """
     usable = labelled.filter("text is not null and lang is not null")
     shares = usable.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
     uniform = (F.xxhash64("doc_id", "text").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    chosen = usable.select("lang", "text", uniform.alias("draw")).join(shares, "lang").filter("draw < share")
+    chosen = usable.select("lang", "text", uniform.alias("draw")).join(F.broadcast(shares), "lang").filter("draw < share")
     packed = np.packbits(_letters())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
