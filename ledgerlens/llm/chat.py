@@ -25,7 +25,8 @@ class Template:
     """A turn is written as: before, role, between, text, after.
 
     `escapes` are replaced one after another in roles and texts, and back in
-    reverse order. The first must protect the escapes' own sign, and every
+    reverse order. The first protects the sign that all escapes start with
+    and hold once; then none can arise by chance, and all come back. Every
     mark must hold a character that no escaped text holds.
     """
 
@@ -37,6 +38,15 @@ class Template:
     turn_order: Mapping[str, Mapping[str, str]] = field(default_factory=lambda: TURN_ORDER)
     final_states: tuple[str, ...] = (ANSWERED,)
 
+    def __post_init__(self) -> None:
+        sign, written = self.escapes[0][0], [after for _, after in self.escapes]
+        if any(not w.startswith(sign) or w.count(sign) > 1 for w in written):
+            raise ValueError(f"escapes must start with {sign} and hold it once")
+        if any(a != b and a.startswith(b) for a in written for b in written):
+            raise ValueError("no escape may begin with another")
+        if not all(any(plain in mark for plain, _ in self.escapes) for mark in (self.before, self.between, self.after)):
+            raise ValueError("every mark must hold something that is escaped in texts")
+
     def escape(self, text: Column) -> Column:
         return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), self.escapes, text)
 

@@ -1,0 +1,99 @@
+"""License scans: base phrases against a plain scan, rules, priority and containment."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from ledgerlens.llm import licenses
+from ledgerlens.llm.license_rules import BASE_PHRASES, REACH, RULES
+
+TEXTS = [
+    (1, "Licensed under the Apache License, Version 2.0.", None),
+    (2, "This work is licensed under the GNU General\n  Public--License, version 3 or later. MIT License; MIT license", None),
+    (3, "CC BY-NC 4.0 and cc_by and CC/BY cc by cc by", None),
+    (4, None, None),
+    (5, "", None),
+    (6, "... !!", None),
+    (7, "SPDX-License-Identifier: GPL-2.0-or-later", None),
+    (8, "xmit license mit licenses gnu general public licensee Éapache license", None),
+    (9, ("word " * 3000) + "Apache License" + (" word" * 3000) + " MIT License", None),
+    (None, "MIT LICENSE", None),
+    (None, "MIT LICENSE", None),
+    (10, "MİT License mıt license GNU GENERAL PUBLIC LICENSE 2 apache  license", None),
+]
+
+
+def _words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def _base(text):
+    words = _words(text)
+    found = []
+    for label, phrase in BASE_PHRASES:
+        wanted = phrase.split()
+        found += [(i, label) for i in range(len(words)) if words[i : i + len(wanted)] == wanted]
+    starts = [i for i, _ in found]
+    return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
+
+
+@pytest.fixture(scope="module")
+def scanned(spark):
+    frame = spark.createDataFrame(TEXTS, "doc_id long, text string, row string")
+    return licenses.scan(frame).collect()
+
+
+def test_base_phrases_are_found_wherever_their_words_stand(scanned):
+    expected = sorted(map(repr, ((i, *_base(text)) for i, text, _ in TEXTS)))
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    assert sorted(repr(tuple(row[name] for name in names)) for row in scanned) == expected
+
+
+def test_labels_name_the_license_and_hold_the_base_ones(scanned):
+    labels = {row["doc_id"]: row["labels"] for row in scanned}
+    assert labels[1] == "apache,apache-2.0"
+    assert labels[2] == "gpl,gpl-3.0-or-later,mit"
+    assert labels[3] == "cc-by,cc-by-nc-4.0"
+    assert labels[7] == "gpl-2.0-or-later"
+    assert labels[4] == labels[5] == labels[6] == ""
+    assert all(0 <= row["score"] <= 1 and (row["score"] > 0) == (row["labels"] != "") for row in scanned)
+
+
+def _resolved_by_force(found):
+    kept = []
+    for d in found:
+        order = (d[3], -d[4])
+        rivals = [e for e in found if e is not d and e[1] <= d[1] and e[2] >= d[2] and e[3] >= d[3]]
+        if not any((e[1], e[2]) != (d[1], d[2]) or (e[3], -e[4]) > order for e in rivals):
+            kept.append(d)
+    return sorted(kept)
+
+
+def test_containment_and_priority_against_all_pairs(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = []
+    for row in range(60):
+        for order in range(draw.randrange(1, 9)):
+            first = draw.randrange(6)
+            rows.append((row, first, first + draw.randrange(1, 6), draw.randrange(4), order))
+    frame = spark.createDataFrame(rows, "row long, first_word long, end_word long, priority int, order int")
+    found = sorted(map(tuple, licenses.resolve(frame).collect()))
+    expected = sorted(d for row in range(60) for d in _resolved_by_force([r for r in rows if r[0] == row]))
+    assert found == expected
+
+
+def test_rules_compile_start_with_their_keyword_and_fit_the_reach():
+    assert len(RULES) > 300
+    for rule in RULES:
+        re.compile(rule.pattern)
+        assert rule.pattern.startswith(rule.keyword)
+        assert len(rule.pattern.split(" ")) <= REACH
+
+
+def test_an_empty_table(spark):
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
