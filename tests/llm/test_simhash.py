@@ -1,0 +1,115 @@
+"""SimHash: fingerprints by definition, the covering guarantee, groups against all pairs."""
+
+from __future__ import annotations
+
+import random
+import re
+from itertools import combinations
+
+import pytest
+import xxhash
+from conftest import prose
+
+from ledgerlens.llm import simhash
+from ledgerlens.llm.components import components
+
+
+def _by_definition(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    runs = [" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, 1))]
+    hashes = [xxhash.xxh64_intdigest(run.encode(), 42) for run in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize(
+    "text", [None, "", " \t\n", "One", "one TWO", "a b c", "a b c d", "É x é  y z", "x y z " * 400, prose(3, 700)]
+)
+def test_a_fingerprint_by_definition(text):
+    assert simhash.fingerprint(text) == _by_definition(text)
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_masks_cover_every_pair_within_the_radius(radius):
+    masks = simhash.covering_masks(radius, 16)
+    for bits in combinations(range(16), radius):
+        assert any(not mask & sum(1 << b for b in bits) for mask in masks)
+
+
+def _groups(nodes, linked):
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in linked:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("paired", [0, 3, 32])
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch, paired):
+    """Small and large buckets, with many fingerprints a few bits apart."""
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    draw = random.Random(paired)
+    values = {0, (1 << 64) - 1, 1 << 63}
+    for _ in range(12):
+        value = draw.getrandbits(64)
+        for _ in range(draw.randrange(1, 25)):
+            values.add(value)
+            value ^= sum(1 << b for b in draw.sample(range(64), draw.choice([1, 2, 3])))
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    frame = spark.createDataFrame([(v,) for v in values], "print long")
+    found = [(r["left"], r["right"]) for r in simhash.links(frame).collect()]
+    near = [(a, b) for a, b in combinations(values, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2]
+    assert set(map(lambda p: (min(p), max(p)), found)) <= set(near)
+    assert _groups(values, found) == _groups(values, near)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_chains_stars_and_rings(spark, seed):
+    draw = random.Random(seed)
+    names = draw.sample(range(-(10**18), 10**18), 300)
+    linked = [(names[i], names[i + 1]) for i in range(120)]  # a chain in random order
+    linked += [(names[130], names[i]) for i in range(131, 180)] + [(names[i], names[180 + (i - 179) % 40]) for i in range(180, 220)]
+    linked += [tuple(draw.sample(names[220:], 2)) for _ in range(40)] + [(names[5], names[5]), (names[0], names[1])]
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(linked, "left long, right long")).collect()}
+    touched = {n for a, b in linked if a != b for n in (a, b)}
+    assert found == {n: g for n, g in _groups(sorted(touched), linked).items()}
+
+
+BASE = prose(1, 120)
+ROWS = [
+    (4, BASE, "en"), (2, BASE.upper(), "en"), (9, BASE, "en"), (9, BASE, "en"),
+    (1, None, "en"), (1, "", "en"), (12, "  ", "en"), (None, BASE, "en"), (None, "alone without id", "en"),
+    (None, "alone without id", "en"), (20, prose(2, 4000), "en"), (21, "word", "en"),
+]
+
+
+def test_groups_of_odd_rows(documents):
+    found = simhash.group(documents(ROWS, extra=True)).collect()
+    assert len(found) == len(ROWS)
+    ids = {(r["doc_id"], r["print"] & (1 << 64) - 1): r["component_id"] for r in found}
+    assert ids[4, _by_definition(BASE)] == ids[None, _by_definition(BASE)] == 2
+    assert ids[1, 0] == ids[12, 0] == 1
+    assert ids[None, _by_definition("alone without id")] is None
+
+
+def test_one_document_of_each_group_stays_whole(documents):
+    docs = documents(ROWS, extra=True)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in rows if r["doc_id"]) == [(False, 1), (False, 2), (False, 20), (False, 21)]
+    assert [r["text"] for r in rows if r["doc_id"] is None] == ["alone without id"]
+    assert set(map(tuple, rows)) <= set(map(tuple, docs.collect()))
+
+
+def test_an_empty_table(documents):
+    assert simhash.group(documents([])).collect() == []
+    assert simhash.keep_one(documents([])).collect() == []
