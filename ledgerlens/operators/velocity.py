@@ -12,13 +12,24 @@ rows than the clock has instants, however many transactions share them.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ledgerlens.functions import exact
-from ledgerlens.operators.ranking import top
+from ledgerlens.operators.arrow_groups import groups
+from ledgerlens.operators.nearest_pairs import first_pairs
 from ledgerlens.session import write_table
 
+# Sent to Python workers by value, so that they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MINUTE = 60_000_000
 REACH = 11 * MINUTE  # first gap, in microseconds, that is too long
 
@@ -36,12 +47,16 @@ def _at_several_instants(rows: DataFrame, by: str) -> DataFrame:
     return spans.filter(F.col("earliest") < F.col("latest")).select("account_key", by)
 
 
-def _recurring_ids(rows: DataFrame) -> DataFrame | None:
-    """Ids seen at more than one instant of an account, the only ones that could pair with themselves.
+def _recurring_ids(rows: DataFrame, leads: Column) -> DataFrame | None:
+    """Leaders' ids seen at more than one instant of an account, the only ones that could pair with themselves.
 
-    A pass over a hash of the id comes first; it leaves next to nothing for the exact one.
+    A pass over a hash of the id comes first; it leaves next to nothing for
+    the exact one. It starts from the ids of leaders, which are few, so that
+    other rows can be dropped before they are shuffled.
     """
     hashed = rows.withColumn("id_hash", F.xxhash64("transaction_id"))
+    leading = hashed.filter(leads).select("account_key", "id_hash").distinct()
+    hashed = hashed.join(leading, ["account_key", "id_hash"], "left_semi")
     suspects = write_table(_at_several_instants(hashed, "id_hash"), "recurring-hashes")
     if suspects.isEmpty():
         return None
@@ -62,7 +77,7 @@ def _adjacent_cells(rows: DataFrame) -> DataFrame:
 
 
 def _leaders(rows: DataFrame, same: list[str], leads: Column) -> DataFrame:
-    """Pairs per account, customer and instant of the leader, and the leader amounts they add up to.
+    """Pairs per account, customer and instant of the leader, those with a leader amount, and what these add up to.
 
     A cell is as long as the reach. A leader is followed by whatever comes
     after it in its own cell, and in the next cell by whatever comes before the
@@ -73,6 +88,7 @@ def _leaders(rows: DataFrame, same: list[str], leads: Column) -> DataFrame:
     instants = exact.with_cents(rows).groupBy(*same, "customer_key", "instant").agg(
         F.count(F.lit(1)).alias("rows_here"),
         F.count(F.when(leads, 1)).alias("leading_rows"),
+        F.count(F.when(leads, F.col("row_cents"))).alias("leading_amounts"),
         exact.total_hundredths(units, cents).alias("leading_cents"),
     )
     stands = F.struct(_cell().alias("cell"), F.col("instant").alias("at"), F.col("rows_here").alias("counted"))
@@ -83,7 +99,7 @@ def _leaders(rows: DataFrame, same: list[str], leads: Column) -> DataFrame:
     )
     places = instants.withColumn(
         "place", F.explode(F.when(F.col("leading_rows") > 0, F.array(stands, marks)).otherwise(F.array(stands)))
-    ).select(*same, "customer_key", "instant", "leading_rows", "leading_cents", "place.*")
+    ).select(*same, "customer_key", "instant", "leading_rows", "leading_amounts", "leading_cents", "place.*")
     in_cell = Window.partitionBy(*same, "cell")
     so_far = F.sum("counted").over(in_cell.orderBy("at"))
     whole_cell = F.sum("counted").over(in_cell)
@@ -96,6 +112,7 @@ def _leaders(rows: DataFrame, same: list[str], leads: Column) -> DataFrame:
             "customer_key",
             "instant",
             (F.col("leading_rows") * F.col("followers")).alias("pairs"),
+            (F.col("leading_amounts") * F.col("followers")).alias("paid_pairs"),
             (F.col("leading_cents") * F.col("followers")).cast(exact.WHOLE).alias("pair_cents"),
         )
     )
@@ -115,17 +132,21 @@ def velocity_leaders(rows: DataFrame, leads: Column, unique_ids: bool = False) -
         return _leaders(timed, ["account_key"], leads)
     timed = timed.filter(F.col("transaction_id").isNotNull())
     pairs = _leaders(timed, ["account_key"], leads)
-    recurring = _recurring_ids(timed)
+    recurring = _recurring_ids(timed, leads)
     if recurring is None:
         return pairs
     repeated = timed.join(recurring, ["account_key", "transaction_id"], "left_semi")
     with_itself = _leaders(repeated, ["account_key", "transaction_id"], leads)
     net = pairs.unionByName(
-        with_itself.withColumns({"pairs": -F.col("pairs"), "pair_cents": -F.col("pair_cents")})
+        with_itself.withColumns({name: -F.col(name) for name in ("pairs", "paid_pairs", "pair_cents")})
     )
     return (
         net.groupBy("account_key", "customer_key", "instant")
-        .agg(F.sum("pairs").alias("pairs"), F.sum("pair_cents").cast(exact.WHOLE).alias("pair_cents"))
+        .agg(
+            F.sum("pairs").alias("pairs"),
+            F.sum("paid_pairs").alias("paid_pairs"),
+            F.sum("pair_cents").cast(exact.WHOLE).alias("pair_cents"),
+        )
         .filter(F.col("pairs") > 0)
     )
 
@@ -168,94 +189,91 @@ def pair_order() -> list[Column]:
     ]
 
 
-def _best_leaders(timed: DataFrame, accounts: DataFrame, customers: DataFrame, count: int) -> DataFrame:
-    """The (account, customer, instant) groups whose best pair ranks among the first `count`.
+def _candidates(rows: DataFrame, count: int) -> DataFrame:
+    """The rows that can be in one of the first `count` pairs, a bounded number per account and instant.
 
-    The best pair of a group joins its largest amount to the largest amount in
-    the nearest minute that has a follower. A group outside the first `count`
-    has that many better pairs ahead of all of its own.
+    A pair shuns one id. So of the rows at one instant, `count` of each of the
+    first `count` + 1 ids are enough: by amount, and by key for pairs whose
+    combined amount is unknown. Leaders with and without a known customer, and
+    rows with and without an amount, are chosen apart.
     """
-    best = F.max(F.struct(F.col("amount_usd").alias("amount"), (-F.col("transaction_key")).alias("minus_key")))
-    groups = timed.groupBy("account_key", "customer_key", "instant").agg(best.alias("best"))
-    by_time = Window.partitionBy("account_key", "cell").orderBy("instant")
-    in_minute = [
-        F.max("best").over(by_time.rangeBetween(max(minute * MINUTE, 1), (minute + 1) * MINUTE - 1))
-        for minute in range(REACH // MINUTE)
-    ]
-    nearest = F.coalesce(
-        *[
-            F.when(found.isNotNull(), F.struct(F.lit(minute).alias("minutes"), found.alias("best")))
-            for minute, found in enumerate(in_minute)
-        ]
-    )
-    order = [
-        F.col("partner.minutes"),
-        (F.col("best.amount") + F.col("partner.best.amount")).desc_nulls_last(),
-        F.col("best.minus_key").desc(),
-        F.col("partner.best.minus_key").desc(),
-    ]
-    led = (
-        _adjacent_cells(groups)
-        .withColumn("partner", nearest)
-        .filter((F.col("cell") == F.col("own_cell")) & F.col("partner").isNotNull())
-    )
-    # A first cut per account and customer keeps the dimension joins free of hot keys.
-    place = F.row_number().over(Window.partitionBy("account_key", "customer_key").orderBy(*order))
-    ranked = led.withColumn("place", place).filter(F.col("place") <= count)
-    known = ranked.join(accounts.select("account_key"), "account_key", "left_semi").join(
-        customers.select("customer_key"), "customer_key", "left_semi"
-    )
-    return top(known, count, *order).select("account_key", "customer_key", F.col("instant").alias("lead_instant"))
-
+    rows = rows.withColumn("unknown", F.col("amount_usd").isNull())
+    here = ["account_key", "leads", "instant", "unknown"]
+
+    def first(some: DataFrame, *order: Column) -> DataFrame:
+        of_id = Window.partitionBy(*here, "transaction_id")
+        ids = Window.partitionBy(*here).orderBy("best")
+        return (
+            some.withColumn("place", F.row_number().over(of_id.orderBy(*order)))
+            .filter(F.col("place") <= count)
+            .withColumn("best", F.min(F.struct(*order)).over(of_id))
+            .withColumn("place", F.dense_rank().over(ids))
+            .filter(F.col("place") <= count + 1)
+            .drop("place", "best")
+        )
 
-def _first_rows(rows: DataFrame, group: list[str], count: int) -> DataFrame:
-    order = [F.col("amount_usd").desc_nulls_last(), F.col("transaction_key")]
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("place", place).filter(F.col("place") <= count).drop("place")
+    by_amount = first(rows, -F.col("amount_usd"), F.col("transaction_key"))
+    by_key = first(rows.filter(~F.col("unknown")), F.col("transaction_key"))
+    return by_amount.union(by_key).dropDuplicates([*here, "transaction_id", "transaction_key"])
 
 
 def closest_pairs(rows: DataFrame, accounts: DataFrame, customers: DataFrame, count: int) -> DataFrame:
     """A small set of pairs among `rows` that holds the first `count` in `pair_order`.
 
-    Only pairs whose account and leading customer are known count. Groups of
-    leaders are ranked by their best pair and the first `count` of them are
-    paired, with the `count` largest amounts of the group and of each minute
-    after it. Nothing is lost by that: whatever is left out has `count` better
-    pairs ahead of it. The argument needs ids that do not recur within an
-    account; rows with an id that does are paired in full.
+    Only pairs whose account and leading customer are known count. Rows are
+    first cut to a bounded number per account and instant; then each account
+    and cell gives its first `count` pairs, with rows of the next cell as
+    followers only. A pair with an unknown amount comes after all others of
+    its minute, by key alone.
     """
     timed = _timed(
         rows.select("account_key", "customer_key", "transaction_key", "transaction_id",
                     "transaction_datetime", "amount_usd", "channel").filter(F.col("transaction_id").isNotNull())
     )
-    plain, recurring = timed, _recurring_ids(timed)
-    if recurring is not None:
-        by_id = ["account_key", "transaction_id"]
-        plain = timed.join(recurring, by_id, "left_anti")
-        repeated = timed.join(recurring, by_id, "left_semi")
-        others = plain.join(recurring.select("account_key").distinct(), "account_key", "left_semi")
-
-    # At most `count` rows, hence small enough to broadcast.
-    groups = F.broadcast(write_table(_best_leaders(plain, accounts, customers, count), "best-leaders"))
-    leading = plain.withColumn("lead_instant", F.col("instant")).join(
-        groups, ["account_key", "customer_key", "lead_instant"], "left_semi"
-    )
-    after = F.col("instant") - F.col("lead_instant")
-    following = (
-        plain.drop("customer_key", "channel")
-        .join(groups.select("account_key", "lead_instant").distinct(), "account_key")
-        .filter(after.between(1, REACH - 1))
-        .withColumn("minutes", F.floor(after / F.lit(MINUTE)))
+    known = customers.select("customer_key", F.lit(True).alias("leads"))
+    marked = (
+        timed.join(accounts.select("account_key"), "account_key", "left_semi")
+        .join(known, "customer_key", "left")
+        .withColumn("leads", F.coalesce("leads", F.lit(False)))
     )
-    first = _first_rows(leading, ["account_key", "customer_key", "lead_instant"], count)
-    second = _first_rows(following, ["account_key", "lead_instant", "minutes"], count)
-    pairs = _as(first, "first", "account_key", "customer_key", "channel", "lead_instant").join(
-        _as(second, "second", "account_key", "lead_instant"), ["account_key", "lead_instant"]
+    cells = (
+        _adjacent_cells(_candidates(marked, count))
+        .withColumn("leads", F.col("leads") & (F.col("cell") == F.col("own_cell")))
+        .withColumn("cents", exact.hundredths(F.col("amount_usd")))
+        .select("account_key", "cell", "leads", "cents", "customer_key", "channel", *_ROW)
+        .repartition("account_key", "cell")
+        .sortWithinPartitions("account_key", "cell", "instant")
     )
-    pairs = pairs.filter(_real_pair()).drop("lead_instant")
-    if recurring is None:
-        return pairs
-    with_repeated = velocity_pairs(repeated, repeated.unionByName(others)).unionByName(
-        velocity_pairs(others, repeated)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, "account_key", "cell"):
+            ids = batch.column("transaction_id").dictionary_encode().indices.to_numpy()
+            cents = batch.column("cents")
+            side = {
+                "time": batch.column("instant").to_numpy(),
+                "value": cents.fill_null(0).to_numpy(),
+                "key": batch.column("transaction_key").to_numpy(),
+                "id": ids.astype(np.int64),
+            }
+            leads = batch.column("leads").to_numpy(zero_copy_only=False)
+            unknown = cents.is_null().to_numpy(zero_copy_only=False)
+            found: list[tuple[int, int]] = []
+            everyone = np.ones(len(leads), bool)
+            for leaders, followers in ((~unknown, ~unknown), (unknown, everyone), (~unknown, unknown)):
+                first, second = np.flatnonzero(leads & leaders), np.flatnonzero(followers)
+                one, two = ({name: x[at] for name, x in side.items()} for at in (first, second))
+                if followers is not leaders:  # the combined amount is unknown
+                    one["value"], two["value"] = np.zeros_like(one["value"]), np.zeros_like(two["value"])
+                pairs = first_pairs(one, two, count, MINUTE, REACH // MINUTE)
+                found += [(int(first[a]), int(second[b])) for a, b in pairs]
+            if found:
+                one, two = (batch.take(pa.array(at, pa.int64())) for at in zip(*found, strict=True))
+                columns = [one.column(name) for name in shared] + [side.column(name) for side in (one, two) for name in _ROW]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    shared = ("account_key", "customer_key", "channel")
+    names = {f"{side}_{name}": cells.schema[name] for side in ("first", "second") for name in _ROW}
+    schema = StructType(
+        [cells.schema[name] for name in shared] + [StructField(name, f.dataType) for name, f in names.items()]
     )
-    return pairs.unionByName(with_repeated)
+    return cells.mapInArrow(nearest, schema)

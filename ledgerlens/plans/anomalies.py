@@ -71,6 +71,7 @@ def velocity_account_summary(star: Star, count: int = 20) -> DataFrame:
     leaders = velocity_leaders(_flagged(star), F.col("is_flagged") == 1)
     per_account = leaders.groupBy("account_key", "customer_key").agg(
         F.sum("pairs").alias("hits"),
+        F.sum("paid_pairs").alias("paid"),
         F.sum("pair_cents").cast(exact.WHOLE).alias("cents"),
         F.max("instant").alias("last_instant"),
     )
@@ -81,18 +82,19 @@ def velocity_account_summary(star: Star, count: int = 20) -> DataFrame:
         .groupBy(*keys)
         .agg(
             F.sum("hits").alias("velocity_hits"),
+            F.sum("paid").alias("paid"),
             F.sum("cents").cast(exact.WHOLE).alias("cents"),
             F.max("last_instant").alias("last_instant"),
         )
     )
-    mean = exact.mean_hundredths(F.col("cents"), F.col("velocity_hits"))
+    mean = exact.mean_hundredths(F.col("cents"), F.col("paid"))
     order = [F.col("velocity_hits").desc(), "account_key", "full_name", "customer_segment"]
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     seconds = (F.col("last_instant").cast("decimal(20,0)") / 1000000).cast("decimal(18,6)")
     return top(named, count, *order).select(
         *keys,
         "velocity_hits",
-        (F.col("cents").cast("double") / F.lit(100.0)).alias("total_value_usd"),
+        F.when(F.col("paid") > 0, F.col("cents").cast("double") / F.lit(100.0)).alias("total_value_usd"),
         (mean / F.lit(100.0)).alias("average_amount_usd"),
         (start + F.make_dt_interval(secs=seconds)).alias("last_seen"),
     )

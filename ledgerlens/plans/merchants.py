@@ -128,10 +128,13 @@ def merchant_concentration(star: Star, count: int = 20) -> DataFrame:
         summarise_by_dimension(star.fact, _merchants(star, *keys), "merchant_key", keys, names), "merchant-flags"
     )
     first = top(merchants, count, F.col("flagged_count").desc(), *keys)
-    running = running_total_by_value(merchants, "flagged_count", count, "running")
+    running = running_total_by_value(merchants, "flagged_count", count, "running").withColumnRenamed(
+        "flagged_count", "running_at"
+    )
     total = merchants.agg(F.sum("flagged_count")).scalar()
     return (
-        first.join(F.broadcast(running), "flagged_count")  # at most `count` rows
+        # At most `count` rows; merchants whose flags are all missing come last, with the full total.
+        first.join(F.broadcast(running), F.col("flagged_count").eqNullSafe(F.col("running_at")))
         .select(
             *keys,
             "flagged_count",

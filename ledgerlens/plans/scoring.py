@@ -169,7 +169,8 @@ def _signals(star: Star) -> DataFrame:
         _share(F.col("off_hours_count"), F.col("total_txns")).alias("off_hours_share"),
         "geo_mismatch_count",
         "high_risk_country_count",
-        _share(F.col("shell_rows"), F.col("merchant_rows")).alias("shell_share"),
+        # A join on the customer finds no shell share for rows without one.
+        F.when(F.col("customer_key").isNotNull(), _share(F.col("shell_rows"), F.col("merchant_rows"))).alias("shell_share"),
         "outlier_txn_count",
         F.coalesce("velocity_hit_count", F.lit(0)).alias("velocity_hit_count"),
     )

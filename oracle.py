@@ -100,18 +100,18 @@ def big(expr: str) -> str:
 
 def spread(x: str) -> str:
     """n * sum(x^2) - sum(x)^2 over a group of whole numbers."""
-    return f"(count(*)::HUGEINT * sum({x}::HUGEINT * {x}) - sum({x}::HUGEINT) * sum({x}::HUGEINT))"
+    return f"(count({x})::HUGEINT * sum({x}::HUGEINT * {x}) - sum({x}::HUGEINT) * sum({x}::HUGEINT))"
 
 
 def sd(x: str) -> str:
-    return f"CAST(floor(sqrt(CAST({spread(x)} AS DOUBLE)) / count(*) + 0.5) AS BIGINT)"
+    return f"CAST(floor(sqrt(CAST({spread(x)} AS DOUBLE)) / count({x}) + 0.5) AS BIGINT)"
 
 
 MEASURES = {
     "n": f"{big('count(*)')} AS total_transactions",
     "uc": f"{big('count(DISTINCT t.customer_key)')} AS unique_customers",
     "tv": f"{money('sum(t.cents)')} AS total_value_usd",
-    "av": f"(CAST({nearest('sum(t.cents)', 'count(*)')} AS DOUBLE) / 100) AS average_amount_usd",
+    "av": f"(CAST({nearest('sum(t.cents)', 'count(t.cents)')} AS DOUBLE) / 100) AS average_amount_usd",
     "mn": f"{money('min(t.cents)')} AS min_transaction_usd",
     "mx": f"{money('max(t.cents)')} AS max_transaction_usd",
     "sd": f"(CAST({sd('t.cents')} AS DOUBLE) / 100) AS spend_volatility",
@@ -229,7 +229,7 @@ define(
     "q19_velocity_account_summary",
     f"""SELECT t1.account_key, a.account_id, c.full_name, c.customer_segment, {big('count(*)')} AS velocity_hits,
        {money('sum(t1.cents)')} AS total_value_usd,
-       (CAST({nearest('sum(t1.cents)', 'count(*)')} AS DOUBLE) / 100) AS average_amount_usd,
+       (CAST({nearest('sum(t1.cents)', 'count(t1.cents)')} AS DOUBLE) / 100) AS average_amount_usd,
        max(t1.transaction_datetime) AS last_seen
 FROM f t1 JOIN f t2 ON {RAPID}
 JOIN dim_account a ON t1.account_key = a.account_key JOIN dim_customer c ON t1.customer_key = c.customer_key
@@ -244,7 +244,7 @@ define(
 FROM fact_transactions t JOIN usual u ON t.customer_key = u.customer_key {CUSTOMER}
 WHERE t.cents >= u.mean + 3 * u.dev
 ORDER BY times_above_average DESC NULLS LAST, t.transaction_key, t.cents LIMIT 50""",
-    f"""usual AS (SELECT customer_key, {nearest('sum(cents)', 'count(*)')} AS mean, {sd('cents')} AS dev
+    f"""usual AS (SELECT customer_key, {nearest('sum(cents)', 'count(cents)')} AS mean, {sd('cents')} AS dev
 FROM fact_transactions GROUP BY customer_key)""",
 )
 define(
@@ -438,7 +438,7 @@ FROM fact_transactions t {MERCHANT} GROUP BY ALL)""",
 )
 
 # Scoring
-STATS = f"""moments AS (SELECT customer_key, count(*) AS n, sum(cents) AS s, {spread('cents')} AS var
+STATS = f"""moments AS (SELECT customer_key, count(cents) AS n, sum(cents) AS s, {spread('cents')} AS var
 FROM fact_transactions GROUP BY customer_key)"""
 VELOCITY = f"""velocity AS (SELECT t1.customer_key, count(*) AS hits FROM fact_transactions t1
 JOIN fact_transactions t2 ON {RAPID} AND t1.is_flagged = 1 GROUP BY t1.customer_key)"""
@@ -465,25 +465,34 @@ SIGNALS = (
       ams.outlier_txn_count, coalesce(v.hits, 0) AS velocity_hit_count
       FROM fs LEFT JOIN gs ON fs.customer_key = gs.customer_key LEFT JOIN ss ON fs.customer_key = ss.customer_key
       LEFT JOIN ams ON fs.customer_key = ams.customer_key LEFT JOIN velocity v ON fs.customer_key = v.customer_key)""",
-    "ntiles AS (SELECT *, "
+    """long AS (SELECT customer_key, unnest([
+      {'signal': 'flagged', 'amount': flagged_pct}, {'signal': 'off_hours', 'amount': off_hours_pct},
+      {'signal': 'geo', 'amount': geo_mismatch_count::DOUBLE}, {'signal': 'country', 'amount': high_risk_country_count::DOUBLE},
+      {'signal': 'shell', 'amount': shell_txn_pct}, {'signal': 'outlier', 'amount': outlier_txn_count::DOUBLE},
+      {'signal': 'velocity', 'amount': velocity_hit_count::DOUBLE}], recursive := true) FROM combined)""",
+    """ranked AS (SELECT *, ntile(5) OVER (PARTITION BY signal ORDER BY amount NULLS FIRST, customer_key NULLS FIRST) AS fifth
+      FROM long)""",
+    """weights(signal, weight) AS (VALUES ('flagged', 6), ('velocity', 4), ('off_hours', 3), ('geo', 3), ('shell', 2),
+      ('country', 1), ('outlier', 1))""",
+    "ntiles AS (SELECT customer_key, "
     + ", ".join(
-        f"CAST(ntile(5) OVER (ORDER BY {signal} ASC NULLS FIRST, customer_key ASC NULLS FIRST) AS INTEGER) AS {score}"
+        f"CAST(max(fifth) FILTER (signal = '{signal}') AS INTEGER) AS {score}"
         for signal, score in {
-            "flagged_pct": "flagged_score",
-            "off_hours_pct": "off_hours_score",
-            "geo_mismatch_count": "geo_score",
-            "high_risk_country_count": "high_risk_country_score",
-            "shell_txn_pct": "shell_score",
-            "outlier_txn_count": "outlier_score",
-            "velocity_hit_count": "velocity_score",
+            "flagged": "flagged_score",
+            "off_hours": "off_hours_score",
+            "geo": "geo_score",
+            "country": "high_risk_country_score",
+            "shell": "shell_score",
+            "outlier": "outlier_score",
+            "velocity": "velocity_score",
         }.items()
     )
-    + " FROM combined)",
-    """composite AS (SELECT *, CAST(flagged_score*30//5 + velocity_score*20//5 + off_hours_score*15//5 + geo_score*15//5
-      + shell_score*10//5 + high_risk_country_score*5//5 + outlier_score*5//5 AS BIGINT) AS composite_risk_score FROM ntiles)""",
-    """scored AS (SELECT *, CASE WHEN composite_risk_score >= 80 THEN 'CRITICAL' WHEN composite_risk_score >= 60 THEN 'HIGH'
-      WHEN composite_risk_score >= 40 THEN 'MEDIUM' WHEN composite_risk_score >= 20 THEN 'LOW' ELSE 'MINIMAL' END AS risk_tier
-      FROM composite)""",
+    + ", CAST(sum(fifth * weight) AS BIGINT) AS composite_risk_score FROM ranked JOIN weights USING (signal)"
+    " GROUP BY customer_key)",
+    """scored AS (SELECT combined.*, ntiles.* EXCLUDE (customer_key), CASE WHEN composite_risk_score >= 80 THEN 'CRITICAL'
+      WHEN composite_risk_score >= 60 THEN 'HIGH' WHEN composite_risk_score >= 40 THEN 'MEDIUM'
+      WHEN composite_risk_score >= 20 THEN 'LOW' ELSE 'MINIMAL' END AS risk_tier
+      FROM combined JOIN ntiles ON combined.customer_key IS NOT DISTINCT FROM ntiles.customer_key)""",
 )
 define(
     "q39_customer_amount_stats",
@@ -538,7 +547,7 @@ QUINTILES = (
     " velocity_score"
 )
 define("s6_ntile_scores", f"SELECT {QUINTILES} FROM ntiles", *SIGNALS)
-define("s7_composite_score", "SELECT customer_key, composite_risk_score FROM composite", *SIGNALS)
+define("s7_composite_score", "SELECT customer_key, composite_risk_score FROM ntiles", *SIGNALS)
 define("s8_risk_tier", "SELECT customer_key, risk_tier FROM scored", *SIGNALS)
 
 # Dashboard tables
@@ -578,7 +587,7 @@ define(
     "d06_off_hours_kpis",
     f"""SELECT {big('sum(is_off_hours)')} AS off_hours_transactions,
   {pct('sum(is_flagged) FILTER (is_off_hours = 1)', 'count(*) FILTER (is_off_hours = 1)')} AS off_hours_flagged_percentage,
-  {pct('sum(is_flagged) FILTER (is_off_hours = 0)', 'count(*) FILTER (is_off_hours = 0)')} AS normal_flagged_percentage
+  {pct('sum(is_flagged) FILTER ((is_off_hours = 1) IS NOT TRUE)', 'count(*) FILTER ((is_off_hours = 1) IS NOT TRUE)')} AS normal_flagged_percentage
 FROM fact_transactions""",
 )
 define(
@@ -612,7 +621,7 @@ define(
 define(
     "d12_channel_hours_matrix",
     f"""SELECT channel, {big('count(*) FILTER (is_off_hours = 1)')} AS off_hours_transactions,
-       {big('count(*) FILTER (is_off_hours = 0)')} AS normal_transactions FROM fact_transactions GROUP BY channel""",
+       {big('count(*) FILTER ((is_off_hours = 1) IS NOT TRUE)')} AS normal_transactions FROM fact_transactions GROUP BY channel""",
 )
 define(
     "d13_tier_kpis",
@@ -634,7 +643,7 @@ define(
 define("d16_flagged_pct_by_kyc", grouped("c.kyc_status", "fp", CUSTOMER))
 define(
     "d17_tier_distribution",
-    f"""SELECT v.risk_tier, {big('count(s.customer_key)')} AS customer_count
+    f"""SELECT v.risk_tier, {big('count(s.composite_risk_score)')} AS customer_count
 FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('MINIMAL')) v(risk_tier)
 LEFT JOIN scored s ON s.risk_tier = v.risk_tier GROUP BY v.risk_tier""",
     *SIGNALS,
@@ -683,6 +692,6 @@ define(
   UNION ALL SELECT 'transactions by type', (SELECT count(*) FROM fact_transactions WHERE transaction_type IS NOT NULL),
          (SELECT count(*) FROM fact_transactions)
   UNION ALL SELECT 'customers by risk tier', (SELECT count(*) FROM scored),
-         (SELECT count(DISTINCT customer_key) FROM fact_transactions))""",
+         (SELECT count(*) FROM (SELECT DISTINCT customer_key FROM fact_transactions)))""",
     *SIGNALS,
 )

@@ -32,7 +32,7 @@ def pairs_by_hand(rows, leads):
                 yield a, b
 
 
-def random_rows(rng, count, accounts, span, recurring=False, micros=False):
+def random_rows(rng, count, accounts, span, recurring=False, micros=False, unknown=0.0):
     rows = []
     for key in range(count):
         second = rng.randint(0, span) + (rng.random() if micros else 0)
@@ -43,7 +43,7 @@ def random_rows(rng, count, accounts, span, recurring=False, micros=False):
                 "account_key": rng.choice([*range(accounts), None]) if rng.random() < 0.1 else rng.randint(1, accounts),
                 "customer_key": rng.randint(1, 3),
                 "transaction_datetime": at(second) if rng.random() > 0.03 else None,
-                "amount_usd": f"{rng.randint(1, 30)}.{rng.randint(0, 99):02d}",
+                "amount_usd": f"{rng.randint(1, 30)}.{rng.randint(0, 99):02d}" if rng.random() >= unknown else None,
                 "is_flagged": int(rng.random() < 0.5),
             }
         )
@@ -56,6 +56,8 @@ SHAPES = [
     dict(count=150, accounts=2, span=3000, recurring=True),
     dict(count=150, accounts=3, span=60000, recurring=True),
     dict(count=200, accounts=1, span=5),  # one hot account, a handful of instants
+    dict(count=150, accounts=2, span=3000, recurring=True, unknown=0.3),
+    dict(count=120, accounts=2, span=2000, micros=True, unknown=0.9),
 ]
 
 
@@ -63,14 +65,15 @@ SHAPES = [
 @pytest.mark.parametrize("seed", [1, 2])
 def test_counts_equal_all_pairs(spark, shape, seed):
     rows = random_rows(random.Random(seed), **shape)
-    wanted = defaultdict(lambda: [0, 0])
+    wanted = defaultdict(lambda: [0, 0, 0])
     for a, _ in pairs_by_hand(rows, lambda row: row["is_flagged"] == 1):
         total = wanted[a["account_key"], a["customer_key"]]
         total[0] += 1
-        total[1] += int(a["amount_usd"].replace(".", ""))
+        total[1] += int((a["amount_usd"] or "0").replace(".", ""))
+        total[2] += a["amount_usd"] is not None
     got = velocity_leaders(frame_of(spark, "fact_transactions", rows), F.col("is_flagged") == 1)
-    got = got.groupBy("account_key", "customer_key").agg(F.sum("pairs"), F.sum("pair_cents"))
-    assert {(r[0], r[1]): [r[2], int(r[3])] for r in got.collect()} == dict(wanted)
+    got = got.groupBy("account_key", "customer_key").agg(F.sum("pairs"), F.sum("pair_cents"), F.sum("paid_pairs"))
+    assert {(r[0], r[1]): [r[2], int(r[3] or 0), r[4]] for r in got.collect()} == dict(wanted)
 
 
 @pytest.mark.parametrize("shape", SHAPES)
@@ -82,15 +85,16 @@ def test_closest_pairs_equal_all_pairs(spark, shape, count):
     def order(pair):
         a, b = pair
         minutes = (b["transaction_datetime"] - a["transaction_datetime"]) // datetime.timedelta(minutes=1)
-        cents = sum(int(row["amount_usd"].replace(".", "")) for row in pair)
-        return minutes, -cents, a["transaction_key"], b["transaction_key"]
+        known = all(row["amount_usd"] for row in pair)
+        cents = sum(int(row["amount_usd"].replace(".", "")) for row in pair) if known else 0
+        return minutes, not known, -cents, a["transaction_key"], b["transaction_key"]
 
     wanted = [
         pair
         for pair in pairs_by_hand(rows, lambda row: True)
         if pair[0]["account_key"] in known_accounts and pair[0]["customer_key"] in known_customers
     ]
-    wanted = [order(pair)[2:] for pair in sorted(wanted, key=order)[:count]]
+    wanted = [order(pair)[3:] for pair in sorted(wanted, key=order)[:count]]
 
     accounts = spark.createDataFrame([(k,) for k in known_accounts], "account_key long")
     customers = spark.createDataFrame([(k,) for k in known_customers], "customer_key long")
