@@ -98,7 +98,13 @@ def mean_hundredths(total: Column, count: Column) -> Column:
 
 
 def spread(count: Column, total: Column, squares: Column) -> Column:
-    """`n * sum(x^2) - sum(x)^2`, the population variance times n^2, for whole x."""
+    """`n * sum(x^2) - sum(x)^2`, the population variance times n^2, for whole x.
+
+    Nine times this and n * sum(x^2) must have at most 38 digits, else Spark
+    raises NUMERIC_VALUE_OUT_OF_RANGE: with x in hundredths, that holds while
+    a group's rows times its root mean square amount stay below 3e16 units
+    (300 billion rows of 100,000 units).
+    """
     total = total.cast(WHOLE)
     return (count.cast(WHOLE) * squares.cast(WHOLE)).cast(WHOLE) - (total * total).cast(WHOLE)
 

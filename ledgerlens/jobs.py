@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ledgerlens.plans import anomalies, audits, baseline, customers, dashboard, loading, merchants, scoring
+from ledgerlens.sources.order_star import damaged_export
 from ledgerlens.sources.star import Star
 
 JOBS: dict[str, Callable[[Star], DataFrame]] = {
@@ -89,7 +90,7 @@ JOBS: dict[str, Callable[[Star], DataFrame]] = {
     "d18_watchlist_top10": dashboard.watchlist_top10,
     "d19_quarter_change": dashboard.quarter_change,
     # Loading and audits
-    "a1_load_csv_table": loading.reload_fact_from_csv,
+    "a1_load_csv_table": lambda star: loading.load_fact(star.spark, *damaged_export(star)),
     "a2_orphan_audit": audits.orphan_audit,
     "a3_customer_risk_scores": scoring.customer_risk_score_table,
     "a4_reference_number_check": audits.reference_number_check,

@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000  # a per-key table of a few numbers: some tens of megabytes at most
 HOT_SHARE = 1000  # a key with more than one in this many rows is split
+_UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def broadcast_bytes(spark: SparkSession) -> int:
+    """The session's limit for broadcast tables; -1 where broadcasts are off."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m").lower()
+    number, unit = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", text).groups()
+    return int(number) * _UNITS[unit or "b"]
 
 
-def join_per_key(
-    rows: DataFrame,
-    table: DataFrame,
-    key: str,
-    weight: str,
-    spread_by: list[str],
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Inner join of `rows` to a stored table with one row per key and the key's row count in `weight`.
+def join_per_key(rows: DataFrame, table: DataFrame, key: str, weight: str, spread_by: list[str]) -> DataFrame:
+    """Inner join of `rows` to a stored table of numbers with one row per key and the key's row count in `weight`.
 
-    A table of at most `broadcast_rows` rows is broadcast. Otherwise both sides
-    are shuffled, and a hot key is divided into as many parts as it holds
+    A table that the session would broadcast is joined as it is. Otherwise both
+    sides are shuffled, and a hot key is divided into as many parts as it holds
     thousandths of the rows: each of its rows goes to a part by a hash of
     `spread_by`, and its table row to all of them. Fewer than HOT_SHARE keys
     can be hot, so the list of them is always small enough to broadcast.
     """
     members, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
-    if members <= broadcast_rows:
-        return rows.join(F.broadcast(table), key)
+    if members * 16 * len(table.columns) <= broadcast_bytes(rows.sparkSession):
+        return rows.join(table, key)
     parts = F.ceil(F.col(weight) * HOT_SHARE / total).cast("int")
     hot = F.broadcast(table.filter(F.col(weight) * HOT_SHARE > total).select(key, parts.alias("parts")))
     part_of_row = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("parts")), F.lit(0)).cast("int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlens.functions.exact import with_cents
 from ledgerlens.functions.measures import finish, parts_of_parts, parts_of_rows
@@ -38,6 +39,18 @@ def key_parts(rows: DataFrame, grain: list[str], names: tuple[str, ...]) -> Data
     return with_cents(rows).groupBy(*grain).agg(*parts_of_rows(names))
 
 
+def representatives(dimension: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Tables from each key to one key that stands for all with equal columns, and from that key to the columns.
+
+    Two hashes stand for the columns, NULLs included, so that distinct counts
+    shuffle a number in place of texts.
+    """
+    hashed = dimension.select(key, F.xxhash64(*columns).alias("_one"), F.xxhash64(F.lit(1), *columns).alias("_other"), *columns)
+    first = hashed.groupBy("_one", "_other").agg(F.min(key).alias("_same"))
+    named = hashed.join(first, ["_one", "_other"])
+    return named.select(key, "_same"), named.filter(F.col(key) == F.col("_same")).select("_same", *columns)
+
+
 def summarise_by_dimension(
     rows: DataFrame,
     dimension: DataFrame,
@@ -46,11 +59,21 @@ def summarise_by_dimension(
     names: tuple[str, ...],
     extra: dict[str, Column] | None = None,
     also_by: tuple[str, ...] = (),
+    distinct: dict[str, str] | None = None,
 ) -> DataFrame:
     """Measures per group of dimension columns, aggregated on the foreign key before the join.
 
     Rows whose key is missing or unknown drop out, as in an inner join. Columns
-    of the fact that `extra` or `keys` use are named in `also_by`.
+    of the fact that `extra` or `keys` use are named in `also_by`. `distinct`
+    names counts of distinct values of a fact column, by groups of dimension
+    columns only: they are counted per representative key, and the texts of
+    the dimension join the finished groups.
     """
-    parts = key_parts(rows, [key, *also_by], names)
-    return summarise_parts(parts.join(dimension, key), keys, names, extra)
+    if not distinct:
+        parts = key_parts(rows, [key, *also_by], names)
+        return summarise_parts(parts.join(dimension, key), keys, names, extra)
+    same, texts = representatives(dimension, key, keys)
+    parts = key_parts(rows, [key, *distinct.values()], names)
+    counts = {name: F.countDistinct(column) for name, column in distinct.items()}
+    groups = summarise_parts(parts.join(same, key), ["_same"], names, counts)
+    return groups.join(texts, "_same").select(*keys, *counts, *names)

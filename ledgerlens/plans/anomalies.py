@@ -185,22 +185,29 @@ def _abroad() -> object:
 
 
 def geo_mismatch_transactions(star: Star, count: int = 50) -> DataFrame:
-    places = star.location.select("location_key", "country", "city", "is_high_risk_country")
-    rows = star.fact.select(
-        "transaction_key", "transaction_id", "customer_key", "location_key",
-        "transaction_datetime", "amount_usd", "channel", "is_flagged",
-    )
-    away = (
-        rows.join(places, "location_key")
-        .join(_home(star, "customer_id", "full_name"), "customer_key")
-        .filter(_abroad())
-    )
+    """The rows are chosen on their keys, risk and amount alone; the other columns are fetched for the chosen ones."""
+    places = star.location.select("location_key", "country", "is_high_risk_country")
+    rows = star.fact.select("transaction_key", "customer_key", "location_key", "amount_usd")
+    away = rows.join(places, "location_key").join(_home(star), "customer_key").filter(_abroad())
     order = [
         F.col("is_high_risk_country").desc(),
         F.col("amount_usd").desc_nulls_last(),
         F.col("transaction_key"),
     ]
-    return top(away, count, *order).select(
+    # At most `count` rows, hence small enough to broadcast.
+    chosen = F.broadcast(
+        top(away, count, *order).select("transaction_key", "customer_key", "location_key", "home_country", "country")
+    )
+    details = star.fact.select(
+        "transaction_key", "transaction_id", "customer_key", "location_key",
+        "transaction_datetime", "amount_usd", "channel", "is_flagged",
+    )
+    found = (
+        details.join(chosen, ["transaction_key", "customer_key", "location_key"])
+        .join(star.location.select("location_key", "city", "is_high_risk_country"), "location_key")
+        .join(star.customer.select("customer_key", "customer_id", "full_name"), "customer_key")
+    )
+    return top(found, count, *order).select(
         "transaction_id",
         "customer_id",
         "full_name",

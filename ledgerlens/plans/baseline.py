@@ -13,6 +13,7 @@ from ledgerlens.sources.star import Star
 
 USUAL = ("total_transactions", "total_value_usd", "average_amount_usd", "flagged_count", "flagged_percentage")
 UNIQUE_CUSTOMERS = "unique_customers"
+DISTINCT_CUSTOMERS = {UNIQUE_CUSTOMERS: "customer_key"}
 
 
 def distinct_customers() -> dict:
@@ -83,7 +84,7 @@ def country_breakdown(star: Star) -> DataFrame:
     places = star.location.select("location_key", "country", "region")
     return by_value(
         summarise_by_dimension(
-            star.fact, places, "location_key", ["country", "region"], USUAL, distinct_customers(), ("customer_key",)
+            star.fact, places, "location_key", ["country", "region"], USUAL, distinct=DISTINCT_CUSTOMERS
         )
     )
 
@@ -99,7 +100,7 @@ def high_risk_country_activity(star: Star) -> DataFrame:
     rows = star.fact.join(risky.select("location_key"), "location_key", "left_semi")
     return by_value(
         summarise_by_dimension(
-            rows, risky, "location_key", ["country", "city"], USUAL, distinct_customers(), ("customer_key",)
+            rows, risky, "location_key", ["country", "city"], USUAL, distinct=DISTINCT_CUSTOMERS
         )
     )
 
@@ -128,6 +129,5 @@ def account_type_breakdown(star: Star) -> DataFrame:
         "account_key",
         ["account_type", "balance_tier"],
         names,
-        distinct_customers(),
-        ("customer_key",),
+        distinct=DISTINCT_CUSTOMERS
     ).orderBy(F.col("average_amount_usd").desc())

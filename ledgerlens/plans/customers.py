@@ -23,9 +23,8 @@ def customer_baseline(star: Star, count: int = 50) -> DataFrame:
         "flagged_count", "flagged_percentage", "off_hours_count", "off_hours_percentage",
         "first_transaction", "last_transaction",
     )
-    accounts = {"accounts_used": F.countDistinct("account_key")}
     groups = summarise_by_dimension(
-        star.fact, _profile(star, *keys), "customer_key", keys, names, accounts, ("account_key",)
+        star.fact, _profile(star, *keys), "customer_key", keys, names, distinct={"accounts_used": "account_key"}
     )
     return top(groups, count, F.col("flagged_count").desc(), *keys)
 
@@ -56,15 +55,18 @@ def unusual_channel_use(star: Star, count: int = 30) -> DataFrame:
     return first.withColumnRenamed("channel", "channel_used")
 
 
-def quarter_spend_spike(star: Star, count: int = 30) -> DataFrame:
+def quarter_spend_spike(star: Star, count: int = 30, with_year: bool = False) -> DataFrame:
     """Third-quarter months whose spend is above twice the customer's average month of the first half.
 
-    Months without activity are not averaged in; a customer without any first-half month has no baseline.
+    Months without activity are not averaged in; a customer without any
+    first-half month has no baseline. Months and baselines are told apart by
+    year only if `with_year` is set, which also adds the year.
     """
-    months = star.date.select("date_key", "month_number", "month_name", "quarter_number")
+    year = ["year_number"] if with_year else []
+    months = star.date.select("date_key", *year, "month_number", "month_name", "quarter_number")
     monthly = (
         exact.with_cents(star.fact).join(months, "date_key")
-        .groupBy("customer_key", "month_number", "month_name", "quarter_number")
+        .groupBy("customer_key", *year, "month_number", "month_name", "quarter_number")
         .agg(
             exact.total_hundredths(*exact.value_sums(F.col("row_cents"))).alias("cents"),
             F.count(F.lit(1)).alias("monthly_txn_count"),
@@ -72,7 +74,7 @@ def quarter_spend_spike(star: Star, count: int = 30) -> DataFrame:
         )
     )
     # A customer has one row per month, so the window group is a dozen rows.
-    per_customer = Window.partitionBy("customer_key")
+    per_customer = Window.partitionBy("customer_key", *year)
     first_half = F.when(F.col("quarter_number").isin(1, 2), F.col("cents"))
     baseline = exact.mean_hundredths(F.sum(first_half).over(per_customer), F.count(first_half).over(per_customer))
     spikes = (
@@ -81,10 +83,12 @@ def quarter_spend_spike(star: Star, count: int = 30) -> DataFrame:
         .withColumn("spend_multiplier", exact.ratio(F.col("cents"), F.col("baseline")))
         .join(_profile(star, "customer_id", "full_name", "customer_segment"), "customer_key")
     )
-    return top(spikes, count, F.col("spend_multiplier").desc_nulls_last(), "customer_key", "month_number").select(
+    order = [F.col("spend_multiplier").desc_nulls_last(), "customer_key", *year, "month_number"]
+    return top(spikes, count, *order).select(
         "customer_id",
         "full_name",
         "customer_segment",
+        *year,
         "month_name",
         F.col("quarter_number").alias("quarter"),
         (F.col("cents").cast("double") / F.lit(100.0)).alias("monthly_spend"),
@@ -110,14 +114,21 @@ def _returns(days: DataFrame, gap: int) -> DataFrame:
 
 
 def dormant_reactivation(star: Star, gap: int = 60, count: int = 30) -> DataFrame:
-    """The first transaction after a pause; only the first row of a return date can carry a gap."""
-    first = F.min(
-        F.struct("transaction_datetime", "transaction_key", "amount_usd", "channel", "is_flagged")
-    ).alias("first")
-    days = star.fact.groupBy("customer_key", "transaction_date").agg(first)
-    back = _returns(days, gap).join(
-        _profile(star, "customer_id", "full_name", "customer_segment", "kyc_status"), "customer_key"
+    """The first transaction after a pause; only the first row of a return date can carry a gap.
+
+    Days with a pause before them are found on customers and dates alone. They
+    are few, and only the rows of these days are compared.
+    """
+    days = star.fact.select("customer_key", "transaction_date").distinct()
+    pauses = _returns(days, gap)
+    columns = ["transaction_datetime", "transaction_key", "amount_usd", "channel", "is_flagged"]
+    rows = star.fact.select("customer_key", "transaction_date", *columns)
+    first = (
+        rows.join(pauses, ["customer_key", "transaction_date"])
+        .groupBy("customer_key", "transaction_date", "previous_transaction_date", "days_dormant")
+        .agg(F.min(F.struct(*columns)).alias("first"))
     )
+    back = first.join(_profile(star, "customer_id", "full_name", "customer_segment", "kyc_status"), "customer_key")
     order = [
         F.col("days_dormant").desc(),
         F.col("first.amount_usd").desc_nulls_last(),

@@ -9,7 +9,7 @@ from ledgerlens.functions import exact
 from ledgerlens.functions.labels import RISKY_RATINGS
 from ledgerlens.operators.ranking import running_total_by_value, top
 from ledgerlens.operators.rollup import key_parts, summarise, summarise_by_dimension, summarise_parts
-from ledgerlens.plans.baseline import USUAL, by_value, distinct_customers
+from ledgerlens.plans.baseline import DISTINCT_CUSTOMERS, USUAL, by_value, distinct_customers
 from ledgerlens.session import write_table
 from ledgerlens.sources.star import Star
 
@@ -31,7 +31,7 @@ def merchant_overview(star: Star) -> DataFrame:
     keys = ["merchant_name", "merchant_category", "risk_rating", "merchant_country", "is_shell_merchant"]
     names = USUAL + ("max_transaction_usd", "off_hours_count")
     return summarise_by_dimension(
-        star.fact, _merchants(star, *keys), "merchant_key", keys, names, distinct_customers(), ("customer_key",)
+        star.fact, _merchants(star, *keys), "merchant_key", keys, names, distinct=DISTINCT_CUSTOMERS
     ).orderBy(F.col("flagged_percentage").desc())
 
 
@@ -49,7 +49,7 @@ def shell_merchants(star: Star) -> DataFrame:
     shells = _merchants(star, *keys, "is_shell_merchant").filter(F.col("is_shell_merchant") == 1)
     rows = star.fact.join(shells.select("merchant_key"), "merchant_key", "left_semi")
     return by_value(
-        summarise_by_dimension(rows, shells, "merchant_key", keys, USUAL, distinct_customers(), ("customer_key",))
+        summarise_by_dimension(rows, shells, "merchant_key", keys, USUAL, distinct=DISTINCT_CUSTOMERS)
     )
 
 
@@ -66,7 +66,7 @@ def merchant_category_summary(star: Star) -> DataFrame:
     names = USUAL + ("off_hours_count", "off_hours_percentage")
     categories = _merchants(star, "merchant_category")
     groups = summarise_by_dimension(
-        star.fact, categories, "merchant_key", ["merchant_category"], names, distinct_customers(), ("customer_key",)
+        star.fact, categories, "merchant_key", ["merchant_category"], names, distinct=DISTINCT_CUSTOMERS
     )
     used = star.fact.select("merchant_key").distinct()
     merchants = (

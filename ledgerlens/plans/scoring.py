@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,6 +213,25 @@ def customer_risk_score_table(star: Star) -> DataFrame:
     )
 
 
+def write_scores(star: Star, target: str, run_date: datetime.date) -> None:
+    """Keep all signals, quintiles, scores and tiers below `target`, in a folder of its own for each run date.
+
+    A second run of one date replaces its folder.
+    """
+    customer_risk_scores(star).write.mode("overwrite").parquet(_run_path(target, run_date))
+
+
+def read_scores(star: Star, target: str, run_date: datetime.date) -> Star:
+    """A star whose jobs on scores (q41, q42, s5 to s8, d13, d17, d18, a3, a4) read what was kept for a run date."""
+    kept = Star(star.spark, star.table)
+    kept.shared("customer-risk-scores", lambda: star.spark.read.parquet(_run_path(target, run_date)))
+    return kept
+
+
+def _run_path(target: str, run_date: datetime.date) -> str:
+    return f"{target.rstrip('/')}/run_date={run_date.isoformat()}"
+
+
 def combined_signals(star: Star) -> DataFrame:
     return customer_risk_scores(star).select(
         "customer_key",

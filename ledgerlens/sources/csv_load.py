@@ -1,65 +1,86 @@
-"""Loading a table from CSV: typed, with malformed lines kept apart."""
+"""Loading a table from CSV: typed and trimmed, with malformed lines kept apart."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ledgerlens.session import write_table
 from ledgerlens.sources.schema import SCHEMAS
+from ledgerlens.sources.star import Star
 
 BAD_LINE = "bad_line"
-STATE = "load_state"
 NULL_FIELD = "\\N"
+_NO_SIGN = "\x01"  # stands in no file; also holds the place of an escaped backslash
 
 
 @dataclass(frozen=True)
 class Load:
-    """A stored load; both parts read the same folder and are told apart by a partition column."""
+    """The stored table, and the lines that did not fit it (one column, as read)."""
 
-    stored: DataFrame
-    names: list[str]
-
-    @property
-    def accepted(self) -> DataFrame:
-        return self.stored.filter(F.col(STATE) == "accepted").select(*self.names)
-
-    @property
-    def rejected(self) -> DataFrame:
-        """One column, the line as read."""
-        return self.stored.filter(F.col(STATE) == "rejected").select(BAD_LINE)
+    accepted: DataFrame
+    rejected: DataFrame
 
     def counts(self) -> DataFrame:
         """One row: lines accepted and lines rejected."""
-        return self.stored.agg(
-            *[
-                F.count(F.when(F.col(STATE) == state, 1)).alias(f"{state}_rows")
-                for state in ("accepted", "rejected")
-            ]
+        sides = [self.accepted.select(F.lit(1).alias("a"), F.lit(0).alias("r"))]
+        sides.append(self.rejected.select(F.lit(0).alias("a"), F.lit(1).alias("r")))
+        return sides[0].union(sides[1]).agg(
+            F.coalesce(F.sum("a"), F.lit(0)).alias("accepted_rows"), F.coalesce(F.sum("r"), F.lit(0)).alias("rejected_rows")
         )
 
 
+def _with_doubled_quotes(line: Column) -> Column:
+    """Write a backslash before a quote as a second quote, and two backslashes as one."""
+    kept = F.replace(line, F.lit("\\\\"), F.lit(_NO_SIGN))
+    return F.replace(F.replace(kept, F.lit('\\"'), F.lit('""')), F.lit(_NO_SIGN), F.lit("\\"))
+
+
+def rejected_path(target: str) -> str:
+    return f"{target.rstrip('/')}_rejected"
+
+
 def load_csv_table(spark: SparkSession, name: str, source: str, target: str, line_end: str = "\r\n") -> Load:
     """Replace the Parquet table at `target` by the CSV files at `source`.
 
-    Fields are separated by commas and may be quoted, `\\N` or nothing between two
-    commas stands for NULL, and the first line of a file is a header. A line with the wrong number of
-    fields, or a field that does not fit its type, goes to the rejected part as
-    it was read. Lines are parsed once: both parts are written together.
+    Fields are separated by commas and may be quoted; a quote inside a quoted
+    field is doubled or follows a backslash. `\\N` or nothing between two
+    commas stands for NULL, and the first line of a file is a header. Blanks
+    around texts are cut off. A line with the wrong number of fields, or a
+    field that does not fit its type, goes to the folder `rejected_path` as it
+    was read, which is replaced too. Lines are parsed once: what was parsed is
+    kept in a table of the session's shared folder, and split from there.
     """
     schema = SCHEMAS[name]
-    with_line = [*schema.fields, StructField(BAD_LINE, StringType())]
-    lines = (
-        spark.read.schema(StructType(with_line))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD_LINE)
-        .option("lineSep", line_end)
-        .option("nullValue", NULL_FIELD)
-        .csv(source, header=True, quote='"')
+    with_line = StructType([*schema.fields, StructField(BAD_LINE, StringType())])
+    lines = spark.read.csv(source, schema="line string", header=True, sep=_NO_SIGN, quote="", escape="", lineSep=line_end)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE, "nullValue": NULL_FIELD, "quote": '"', "escape": '"'}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_line)
+    parsed = write_table(
+        lines.select("line", F.from_csv(_with_doubled_quotes(F.col("line")), ddl, options).alias("fields")), "parsed-lines"
     )
-    state = F.when(F.col(BAD_LINE).isNull(), "accepted").otherwise("rejected")
-    lines.withColumn(STATE, state).write.mode("overwrite").partitionBy(STATE).parquet(target)
-    written = StructType([*with_line, StructField(STATE, StringType())])
-    return Load(spark.read.schema(written).parquet(target), schema.names)
+    good = F.col(f"fields.{BAD_LINE}").isNull()
+    columns = [
+        (F.trim(F.col(f"fields.{f.name}")) if isinstance(f.dataType, StringType) else F.col(f"fields.{f.name}")).alias(f.name)
+        for f in schema
+    ]
+
+    def replace(frame: DataFrame, path: str) -> DataFrame:
+        # Dynamic overwriting would keep an old table when nothing new is written.
+        frame.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    accepted = replace(parsed.filter(good).select(*columns), target)
+    return Load(accepted, replace(parsed.filter(~good).select(F.col("line").alias(BAD_LINE)), rejected_path(target)))
+
+
+def load_star(spark: SparkSession, source: str, folder: str, line_end: str = "\r\n") -> tuple[Star, dict[str, Load]]:
+    """Load `<source>/<table>` into `<folder>/<table>` for all six tables, and open them.
+
+    Run `plans.audits.orphan_audit` on the star to see fact rows whose keys match nothing.
+    """
+    loads = {name: load_csv_table(spark, name, f"{source}/{name}", f"{folder}/{name}", line_end) for name in SCHEMAS}
+    return Star.from_parquet(spark, folder), loads

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import write_table
+from ledgerlens.session import new_table_path, write_table
+from ledgerlens.sources.csv_load import NULL_FIELD
 from ledgerlens.sources.schema import SCHEMAS
 from ledgerlens.sources.star import Star
 
@@ -204,3 +205,15 @@ def order_star(spark: SparkSession, folder: str) -> Star:
     if identity not in _STARS:
         _STARS[identity] = Star(spark, lambda name: write_table(derive(spark, folder, name), name))
     return _STARS[identity]
+
+
+DAMAGED = 997  # in the export, every row whose key is a multiple of this has an amount that is no number
+
+
+def damaged_export(star: Star) -> tuple[str, str]:
+    """Write the fact table as CSV with some lines that do not fit it; gives that folder, and one to load it to."""
+    source = new_table_path(star.spark, "fact-csv")
+    amount = F.when(F.col("transaction_key") % DAMAGED == 0, "n/a").otherwise(F.col("amount_usd").cast("string"))
+    written = star.fact.withColumn("amount_usd", amount).write
+    written.option("lineSep", "\r\n").option("nullValue", NULL_FIELD).csv(source, header=True)
+    return source, new_table_path(star.spark, "fact-loaded")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import datetime
 from decimal import Decimal
 
+from ledgerlens.plans.audits import orphan_audit
 from ledgerlens.session import new_table_path
-from ledgerlens.sources.csv_load import load_csv_table
+from ledgerlens.sources.csv_load import load_csv_table, load_star
 from ledgerlens.sources.schema import SCHEMAS
 from ledgerlens.sources.star import Star
 
@@ -79,7 +80,48 @@ def test_loading_again_replaces_the_table(spark, tmp_path):
     assert [r["transaction_key"] for r in got.accepted.collect()] == [4]
 
 
-def test_a_star_reads_stored_tables(spark, tmp_path):
-    got = load(spark, tmp_path, [HEADER, line(1)])
-    got.accepted.write.parquet(str(tmp_path / "star" / "fact_transactions"))
-    assert Star.from_parquet(spark, str(tmp_path / "star")).fact.count() == 1
+def test_a_reload_without_bad_lines_leaves_none(spark, tmp_path):
+    target = new_table_path(spark, "loaded")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        for lines in ([line(1), "x", "y"], [line(2)], []):
+            source = tmp_path / f"in{len(lines)}.csv"
+            source.write_text("\r\n".join([HEADER, *lines]) + "\r\n", newline="")
+            got = load_csv_table(spark, "fact_transactions", str(source), target)
+            good = sum("," in text for text in lines)
+            assert got.counts().first().asDict() == {"accepted_rows": good, "rejected_rows": len(lines) - good}
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
+def test_quotes_inside_a_field(spark, tmp_path):
+    written = {
+        1: '"A ""B"" C"', 2: '"x"",y"', 3: r'"A \"B\" C"', 4: r'"x\",y"', 5: r'"back\\"', 6: r'"a\\""b"', 7: '""""', 8: "' plain \\ '", 9: '"  trimmed "'
+    }
+    meant = {1: 'A "B" C', 2: 'x",y', 3: 'A "B" C', 4: 'x",y', 5: "back\\", 6: 'a\\"b', 7: '"', 8: "' plain \\ '", 9: "trimmed"}
+    lines = [line(key).replace('"Web"', field) for key, field in written.items()]
+    got = load(spark, tmp_path, [HEADER, *lines])
+    assert {r["transaction_key"]: r["channel"] for r in got.accepted.collect()} == meant
+    assert got.rejected.count() == 0
+
+
+def test_a_star_opens_the_folder_that_was_loaded(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("\r\n".join([HEADER, line(1), "bad", line(2)]) + "\r\n", newline="")
+    got = load_csv_table(spark, "fact_transactions", str(tmp_path / "in.csv"), str(tmp_path / "star" / "fact_transactions"))
+    fact = Star.from_parquet(spark, str(tmp_path / "star")).fact
+    assert fact.columns == SCHEMAS["fact_transactions"].names
+    assert sorted(r["transaction_key"] for r in fact.collect()) == [1, 2]
+    assert [r[0] for r in got.rejected.collect()] == ["bad"]
+
+
+def test_a_whole_star_is_loaded_and_audited(spark, tmp_path):
+    values = {"int": "1", "bigint": "2", "string": "x", "date": "2024-01-02", "timestamp_ntz": "2024-01-02 00:00:00"}
+    for name, schema in SCHEMAS.items():
+        fields = [values.get(f.dataType.simpleString(), "1.25") for f in schema]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(",".join(schema.names) + "\r\n" + ",".join(fields) + "\r\n", newline="")
+    star, loads = load_star(spark, str(tmp_path / "in"), str(tmp_path / "star"))
+    assert all(load.rejected.count() == 0 for load in loads.values())
+    assert {r["dimension"]: r["unknown_key_rows"] for r in orphan_audit(star).collect()} == dict.fromkeys(
+        (name for name in SCHEMAS if name.startswith("dim_")), 0
+    )

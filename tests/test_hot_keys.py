@@ -9,25 +9,38 @@ import pytest
 from conftest import frame_of
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.hot_keys import join_per_key
+from ledgerlens.operators.hot_keys import broadcast_bytes, join_per_key
 from ledgerlens.plans import anomalies, baseline, customers, merchants, scoring
 from ledgerlens.session import write_table
 from ledgerlens.sources.star import Star
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
-def test_join_per_key_keeps_every_row(spark, broadcast_rows):
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_join_per_key_keeps_every_row(spark, limit):
     rng = random.Random(1)
     keys = [1 if rng.random() < 0.4 else rng.randint(2, 5000) for _ in range(6000)] + [None, -1]
     rows = spark.createDataFrame(list(enumerate(keys)), "n long, k long")
     table = write_table(rows.filter("k > 0").groupBy("k").agg(F.count(F.lit(1)).alias("w")), "test")
-    joined = join_per_key(rows, table, "k", "w", ["n"], broadcast_rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        joined = join_per_key(rows, table, "k", "w", ["n"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert joined.columns == ["k", "n", "w"]
     assert sorted(map(tuple, joined.collect())) == sorted(
         (k, n, keys.count(k)) for n, k in enumerate(keys) if k is not None and k > 0
     )
 
 
+@pytest.mark.parametrize(("text", "size"), [("10485760b", 10 << 20), ("256k", 256 << 10), ("-1", -1), ("1GB", 1 << 30), ("5", 5)])
+def test_the_sessions_broadcast_limit(spark, text, size):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
+    try:
+        assert broadcast_bytes(spark) == size
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_join_per_key_divides_the_hot_key(spark):
     rows = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
     table = write_table(rows.groupBy("k").agg(F.count(F.lit(1)).alias("w")), "test")
@@ -41,7 +54,7 @@ def test_join_per_key_divides_the_hot_key(spark):
     try:
         for name, value in settings.items():
             spark.conf.set(name, value)
-        joined = join_per_key(rows, table, "k", "w", ["id"], 0)
+        joined = join_per_key(rows, table, "k", "w", ["id"])
         sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
     finally:
         for name in settings:
