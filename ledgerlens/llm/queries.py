@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import chat, decontamination, embeddings, language, licenses, packing, quality, sharding, simhash, substrings
+from ledgerlens.llm.license_rules import CONFIDENCE, REACH, RULES
 
 SHARDS = 8
 
@@ -140,4 +142,86 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM written GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op5_sharding": OP5_SQL, "op9_chat_formatting": OP9_SQL}
+_RULE_ROWS = ",\n        ".join(
+    f"('{r.keyword}', '^(?:{r.pattern})(?: |$)', '{r.label}', {r.priority}, {r.base}, {order}, {CONFIDENCE[r.priority]!r})"
+    for order, r in enumerate(RULES)
+)
+
+OP1_SQL = f"""
+WITH rules(keyword, pattern, label, priority, base, rule, confidence) AS (VALUES
+        {_RULE_ROWS}
+), texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), places AS (
+    SELECT doc_id, words, unnest(words) AS keyword, generate_subscripts(words, 1) AS i FROM texts
+), found AS (
+    SELECT doc_id, i - 1 AS first, rules.*,
+        trim(regexp_extract(array_to_string(words[i:i + {REACH} - 1], ' '), pattern)) AS match
+    FROM places JOIN rules USING (keyword)
+), placed AS (
+    SELECT doc_id, first, first + len(string_split(match, ' ')) AS beyond, label, priority, base, rule, confidence::DOUBLE AS confidence
+    FROM found WHERE match <> ''
+), standing AS (
+    SELECT * FROM placed d WHERE NOT EXISTS (
+        SELECT 1 FROM placed e WHERE e.doc_id = d.doc_id AND e.first <= d.first AND e.beyond >= d.beyond AND e.priority >= d.priority
+            AND (e.beyond - e.first > d.beyond - d.first OR e.priority > d.priority OR e.rule < d.rule))
+), bases AS (
+    SELECT doc_id, count(*) AS n, min(first) AS least, max(first) AS most, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+    FROM placed WHERE base GROUP BY doc_id
+), named AS (
+    SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
+        SELECT doc_id, label FROM standing UNION SELECT doc_id, label FROM placed WHERE base) GROUP BY doc_id
+), sure AS (SELECT doc_id, max(confidence) AS score FROM standing GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, least::BIGINT AS first_word,
+    most::BIGINT AS last_word, coalesce(bases.labels, '') AS base_labels, coalesce(named.labels, '') AS labels,
+    coalesce(score, 0)::DOUBLE AS score
+FROM texts LEFT JOIN bases USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN sure USING (doc_id)
+"""
+
+OP4_SQL = f"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), linked AS (
+    SELECT a.vec_id AS one, b.vec_id AS other FROM usable a
+    JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e))
+        >= {embeddings.THRESHOLD}
+), reached(one, other) AS (
+    SELECT one, other FROM linked UNION SELECT r.one, l.other FROM reached r JOIN linked l ON r.other = l.one
+), counts AS (SELECT one, count(*) AS n FROM linked GROUP BY one),
+least_reached AS (SELECT one, min(other) AS first FROM reached GROUP BY one)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(first, vec_id)) AS component_id,
+    vec_id <= coalesce(first, vec_id) AS kept
+FROM embeddings LEFT JOIN counts ON vec_id = counts.one LEFT JOIN least_reached ON vec_id = least_reached.one
+"""
+
+OP10_SQL = f"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), starts AS (
+    SELECT doc_id, words, unnest(range(1, len(words) - {substrings.WINDOW} + 2)) AS i FROM texts
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(words[i:i + {substrings.WINDOW} - 1], ' ')) AS h FROM starts
+), firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+covered AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + {substrings.WINDOW})) AS i FROM windows JOIN firsts USING (h) WHERE first < doc_id
+), numbered AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS words
+    FROM numbered ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(t.words)::BIGINT AS n_words, (len(t.words) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(kept.words, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op1_license_scan": OP1_SQL,
+    "op4_embedding_dedup": OP4_SQL,
+    "op10_substring_dedup": OP10_SQL,
+    "op5_sharding": OP5_SQL,
+    "op9_chat_formatting": OP9_SQL,
+}
