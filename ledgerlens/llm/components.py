@@ -15,7 +15,10 @@ def _stars(links: DataFrame, smaller_only: bool) -> DataFrame:
     itself joins too; otherwise only larger neighbours are joined.
     """
     both = links if smaller_only else links.union(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
-    hubs = both.groupBy("high").agg(F.min("low").alias("least")).withColumn("hub", F.least("high", "least"))
+    # Stored, so that the join starts from a shuffle of either side, which Spark can split at a node with many links.
+    hubs = write_table(
+        both.groupBy("high").agg(F.min("low").alias("least")).withColumn("hub", F.least("high", "least")), "hubs"
+    )
     joined = both.join(hubs.select("high", "hub"), "high")
     if smaller_only:
         moved = joined.select("hub", F.col("low").alias("node")).union(hubs.select("hub", F.col("high").alias("node")))
@@ -30,7 +33,7 @@ def components(links: DataFrame, left: Column | str = "left", right: Column | st
     Nodes are whole numbers; links have no direction and may repeat. Large-
     and small-star steps by turns bring every node next to its smallest one in
     a logarithmic number of rounds. A node's links are never gathered: steps
-    are a minimum by node and a join that can be split. Each round's links are
+    are a minimum by node and a join that Spark can split. Each round's links are
     written to the shared folder; the driver sees only a checksum of them.
     """
     left, right = (F.col(side) if isinstance(side, str) else side for side in (left, right))

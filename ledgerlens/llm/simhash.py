@@ -101,7 +101,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         *[F.struct(F.lit(t).alias("table"), value.bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)]
     )
     filed = write_table(prints.select("print", F.inline(keys)), "covering-tables")
-    sizes = filed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # Stored, like the smallest ids below, so that Spark can split the join at a bucket or group of many.
+    sizes = write_table(
+        filed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "covering-sizes"
+    )
     met = write_table(filed.join(sizes, ["table", "key"]), "covering-buckets")
 
     few = met.filter(F.col("size") <= PAIRED)
@@ -146,7 +149,7 @@ def group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Data
     placed = classes.join(reached, classes["print"] == reached["node"], "left").select(
         "print", "first", F.coalesce("component", "print").alias("component")
     )
-    ids = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = write_table(placed.groupBy("component").agg(F.min("first").alias("component_id")), "smallest-ids")
     named = placed.join(ids, "component").select("print", "component", "component_id")
     return found.join(named, "print")
 
