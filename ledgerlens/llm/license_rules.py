@@ -2,7 +2,7 @@
 
 A rule is a regular expression over a text's lower-cased words, joined by one
 space. Its first word is literal: the keyword that a text must hold before the
-expression is tried. RULES is ordered: of rules that match the same words with
+expression is tried, so rules start with a word that is rare in other texts. RULES is ordered: of rules that match the same words with
 the same priority, the first wins.
 """
 
@@ -249,13 +249,13 @@ WRITTEN = rf"""
 2 | ijg | independent jpeg group s software
 2 | ftl | freetype project licen[cs]e
 2 | bzip2-1.0.6 | bzip2 licen[cs]e
-2 | wtfpl | do what the f[a-z]* you want to public licen[cs]e
+2 | wtfpl | want to public licen[cs]e
 2 | wtfpl | wtfpl licen[cs]e
 2 | beerware | beer ?ware licen[cs]e
 2 | beerware | beerware licen[cs]e
-2 | unlicense | the unlicense
+2 | unlicense | unlicense
 2 | unlicense | unlicense org
-2 | unlicense | this is free and unencumbered software released into the public domain
+2 | unlicense | unencumbered software released into the public domain
 2 | cc0-1.0 | cc0 1 0(?: universal)?
 1 | cc0 | cc0
 2 | cc0-1.0 | creative commons zero(?:{_V}1 0)?
@@ -313,7 +313,7 @@ WRITTEN = rf"""
 2 | openrail | openrail m? ?licen[cs]e
 2 | openrail | bigscience open rail m licen[cs]e
 2 | openrail | creativeml open ?rail m
-2 | proprietary | all rights reserved
+2 | proprietary | rights reserved
 2 | proprietary | proprietary and confidential
 2 | proprietary | proprietary licen[cs]e
 2 | proprietary | end user licen[cs]e agreement
@@ -321,9 +321,9 @@ WRITTEN = rf"""
 1 | commercial | commercial licen[cs]e
 0 | unknown | licensed under the terms
 0 | unknown | released under the terms
-0 | unknown | see license(?: txt| md| file)? for details
+0 | unknown | license(?: txt| md| file)? for details
 0 | unknown | license agreement
-0 | unknown | see the license for the specific language governing permissions
+0 | unknown | license for the specific language governing permissions
 """
 
 
