@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -180,10 +181,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_chars: int = SHARD_C
     size, and documents pass once per shard.
     """
     texts = docs.select(F.col("doc_id").cast("bigint"), "text")
-    found = texts.select("doc_id", F.inline(F.lit(None).cast(LEAKS)))
-    for shard in shards(benchmark, shard_chars):
-        found = found.union(texts.select("doc_id", _leaks(docs, shard).alias("leaks")).select("doc_id", F.inline("leaks")))
-    return found
+    searched = [
+        texts.select("doc_id", _leaks(docs, shard).alias("leaks")) for shard in shards(benchmark, shard_chars)
+    ] or [texts.select("doc_id", F.lit(None).cast(LEAKS).alias("leaks"))]
+    return reduce(DataFrame.union, searched).select("doc_id", F.inline("leaks"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
