@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import components
+from ledgerlens.operators.arrow_groups import groups
 from ledgerlens.session import write_table
 
 THRESHOLD = 0.93
-SAMPLE_VALUES = 2_000_000  # numbers in the sample that the rotations are learned on, at most
+SAMPLE_VALUES = 500_000  # numbers in the sample that the rotations are learned on, at most
 ITERATIONS = 30
 RECALL = 0.995  # expected share of pairs just at the threshold that meet in a table
 BLOCK = 1024  # members of a bucket that one task compares with as many others
@@ -118,24 +119,9 @@ def _compare(classes: np.ndarray, weights: np.ndarray, values: np.ndarray, keys:
 def _links(buckets: DataFrame, threshold: float) -> DataFrame:
     """Rows (left, right, n): with right, a link; without, how many vectors left is linked to in one bucket."""
 
-    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            groups = batch.column("group").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[0].column("group")[0].as_py() != groups[a]:
-                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for bucket in whole_groups(batches):
+        for bucket in groups(batches, "group"):
             table, crossed = bucket.column("table")[0].as_py(), bucket.column("crossed")[0].as_py()
             classes = bucket.column("class").to_numpy()
             counts, spanning = _compare(
@@ -207,7 +193,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     encoded = write_table(_encode(classes, models), "vector-codes")
     filed = encoded.select("class", "label", "size", F.posexplode("keys").alias("table", "key"))
     place = ["label", "size", "table", "key"]
-    shared = filed.groupBy(*place).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # Stored, like the smallest ids below, so that Spark can split the join at a bucket or component of many.
+    shared = write_table(
+        filed.groupBy(*place).agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared-buckets"
+    )
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     met = (
@@ -233,7 +222,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         .join(reached, classes["class"] == reached["node"], "left")
         .select(*same, "n", "first", "linked", F.coalesce("component", "class").alias("component"))
     )
-    ids = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = write_table(placed.groupBy("component").agg(F.min("first").alias("component_id")), "smallest-ids")
     known = placed.join(ids, "component").select(
         *same, (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", F.lit(True).alias("usable")
     )
