@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 PROFILE_SIZE = 400  # ranks kept per language and per document
 SAMPLE_SIZE = 3000  # training documents per language
+_TOGETHER = 128  # documents whose n-grams are counted together
 _BITS = 21  # a code point; three fit in 63 bits
 _CODE_POINTS = 0x110000
 
@@ -98,8 +99,9 @@ def learn(labelled: DataFrame, size: int = PROFILE_SIZE, sample: int = SAMPLE_SI
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = np.unpackbits(packed).astype(bool)
-        for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+        parts = (batch.slice(start, _TOGETHER) for batch in batches for start in range(0, batch.num_rows, _TOGETHER))
+        for part in parts:
+            langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
             for name in sorted(set(langs)):
                 grams = [_grams(text, letter) for text, lang in zip(texts, langs, strict=True) if lang == name]
                 codes, counts = np.unique(np.concatenate(grams), return_counts=True)
