@@ -72,6 +72,17 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row after another, lists as arrays, so that a batch is never held as Python objects."""
+    names = batch.schema.names
+    for place in range(batch.num_rows):
+        row = {name: batch.column(name)[place] for name in names}
+        yield {
+            name: value.values.to_numpy() if pa.types.is_list(value.type) and pa.types.is_integer(value.type.value_type) else value.as_py()
+            for name, value in row.items()
+        }
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.array(rows, pa.list_(pa.int64()))
 
@@ -94,10 +105,14 @@ def sketches(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def sketch(batches: Batches) -> Batches:
         for batch in batches:
-            words = [words_of(t.as_py()) for t in batch.column("text")]
-            anchors = [_signed(np.unique(anchored(w, window, gram)[1])) for w in words]
+            sizes, sums, anchors = [], [], []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                sizes.append(len(words))
+                sums.append(_sha256(words))
+                anchors.append(_signed(np.unique(anchored(words, window, gram)[1])))
             columns = [batch.column(c) for c in ("doc_id", "doc", "digest", "other_digest")]
-            columns += [pa.array(list(map(len, words)), pa.int64()), pa.array(map(_sha256, words)), _lists(anchors)]
+            columns += [pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), _lists(anchors)]
             names = ["doc_id", "doc", "digest", "other_digest", "n_words", "sha256", "anchors"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -116,31 +131,31 @@ def _windows(suspects: DataFrame, window: int, gram: int) -> DataFrame:
 
     def emit(batches: Batches) -> Batches:
         for batch in batches:
-            for row in batch.select(["doc", "text", "shared"]).to_pylist():
+            for row in _rows(batch):
                 hashes, anchors = anchored(words_of(row["text"]), window, gram)
-                found = np.unique(hashes[np.isin(_signed(anchors), np.array(row["shared"], np.int64))])
+                found = np.unique(hashes[np.isin(_signed(anchors), row["shared"])])
                 columns = [pa.array(_signed(found)), pa.array(np.full(len(found), row["doc"]))]
                 yield pa.RecordBatch.from_arrays(columns, ["hash", "doc"])
 
     return suspects.select("doc", "text", "shared").mapInArrow(emit, "hash long, doc long")
 
 
-def _segments(owners: DataFrame, window: int, gram: int) -> DataFrame:
-    """The passages of each owner that its repeated windows cover: doc, number, words (blank-joined), n_words, anchors."""
+def _segments(owners: DataFrame, window: int) -> DataFrame:
+    """The passages of each owner that its repeated windows cover: doc, number, words (blank-joined), n_words, hashes."""
 
     def cut(batches: Batches) -> Batches:
         for batch in batches:
-            for row in batch.select(["doc", "text", "hashes"]).to_pylist():
+            for row in _rows(batch):
                 words = words_of(row["text"])
-                hashes, anchors = anchored(words, window, gram)
-                starts = np.flatnonzero(np.isin(_signed(hashes), np.array(row["hashes"], np.int64)))
+                hashes = _signed(_Hashes(words).of(window))
+                starts = np.flatnonzero(np.isin(hashes, row["hashes"]))
                 rows = []
                 # Windows that overlap by all but a word go on in one passage.
                 for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                     for at in range(0, len(run), SEGMENT_WORDS):
                         part = run[at : at + SEGMENT_WORDS]
                         first, end = int(part[0]), int(part[-1]) + window
-                        rows.append((first, " ".join(words[first:end]), end - first, _signed(np.unique(anchors[part]))))
+                        rows.append((first, " ".join(words[first:end]), end - first, np.unique(hashes[part])))
                 columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -150,10 +165,10 @@ def _segments(owners: DataFrame, window: int, gram: int) -> DataFrame:
                         pa.array(columns[2], pa.int64()),
                         _lists(list(columns[3])),
                     ],
-                    ["doc", "number", "words", "n_words", "anchors"],
+                    ["doc", "number", "words", "n_words", "hashes"],
                 )
 
-    schema = "doc long, number long, words string, n_words long, anchors array<long>"
+    schema = "doc long, number long, words string, n_words long, hashes array<long>"
     return owners.select("doc", "text", "hashes").mapInArrow(cut, schema)
 
 
@@ -168,7 +183,7 @@ def _stream(mixed: DataFrame, window: int) -> DataFrame:
         group, automaton, segments = None, None, []
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["group"] != group:
                     group, automaton, segments = row["group"], None, []
                 if row["digest"] is None:
@@ -202,7 +217,7 @@ def removed_spans(docs: DataFrame, sketched: DataFrame, window: int = WINDOW, gr
     whose hash tells the first document that holds them; the passages that
     such windows cover in their first document, which make up the reference;
     and the passing of documents, each past the automata of those shards that
-    have an anchor of it. Anchors and hashes only choose what is compared;
+    have a window of it from an earlier document. Anchors and hashes only choose what is compared;
     what is removed is decided by the words in the automata.
     """
     spark = docs.sparkSession
@@ -220,21 +235,17 @@ def removed_spans(docs: DataFrame, sketched: DataFrame, window: int = WINDOW, gr
     texts = docs.select(order_of("doc_id").alias("doc"), text_digest().alias("digest"), "text")
     suspects = write_table(texts.join(shared, key).dropDuplicates(key), "suspects")
 
-    hashes = _windows(suspects, window, gram).groupBy("hash").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"))
-    owned = hashes.filter("doc < most").groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
-    reference = write_table(_segments(suspects.join(owned, "doc"), window, gram), "reference")
+    windows = write_table(_windows(suspects, window, gram), "windows")
+    holders = windows.groupBy("hash").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"))
+    owned = holders.filter("doc < most").groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
+    reference = write_table(_segments(suspects.join(owned, "doc"), window), "reference")
     total = reference.agg(F.sum("n_words")).first()[0] or 0
     shard = F.pmod(F.xxhash64("doc", "number"), F.lit(total // SHARD_WORDS + 1))
     sharded = reference.withColumn("shard", shard)
 
-    held = sharded.select("shard", F.explode("anchors").alias("anchor")).distinct()
-    routes = write_table(
-        shared.select(*key, "n_words", F.explode("shared").alias("anchor"))
-        .join(held, "anchor")
-        .select(*key, "n_words", "shard")
-        .distinct(),
-        "routes",
-    )
+    held = sharded.select("shard", F.col("doc").alias("owner"), F.explode("hashes").alias("hash"))
+    visits = windows.join(held, "hash").filter("doc > owner").select("doc", "shard").distinct()
+    routes = write_table(visits.join(shared.select(*key, "n_words"), "doc"), "routes")
     streams = routes.groupBy("shard").agg(F.ceil(F.sum("n_words") / STREAM_WORDS).cast("int").alias("streams"))
     passing = (
         routes.join(streams, "shard")
@@ -265,7 +276,7 @@ def _cut(texts: DataFrame, finish: Callable[[list[str], list[str]], tuple], sche
     def apply(batches: Batches) -> Batches:
         for batch in batches:
             rows = []
-            for row in batch.select(["doc", "digest", "text", "spans"]).to_pylist():
+            for row in _rows(batch):
                 words = words_of(row["text"])
                 keep = np.ones(len(words), bool)
                 for span in row["spans"]:
@@ -279,20 +290,20 @@ def _cut(texts: DataFrame, finish: Callable[[list[str], list[str]], tuple], sche
     kinds = {"long": pa.int64(), "string": pa.string()}
     fields = [(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))]
     names = [name for name, _ in fields]
-    return texts.mapInArrow(apply, schema)
+    return texts.select("doc", "digest", "text", "spans").mapInArrow(apply, schema)
 
 
-def _prepare(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Sketches of all rows with `copied`, spans by document with their texts."""
+def _prepare(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows with `copied`, and the documents that lose words, with text and spans."""
     found = write_table(sketches(docs, window, gram), "sketches")
     same = ["digest", "other_digest"]
-    firsts = found.groupBy(*same).agg(F.min("doc").alias("first"))
+    # Stored, so that the joins below start from a shuffle of either side, which Spark can split at a hot text.
+    firsts = write_table(found.groupBy(*same).agg(F.min("doc").alias("first")), "first-documents")
     marked = found.drop("anchors").join(firsts, same).withColumn("copied", F.col("doc") > F.col("first"))
-    alone = found.join(firsts, (found["digest"] == firsts["digest"]) & (found["other_digest"] == firsts["other_digest"])
-                       & (found["doc"] == firsts["first"]), "left_semi")
+    alone = found.join(firsts.withColumnRenamed("first", "doc"), [*same, "doc"], "left_semi")
     spans, texts = removed_spans(docs, alone.dropDuplicates(["doc", "digest"]), window, gram)
     by_document = spans.groupBy("doc", "digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return marked, texts.join(by_document, ["doc", "digest"]), spans, firsts
+    return marked, texts.join(by_document, ["doc", "digest"])
 
 
 def dedup_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -303,7 +314,7 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     and take nothing from each other, as do rows with one doc_id. A null or
     empty text has no words. An empty table gives an empty one.
     """
-    marked, cut, _, _ = _prepare(docs, window, gram)
+    marked, cut = _prepare(docs, window, gram)
     counted = _cut(
         cut,
         lambda words, kept: (len(words) - len(kept), _sha256(kept)),
@@ -325,7 +336,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     its kept words, joined by a blank, and a row that loses all words goes;
     other rows stay as they are. Further columns may have any names.
     """
-    marked, cut, _, _ = _prepare(docs, window, gram)
+    marked, cut = _prepare(docs, window, gram)
     shortened = _cut(cut, lambda words, kept: (" ".join(kept),), "doc long, digest long, kept string")
     gone = marked.filter(F.col("copied") & (F.col("n_words") >= window)).select("doc", "digest", F.lit("").alias("kept"))
     changes = write_table(shortened.unionByName(gone).distinct(), "changed-texts").select(
