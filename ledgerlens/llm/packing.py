@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -141,13 +142,14 @@ def token_ids(vocabulary: str) -> Callable[[str], list[int]]:
 
     The ids are those of that library; strings of special tokens are ordinary text.
     """
-    ranks = _byte_level_ranks(vocabulary)
-    whole, single = (
-        tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for pattern in (PRE_TOKENS, PRE_TOKENS_SINGLE_BLANKS)
-    )
+
+    @cache  # the second encoding takes as much memory as the first, and many texts do without it
+    def encoding(pattern: str) -> tiktoken.Encoding:
+        ranks = _byte_level_ranks(vocabulary)
+        return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
     has_run = re.compile(r"\s\s").search
-    return lambda text: whole(text) if has_run(text) else single(text)
+    return lambda text: encoding(PRE_TOKENS if has_run(text) else PRE_TOKENS_SINGLE_BLANKS).encode_ordinary(text)
 
 
 def cut(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
