@@ -259,7 +259,8 @@ def closest_pairs(rows: DataFrame, accounts: DataFrame, customers: DataFrame, co
             unknown = cents.is_null().to_numpy(zero_copy_only=False)
             found: list[tuple[int, int]] = []
             everyone = np.ones(len(leads), bool)
-            for leaders, followers in ((~unknown, ~unknown), (unknown, everyone), (~unknown, unknown)):
+            known = ~unknown
+            for leaders, followers in ((known, known), (unknown, everyone), (known, unknown)):
                 first, second = np.flatnonzero(leads & leaders), np.flatnonzero(followers)
                 one, two = ({name: x[at] for name, x in side.items()} for at in (first, second))
                 if followers is not leaders:  # the combined amount is unknown
