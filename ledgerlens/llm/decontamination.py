@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, partial, reduce
 from itertools import repeat
 
 import numpy as np
@@ -23,14 +23,24 @@ CHUNK = 8 * STRIDE  # words that are ruled out together
 THRESHOLD = 0.6  # share of an entry's BM25 weight that a passage must hold
 SHINGLE = 5
 OVERLAP = 0.8  # share of an item's shingles, in question and answer each, that a document must hold
-LEAST_WORDS = 8  # shorter items cannot be told from chance
+LEAST_WORDS = 8  # shorter items must be there whole, word after word
 SHARD_CHARS = 16_000_000  # characters of test items in one broadcast index
 _WORD = re.compile(r"[^\W_]+")
+# Scripts that put no blank between words (Thai, Lao, Burmese, Khmer, Tai, Balinese, Javanese, kana, bopomofo, Han).
+_BLANKLESS = (
+    r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\ua980-\ua9ff\uaa60-\uaadf"
+    r"\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
+    r"\U0001b000-\U0001b16f\U00020000-\U000323af"
+)
+_HAS_BLANKLESS = re.compile(f"[{_BLANKLESS}]").search
+_WORD_OR_SIGN = re.compile(rf"[^\W_{_BLANKLESS}]+|(?=[^\W_])[{_BLANKLESS}]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters and digits in lower case; in scripts without blanks each sign is a word."""
+    lower = (text or "").lower()
+    return (_WORD if lower.isascii() or not _HAS_BLANKLESS(lower) else _WORD_OR_SIGN).findall(lower)
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -49,23 +59,33 @@ def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
 
 @dataclass
 class Item:
+    """The shingles of a test item's question and answer; of a short one all its words, as one shingle of the question."""
+
     item_id: int
     question: set[tuple[str, ...]]
     answer: set[tuple[str, ...]]
 
-    def overlaps(self, held: set[tuple[str, ...]], words: list[str]) -> tuple[float, float]:
-        """Shares of the question's and of the answer's shingles in a document (1 for an item without answer)."""
+    def overlaps(self, held: Callable[[int], set[tuple[str, ...]]]) -> tuple[float, float]:
+        """Shares of the question's and of the answer's shingles in a document (1 for an item without answer).
+
+        `held` gives the document's shingles of a size.
+        """
 
         def share(wanted: set[tuple[str, ...]]) -> float:
             if not wanted:
                 return 1.0
-            size = len(next(iter(wanted)))
-            there = held if size == SHINGLE else shingles(words, size)
-            return len(wanted & there) / len(wanted)
+            return len(wanted & held(len(next(iter(wanted))))) / len(wanted)
 
         return share(self.question), share(self.answer)
 
 
+def _item(item_id: int, text: str) -> Item:
+    words = words_of(text)
+    if len(words) < LEAST_WORDS:
+        return Item(item_id, {tuple(words)}, set())
+    return Item(item_id, *map(shingles, question_and_answer(text)))
+
+
 def _entries(text: str) -> list[list[str]]:
     words = words_of(text)
     parts = -(-len(words) // STRIDE)
@@ -99,18 +119,18 @@ class Shard:
                     best[owner] = max(best.get(owner, 0.0), score)
         if not best:
             return []
-        held = shingles(words)
+        held = cache(partial(shingles, words))
         found = []
         for owner, score in sorted(best.items()):
             item = self.items[owner]
-            question, answer = item.overlaps(held, words)
+            question, answer = item.overlaps(held)
             if question >= OVERLAP and answer >= OVERLAP:
                 found.append((item.item_id, score, question, answer))
         return found
 
 
 def shards(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> Iterator[Shard]:
-    """Indexes of all items with at least LEAST_WORDS words, each of some `shard_chars` characters.
+    """Indexes of all items that have a word, each of some `shard_chars` characters.
 
     Frequencies of terms are counted by Spark over all items; the driver
     holds the items and the terms of one shard at a time.
@@ -128,7 +148,7 @@ def shards(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> Iterator[Sha
 
     given = benchmark.filter("text is not null").select(F.col("item_id").cast("bigint"), "text")
     items = write_table(
-        given.mapInArrow(measure, "item_id long, text string, n_words long").filter(F.col("n_words") >= LEAST_WORDS),
+        given.mapInArrow(measure, "item_id long, text string, n_words long").filter(F.col("n_words") > 0),
         "test-items",
     )
     size = items.agg(F.sum(F.length("text")), F.sum("n_words"), F.sum(F.ceil(F.col("n_words") / STRIDE))).first()
@@ -148,7 +168,7 @@ def shards(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> Iterator[Sha
         yield Shard(
             Index([entry for _, entry in cut], known, entries, words / entries),
             [owner for owner, _ in cut],
-            [Item(row["item_id"], *map(shingles, question_and_answer(row["text"]))) for row in rows],
+            [_item(row["item_id"], row["text"]) for row in rows],
         )
 
 
@@ -173,7 +193,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_chars: int = SHARD_C
 
     `docs` has doc_id and text, `benchmark` item_id and text. Every passage
     of every document queries the index; what scores above the threshold is
-    verified by the overlap of question and answer with the document. Each
+    verified by the overlap of question and answer with the document; an item
+    of fewer than LEAST_WORDS words must be there whole, word after word. Each
     row of `docs` is judged on its own, so rows with one doc_id, or none, can
     give the same row several times, as can items with one item_id. Null and
     empty texts hold nothing, and an empty table gives an empty one.

@@ -94,3 +94,27 @@ def test_empty_tables(spark, documents):
     assert decontamination.find_leaks(documents([]), benchmark).collect() == []
     assert decontamination.find_leaks(docs, benchmark.limit(0)).collect() == []
     assert decontamination.drop_contaminated(docs, benchmark.limit(0)).count() == 1
+
+
+SHORT_ITEMS = [(1, "What is the capital of France? Paris"), (2, "Yes."), (3, "东京是日本的首都吗？是"), (4, "ใครเป็นคนแรกที่เดินบนดวงจันทร์")]
+SHORT_ITEMS += [(5, "水は何度で沸騰しますか。\n百度です"), (6, "首都？\n东京"), (7, " ... ")]
+
+
+def test_short_items_and_scripts_without_blanks(spark, documents):
+    """A short item counts where it stands word for word, and a clause without blanks is more than one word."""
+    filler = "先日友人と山へ行きました天気は晴れでした"
+    rows = [
+        (1, f"{prose(1, 200)} what is the capital\nof France -- PARIS! {prose(2, 300)}", "en"),
+        (2, f"The capital of France is what? Paris. {prose(3, 90)}", "en"),  # its words in another order
+        (3, f"{prose(4, 700)} yes {prose(5, 9)}", "en"),
+        (4, f"{filler}东京是日本的首都吗是{filler}", "zh"),
+        (5, "อ่านต่อใครเป็นคนแรกที่เดินบนดวงจันทร์ครับ", "th"),
+        (6, f"{filler}水は何度で沸騰しますか百度です{filler}", "ja"),
+        (7, f"{filler}水は何度で{filler}沸騰しますか", "ja"),
+        (8, "首都东京 yesterday", "zh"),
+        (9, "东京首都", "zh"),
+    ]
+    benchmark = spark.createDataFrame(SHORT_ITEMS, "item_id long, text string")
+    found = decontamination.find_leaks(documents(rows), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (3, 2), (4, 3), (5, 4), (6, 5), (8, 6)}
+    assert all(r["question_overlap"] == 1 and r["answer_overlap"] == 1 for r in found)
