@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 
@@ -43,15 +43,32 @@ class Index:
         self.weight = np.array([w for p in found for _, w in p], np.float64)
         self.most = np.array([max(w for _, w in p) for p in found], np.float64)
 
-    def score_all(self, terms: np.ndarray) -> np.ndarray:
-        """The score of every entry for distinct terms: what no part of the query can exceed."""
+    def _postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the postings of some terms, one term after another, and how many each has."""
         sizes = self.sizes[terms]
         before = np.cumsum(sizes) - sizes
-        at = np.repeat(self.starts[terms] - before, sizes) + np.arange(int(sizes.sum()))
+        return np.repeat(self.starts[terms] - before, sizes) + np.arange(int(sizes.sum())), sizes
+
+    def score_all(self, terms: np.ndarray) -> np.ndarray:
+        """The score of every entry for distinct terms: what no part of the query can exceed."""
+        at, _ = self._postings(terms)
         return np.bincount(self.entry[at], self.weight[at], self.entries)
 
-    def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All entries that score at least `threshold` for distinct terms, by block-max WAND.
+    def _lists(self, terms: np.ndarray, among: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        """Entries and weights of each term's postings, if there are any, and the largest weight."""
+        if among is None:
+            for term in terms:
+                part = slice(self.starts[term], self.starts[term] + self.sizes[term])
+                yield self.entry[part], self.weight[part], float(self.most[term])
+            return
+        at, sizes = self._postings(terms)
+        kept = np.isin(self.entry[at], among)
+        of_term, at = np.repeat(terms, sizes)[kept], at[kept]
+        for part in np.split(at, np.flatnonzero(np.diff(of_term)) + 1) if len(at) else []:
+            yield self.entry[part], self.weight[part], float(self.weight[part].max())
+
+    def search(self, terms: np.ndarray, threshold: float, among: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """All entries, or those `among` some, that score at least `threshold` for distinct terms, by block-max WAND.
 
         Lists of postings go by their current entry. The pivot is the first
         list at which the largest weights so far reach the threshold: no
@@ -61,10 +78,8 @@ class Index:
         """
         found: list[tuple[int, float]] = []
         lists = []
-        for term in terms:
-            start, size = int(self.starts[term]), int(self.sizes[term])
-            entry = self.entry[start : start + size].tolist()
-            lists.append([entry[0], 0, entry, self.weight[start : start + size].tolist(), float(self.most[term])])
+        for entries, weights, most in self._lists(terms, among):
+            lists.append([int(entries[0]), 0, entries.tolist(), weights.tolist(), most])
         slack = threshold - 1e-9  # sums in another order differ in the last digits
 
         def advance(item: list, target: int) -> None:

@@ -87,9 +87,55 @@ def _item(item_id: int, text: str) -> Item:
 
 
 def _entries(text: str) -> list[list[str]]:
+    """What is indexed of an item: question and answer apart, in parts of STRIDE words at most; a short item whole."""
     words = words_of(text)
-    parts = -(-len(words) // STRIDE)
-    return [words[len(words) * i // parts : len(words) * (i + 1) // parts] for i in range(parts)]
+    sides = [words] if len(words) < LEAST_WORDS else [side for side in question_and_answer(text) if side]
+    entries = []
+    for side in sides:
+        parts = -(-len(side) // STRIDE)
+        entries += [side[len(side) * i // parts : len(side) * (i + 1) // parts] for i in range(parts)]
+    return entries
+
+
+def _hashes(number: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` numbers."""
+    runs, bits = max(len(number) - size + 1, 0), number.view(np.uint64)
+    found = bits[:runs].copy()
+    for i in range(1, size):
+        found *= np.uint64(0x9E3779B97F4A7C15)
+        found += bits[i : i + runs]
+    return found
+
+
+class Questions:
+    """The shingles of items' questions, by size and hash: tells which items the overlap check can let pass."""
+
+    def __init__(self, items: list[Item], terms: dict[str, int]):
+        self.needed = np.array([OVERLAP * len(item.question) for item in items]) - 1e-9
+        found: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
+        for owner, item in enumerate(items):
+            for shingle in item.question:
+                found.setdefault(len(shingle), []).append((owner, shingle))
+        self.by_size = {}
+        for size, rows in found.items():
+            words = np.array([terms[word] for _, shingle in rows for word in shingle], np.int64)
+            hashes = _hashes(words, size)[::size]
+            order = np.argsort(hashes, kind="stable")
+            distinct, first = np.unique(hashes[order], return_index=True)
+            owners = np.array([owner for owner, _ in rows], np.int64)[order]
+            self.by_size[size] = distinct, np.append(first, len(rows)), owners
+
+    def held(self, number: np.ndarray) -> list[int]:
+        """The items of whose question a document, given as its words' numbers, holds a share of OVERLAP (or collides)."""
+        hits = []
+        for size, (distinct, first, owners) in self.by_size.items():
+            hashes = _hashes(number, size)
+            at = np.minimum(np.searchsorted(distinct, hashes), len(distinct) - 1)
+            hits += [owners[first[i] : first[i + 1]] for i in np.unique(at[distinct[at] == hashes])]
+        if not hits:
+            return []
+        owner, count = np.unique(np.concatenate(hits), return_counts=True)
+        return owner[count >= self.needed[owner]].tolist()
 
 
 @dataclass
@@ -100,33 +146,37 @@ class Shard:
     owner: list[int]
     items: list[Item]
 
+    def __post_init__(self) -> None:
+        self.questions = Questions(self.items, self.index.terms)
+
     def leaks(self, text: str | None) -> list[tuple[int, float, float, float]]:
-        """(item_id, score, question overlap, answer overlap) of each item that a document holds."""
+        """(item_id, score, question overlap, answer overlap) of each item that a document holds.
+
+        An item is held if a passage scores above the threshold for one of its
+        entries and the document as a whole passes the overlap check. The
+        check comes first: it is the cheaper one, as a short answer alone
+        scores in many passages.
+        """
         words = words_of(text)
         number = np.fromiter(map(self.index.terms.get, words, repeat(-1)), np.int64, len(words))
+        held = cache(partial(shingles, words))
+        overlaps = {owner: self.items[owner].overlaps(held) for owner in self.questions.held(number)}
+        overlaps = {owner: shares for owner, shares in overlaps.items() if min(shares) >= OVERLAP}
+        if not overlaps:
+            return []
+        own = np.flatnonzero(np.isin(self.owner, list(overlaps)))
         best: dict[int, float] = {}
         for chunk in range(0, max(len(words) - STRIDE, 1), CHUNK - STRIDE):
             inside = number[chunk : chunk + CHUNK]
             terms = np.unique(inside[inside >= 0])
-            if not len(terms) or self.index.most[terms].sum() < THRESHOLD:
-                continue
-            if self.index.score_all(terms).max() < THRESHOLD - 1e-9:
+            if not len(terms) or self.index.score_all(terms)[own].max() < THRESHOLD - 1e-9:
                 continue
             for start in range(0, max(len(inside) - STRIDE, 1), STRIDE):
                 passage = inside[start : start + PASSAGE]
-                for entry, score in self.index.search(np.unique(passage[passage >= 0]), THRESHOLD):
+                for entry, score in self.index.search(np.unique(passage[passage >= 0]), THRESHOLD, own):
                     owner = self.owner[entry]
                     best[owner] = max(best.get(owner, 0.0), score)
-        if not best:
-            return []
-        held = cache(partial(shingles, words))
-        found = []
-        for owner, score in sorted(best.items()):
-            item = self.items[owner]
-            question, answer = item.overlaps(held)
-            if question >= OVERLAP and answer >= OVERLAP:
-                found.append((item.item_id, score, question, answer))
-        return found
+        return [(self.items[owner].item_id, score, *overlaps[owner]) for owner, score in sorted(best.items())]
 
 
 def shards(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> Iterator[Shard]:
@@ -143,15 +193,17 @@ def shards(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> Iterator[Sha
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = pa.array([len(words_of(text)) for text in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, words], ["item_id", "text", "n_words"])
+            cut = [_entries(text) for text in batch.column("text").to_pylist()]
+            words = pa.array([sum(map(len, entries)) for entries in cut], pa.int64())
+            entries = pa.array([len(entries) for entries in cut], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, words, entries], ["item_id", "text", "n_words", "n_entries"])
 
     given = benchmark.filter("text is not null").select(F.col("item_id").cast("bigint"), "text")
     items = write_table(
-        given.mapInArrow(measure, "item_id long, text string, n_words long").filter(F.col("n_words") > 0),
+        given.mapInArrow(measure, "item_id long, text string, n_words long, n_entries long").filter(F.col("n_words") > 0),
         "test-items",
     )
-    size = items.agg(F.sum(F.length("text")), F.sum("n_words"), F.sum(F.ceil(F.col("n_words") / STRIDE))).first()
+    size = items.agg(F.sum(F.length("text")), F.sum("n_words"), F.sum("n_entries")).first()
     if size[0] is None:
         return
     chars, words, entries = map(int, size)
@@ -191,9 +243,10 @@ def _leaks(docs: DataFrame, shard: Shard) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """One row per document and test item that it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
-    `docs` has doc_id and text, `benchmark` item_id and text. Every passage
-    of every document queries the index; what scores above the threshold is
-    verified by the overlap of question and answer with the document; an item
+    `docs` has doc_id and text, `benchmark` item_id and text. An item is found
+    if a passage holds enough of the weight of its question or of its answer
+    (or of a part of a long one), wherever the other stands, and the document
+    as a whole passes the overlap check of both; an item
     of fewer than LEAST_WORDS words must be there whole, word after word. Each
     row of `docs` is judged on its own, so rows with one doc_id, or none, can
     give the same row several times, as can items with one item_id. Null and

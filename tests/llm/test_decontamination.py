@@ -118,3 +118,22 @@ def test_short_items_and_scripts_without_blanks(spark, documents):
     found = decontamination.find_leaks(documents(rows), benchmark).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (3, 2), (4, 3), (5, 4), (6, 5), (8, 6)}
     assert all(r["question_overlap"] == 1 and r["answer_overlap"] == 1 for r in found)
+
+
+@pytest.mark.parametrize("between", [0, 60, 300, 3000])
+def test_question_and_answer_stand_apart(between):
+    """Either part alone is retrieved, whatever stands between them, in either order, and both must be there."""
+    items = [(i, f"{prose(100 + i, length)}.\n{prose(700 + i, answer)}") for i, (length, answer) in enumerate([(25, 20), (8, 1), (9, 90), (150, 30), (20, 23)])]
+    cut = [(owner, entry) for owner, (_, text) in enumerate(items) for entry in decontamination._entries(text)]
+    frequency = Counter(term for _, entry in cut for term in set(entry))
+    mean = sum(len(entry) for _, entry in cut) / len(cut)
+    index = Index([entry for _, entry in cut], frequency, len(cut), mean)
+    shard = decontamination.Shard(index, [owner for owner, _ in cut], [decontamination._item(*item) for item in items])
+    for i, text in items:
+        question, answer = text.split("\n")
+        other = prose(9000 + i, between)
+        for parts in [(question, other, answer), (answer, other, question)]:
+            found = shard.leaks("\n".join([prose(i, 333), *parts, prose(50 + i, 70)]))
+            assert [(item, shares) for item, _, *shares in found] == [(i, [1.0, 1.0])]
+        assert shard.leaks(f"{other}\n{question}\n{other}") == []
+        assert shard.leaks(f"{other}\n{answer}\n{other}") == []
