@@ -15,6 +15,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ledgerlens.llm.numbering import number_within
 from ledgerlens.session import write_table
@@ -121,6 +122,7 @@ def best_fit_decreasing(counts: dict[int, int], window: int) -> list[Placement]:
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Cuts alike where no two blanks follow each other, and needs no look-ahead, which makes it faster.
 PRE_TOKENS_SINGLE_BLANKS = PRE_TOKENS.replace(r"\s+(?!\S)|", "")
+LONGEST_RUN = 100_000  # blanks in a row that tiktoken gets: its look-ahead takes stack for each, and fails at a million
 
 
 def _byte_level_ranks(vocabulary: str) -> dict[bytes, int]:
@@ -137,10 +139,13 @@ def _byte_level_ranks(vocabulary: str) -> dict[bytes, int]:
     return {bytes(signs[c] for c in token): i for token, i in ids.items() if i < 256 + len(merged)}
 
 
-def token_ids(vocabulary: str) -> Callable[[str], list[int]]:
+def token_ids(vocabulary: str, added_tokens: bool = False) -> Callable[[str], list[int]]:
     """A function from a text to its ids, for a byte-level BPE file (the JSON of the library tokenizers).
 
-    The ids are those of that library; strings of special tokens are ordinary text.
+    The ids are those of that library. Strings of added tokens, such as
+    <|endoftext|>, are ordinary text, or with `added_tokens` what the library
+    makes of them by default. Texts that hold such a string, or a run of
+    blanks that tiktoken cannot take, are encoded by the library itself.
     """
 
     @cache  # the second encoding takes as much memory as the first, and many texts do without it
@@ -148,21 +153,39 @@ def token_ids(vocabulary: str) -> Callable[[str], list[int]]:
         ranks = _byte_level_ranks(vocabulary)
         return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cache  # few texts need it
+    def library() -> Tokenizer:
+        loaded = Tokenizer.from_file(vocabulary)
+        loaded.encode_special_tokens = not added_tokens
+        return loaded
+
     has_run = re.compile(r"\s\s").search
-    return lambda text: encoding(PRE_TOKENS if has_run(text) else PRE_TOKENS_SINGLE_BLANKS).encode_ordinary(text)
+    runs = re.compile(r"\s\s+").finditer
+    added = [token["content"] for token in json.loads(Path(vocabulary).read_text()).get("added_tokens") or []]
+    has_added = re.compile("|".join(map(re.escape, added))).search if added and added_tokens else lambda text: None
+
+    def encode(text: str) -> list[int]:
+        blanks = has_run(text) is not None
+        too_long = blanks and len(text) > LONGEST_RUN and any(run.end() - run.start() > LONGEST_RUN for run in runs(text))
+        if too_long or has_added(text):
+            return library().encode(text, add_special_tokens=False).ids
+        return encoding(PRE_TOKENS if blanks else PRE_TOKENS_SINGLE_BLANKS).encode_ordinary(text)
+
+    return encode
 
 
 def cut(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """The pieces of each document: doc_id, start, length, ids_crc32, doc_tokens and, if wanted, ids.
 
-    A document is the ids of its text (null: empty) and then END_ID. Full
+    A document is the ids of its text (null: empty), as the library gives
+    them by default, and then END_ID. Full
     windows are cut off from its start; what is left is its last piece.
     ids_crc32 is the CRC of the ids as little-endian unsigned 32-bit numbers.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_ids(vocabulary)
+        encode = token_ids(vocabulary, added_tokens=True)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):

@@ -123,3 +123,24 @@ def test_training_rows_are_padded(packed):
 
 def test_an_empty_table(documents):
     assert packing.pack(documents([]), VOCABULARY).collect() == []
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y  ", "it's <|endoftext|", "<|ENDOFTEXT|>  <|endoftext|> \n"]
+
+
+def test_ids_with_added_tokens_are_those_of_the_librarys_default_settings(spark):
+    default = Tokenizer.from_file(VOCABULARY)
+    expected = {i: default.encode(text, add_special_tokens=False).ids + [packing.END_ID] for i, text in enumerate(ADDED)}
+    assert 50256 in expected[0]
+    frame = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in packing.cut(frame, VOCABULARY, with_ids=True).collect()} == expected
+
+
+@pytest.mark.parametrize("blank", ["\n", " ", "\t", "\u3000"])
+def test_more_than_a_million_blanks_in_a_row(tokenizer, blank):
+    text = f"it's  a{blank * 1_100_000}b <|endoftext|>"
+    assert packing.token_ids(VOCABULARY)(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    with_added = packing.token_ids(VOCABULARY, added_tokens=True)(text)
+    assert with_added == Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+    just_below = f"a{blank * packing.LONGEST_RUN}b"
+    assert packing.token_ids(VOCABULARY)(just_below) == tokenizer.encode(just_below, add_special_tokens=False).ids
