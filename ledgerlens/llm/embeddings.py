@@ -18,6 +18,7 @@ THRESHOLD = 0.93
 SAMPLE_VALUES = 500_000  # numbers in the sample that the rotations are learned on, at most
 ITERATIONS = 30
 RECALL = 0.995  # expected share of pairs just at the threshold that meet in a table
+TURNED = 4000  # pairs at the threshold, made of the sample, on which the recall of learned codes is measured
 BLOCK = 1024  # members of a bucket that one task compares with as many others
 
 
@@ -40,7 +41,7 @@ class Rotations:
         projected = centred @ principal
         random = np.random.default_rng(11)
         turns = []
-        for _ in range(-(-key_bits * tables // bits)):
+        for _ in range(max(-(-key_bits * tables // bits), 1)):
             turn, _ = np.linalg.qr(random.standard_normal((bits, bits)))
             for _ in range(ITERATIONS):
                 left, _, right = np.linalg.svd(np.sign(projected @ turn).T @ projected)
@@ -50,8 +51,11 @@ class Rotations:
         order = random.permutation(bits * len(turns))[: key_bits * tables]
         self.projection = np.concatenate(turns, axis=1)[:, order]
 
+    def bits(self, unit: np.ndarray) -> np.ndarray:
+        return (unit - self.mean) @ self.projection > 0
+
     def keys(self, unit: np.ndarray) -> np.ndarray:
-        signs = ((unit - self.mean) @ self.projection > 0).reshape(len(unit), self.tables, self.key_bits)
+        signs = self.bits(unit).reshape(len(unit), self.tables, self.key_bits)
         return signs @ (1 << np.arange(self.key_bits, dtype=np.int64))
 
 
@@ -68,6 +72,62 @@ def table_sizes(vectors: int, threshold: float = THRESHOLD, recall: float = RECA
     return key_bits, math.ceil(math.log(1 - recall) / math.log1p(-meet))
 
 
+def _turned(sample: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at the threshold: vectors of the sample, and the same turned by its angle.
+
+    Half of them are turned in any direction, half towards where vectors of
+    the sample differ, which are the directions that codes are made of.
+    """
+    random = np.random.default_rng(12)
+    one, other, third = (sample[random.integers(len(sample), size=TURNED)] for _ in range(3))
+    towards = random.standard_normal(one.shape)
+    towards[::2] = np.where((other != third).any(axis=1, keepdims=True), other - third, towards)[::2]
+    towards -= (towards * one).sum(axis=1, keepdims=True) * one
+    length = np.linalg.norm(towards, axis=1, keepdims=True)
+    towards = np.where(length > 1e-9, towards / np.maximum(length, 1e-9), 0)  # one dimension has no other direction
+    return one, _unit(threshold * one + math.sqrt(max(1 - threshold**2, 0.0)) * towards)
+
+
+def _tables_for(differ: np.ndarray, key_bits: int, most: int, recall: float) -> int | None:
+    """How many tables give the recall, at most `most`, for pairs of which such shares of the bits differ."""
+    apart = np.log1p(-np.minimum((1 - differ) ** key_bits, 1 - 1e-15))
+
+    def enough(tables: int) -> bool:
+        return 1 - np.exp(apart * tables).mean() >= recall
+
+    if not enough(most):
+        return None
+    low, high = 0, most  # the answer is above low
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high
+
+
+def learn(sample: np.ndarray, vectors: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Rotations:
+    """Codes for unit vectors like those of the sample, up to `vectors` under one label.
+
+    `table_sizes` goes by the angle at the origin. Codes are signs after the
+    mean is subtracted, and vectors that share a large mean lie at wider
+    angles around it. So the recall is measured on turned vectors: tables are
+    added up to twice as many, then bits are taken away, down to a single
+    bucket, until the recall is there.
+    """
+    key_bits, least = table_sizes(vectors, threshold, recall)
+    most, tables = 2 * least, least
+    one, other = _turned(sample, threshold)
+    while True:
+        rotations = Rotations(sample, key_bits, tables)
+        if (rotations.keys(one) == rotations.keys(other)).any(axis=1).mean() >= recall:
+            return rotations
+        differ = (rotations.bits(one) != rotations.bits(other)).mean(axis=1)
+        wanted = max(_tables_for(differ, key_bits, most, recall) or most + 1, tables + max(tables // 16, 1))
+        while wanted > most:
+            key_bits -= 1
+            wanted = _tables_for(differ, key_bits, most, recall) or most + 1
+        tables = wanted
+
+
 def _unit(values: np.ndarray) -> np.ndarray:
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
@@ -188,7 +248,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         wanted = max(SAMPLE_VALUES // row["size"], 2)
         some = classes.filter(F.col("size") == row["size"]).orderBy("hash", "class").limit(wanted).select("vector")
         sample = _matrix(some.toArrow().column("vector").combine_chunks(), row["size"])
-        models[row["size"]] = Rotations(_unit(sample), *table_sizes(row["n"], threshold))
+        models[row["size"]] = learn(_unit(sample), row["n"], threshold)
 
     encoded = write_table(_encode(classes, models), "vector-codes")
     filed = encoded.select("class", "label", "size", F.posexplode("keys").alias("table", "key"))

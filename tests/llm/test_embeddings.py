@@ -97,3 +97,27 @@ def test_more_vectors_get_longer_keys_and_the_same_expected_recall():
         meet = (1 - math.acos(embeddings.THRESHOLD) / math.pi) ** bits
         assert 1 - (1 - meet) ** tables >= embeddings.RECALL
         assert vectors / 2**bits <= 1 / 8 or bits == 8
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.7, 0.83, 0.99])
+@pytest.mark.parametrize("vectors", [7500, 1_000_000])
+def test_recall_does_not_fall_with_a_common_mean(mean, vectors):
+    """Pairs at the threshold meet in some table, however large the mean that all vectors share."""
+    draw = np.random.default_rng(4)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def some(count):
+        own = unit(draw.standard_normal((count, 64)))
+        return unit(mean * unit(np.ones((1, 64))) + math.sqrt(1 - mean**2) * own)
+
+    rotations = embeddings.learn(some(4000), vectors)
+    one, towards = some(1500), draw.standard_normal((1500, 64))
+    towards = unit(towards - (towards * one).sum(axis=1, keepdims=True) * one)
+    other = embeddings.THRESHOLD * one + math.sqrt(1 - embeddings.THRESHOLD**2) * towards
+    assert (rotations.keys(one) == rotations.keys(other)).any(axis=1).mean() >= 0.985
+    bits, tables = embeddings.table_sizes(vectors)
+    assert rotations.tables <= 2 * tables
+    if not mean:  # little is added where nothing is missing
+        assert rotations.key_bits == bits and rotations.tables <= 1.3 * tables
