@@ -3,7 +3,6 @@ from __future__ import annotations
 import datetime
 import os
 import sys
-from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -12,8 +11,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from ledgerlens.session import local_session  # noqa: E402
-from ledgerlens.sources.schema import SCHEMAS  # noqa: E402
 from ledgerlens.sources.star import Star  # noqa: E402
+from stars import date_row, frame_of  # noqa: E402
 
 TESTDATA = Path(os.environ.get("TESTDATA_DIR", "/root/testdata"))
 
@@ -33,58 +32,6 @@ def small_folder():
     return str(folder)
 
 
-DEFAULTS = {
-    "fact_transactions": {
-        "customer_key": 1, "account_key": 1, "merchant_key": 1, "location_key": 1, "amount_usd": "10.00",
-        "is_flagged": 0, "is_off_hours": 0, "channel": "Web", "transaction_type": "Purchase", "status": "Completed",
-    },
-    "dim_customer": {"kyc_status": "Verified", "customer_segment": "Retail", "preferred_channel": "Web", "country": "A"},
-    "dim_account": {"account_type": "Savings", "balance_tier": "Low", "account_status": "Active"},
-    "dim_merchant": {
-        "merchant_category": "Retail", "risk_rating": "Low", "country": "A", "is_shell_merchant": 0, "merchant_name": "M",
-    },
-    "dim_location": {"country": "A", "city": "A-0", "region": "R", "is_high_risk_country": 0},
-    "dim_date": {},
-}
-
-
-def _fact_row(number: int, row: dict) -> dict:
-    moment = row.get("transaction_datetime", datetime.datetime(2024, 1, 15, 12))
-    if isinstance(moment, str):
-        moment = datetime.datetime.fromisoformat(moment)
-    filled = {
-        "transaction_key": number,
-        "transaction_id": f"T{number}",
-        "transaction_date": moment.date() if moment else None,
-        "transaction_hour": moment.hour if moment else None,
-        "date_key": int(moment.strftime("%Y%m%d")) if moment else None,
-        **row,
-    }
-    filled["transaction_datetime"] = moment
-    return filled
-
-
-def _date_row(day: datetime.date) -> dict:
-    return {
-        "date_key": int(day.strftime("%Y%m%d")), "full_date": day, "year_number": day.year, "month_number": day.month,
-        "month_name": day.strftime("%B"), "quarter_number": (day.month + 2) // 3, "day_of_week": day.strftime("%A"),
-        "is_weekend": int(day.weekday() >= 5),
-    }
-
-
-def frame_of(spark, table: str, rows: list[dict]):
-    """Rows of a star table; columns left out get plain defaults."""
-    complete = []
-    for number, row in enumerate(rows, 1):
-        row = {**DEFAULTS[table], **row}
-        if table == "fact_transactions":
-            row = _fact_row(number, row)
-            if row["amount_usd"] is not None:
-                row["amount_usd"] = Decimal(str(row["amount_usd"]))
-        complete.append(tuple(row.get(name) for name in SCHEMAS[table].names))
-    return spark.createDataFrame(complete, SCHEMAS[table])
-
-
 @pytest.fixture
 def mini(spark):
     """Build a star from a few rows; dimensions not given hold one row with key 1."""
@@ -96,7 +43,7 @@ def mini(spark):
             "dim_account": [{"account_key": 1, "account_id": "A1"}],
             "dim_merchant": [{"merchant_key": 1}],
             "dim_location": [{"location_key": 1}],
-            "dim_date": [_date_row(day) for day in days],
+            "dim_date": [date_row(day) for day in days],
             **tables,
             "fact_transactions": facts,
         }

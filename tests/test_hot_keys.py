@@ -6,8 +6,8 @@ import datetime
 import random
 
 import pytest
-from conftest import frame_of
 from pyspark.sql import functions as F
+from stars import frame_of
 
 from ledgerlens.operators.hot_keys import broadcast_bytes, join_per_key
 from ledgerlens.plans import anomalies, baseline, customers, merchants, scoring

@@ -8,7 +8,6 @@ import random
 import compare
 import duckdb
 import pytest
-from conftest import DEFAULTS, frame_of
 
 from ledgerlens.jobs import JOBS
 from ledgerlens.plans import anomalies, merchants, scoring
@@ -61,11 +60,9 @@ def _dimensions(draw):
 
 @pytest.fixture(scope="module")
 def dirty(spark, tmp_path_factory):
-    from conftest import _date_row
-
     draw, folder = random.Random(8), tmp_path_factory.mktemp("dirty")
     tables = {"fact_transactions": list(_facts(draw, 700)), **dict(_dimensions(draw))}
-    tables["dim_date"] = [_date_row((START + datetime.timedelta(days=i)).date()) for i in range(274)]
+    tables["dim_date"] = [date_row((START + datetime.timedelta(days=i)).date()) for i in range(274)]
     assert set(tables) == set(DEFAULTS)
     connection = duckdb.connect()
     for name, rows in tables.items():

@@ -7,8 +7,8 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import frame_of
 from pyspark.sql import functions as F
+from stars import frame_of
 
 from ledgerlens.operators.velocity import closest_pairs, pair_order, velocity_leaders, velocity_pairs
 from ledgerlens.plans import anomalies, scoring
