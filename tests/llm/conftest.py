@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import random
-
 import pytest
 
 # Columns that the operators use inside, here as further columns of the input.
@@ -20,9 +18,3 @@ def documents(spark):
         return frame.selectExpr("*", *[f"'x' as `{name}`" for name in CLASHING if extra])
 
     return build
-
-
-def prose(seed: int, words: int, vocabulary: int = 400) -> str:
-    """Invented words, the same for the same seed."""
-    draw = random.Random(seed)
-    return " ".join(f"w{draw.randrange(vocabulary)}{'abcdefgh'[draw.randrange(8)]}" for _ in range(words))

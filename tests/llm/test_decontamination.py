@@ -7,7 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose
+
+from texts import prose
 
 from ledgerlens.llm import decontamination
 from ledgerlens.llm.bm25 import Index

@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import prose
 from tokenizers import Tokenizer
 
+from texts import prose
+
 from ledgerlens.llm import packing
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import pytest
-from conftest import prose
+from texts import prose
 
 ITEM = prose(70, 40) + ".\n" + prose(71, 8)
 PASSAGE = prose(72, 80)

@@ -8,7 +8,8 @@ from itertools import combinations
 
 import pytest
 import xxhash
-from conftest import prose
+
+from texts import prose
 
 from ledgerlens.llm import simhash
 from ledgerlens.llm.components import components

@@ -7,7 +7,8 @@ import random
 import re
 
 import pytest
-from conftest import prose
+
+from texts import prose
 
 from ledgerlens.llm import substrings
 from ledgerlens.llm.automaton import SuffixAutomaton
