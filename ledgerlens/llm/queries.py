@@ -9,7 +9,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, decontamination, embeddings, language, licenses, packing, quality, sharding, simhash, substrings
+from ledgerlens.llm import (
+    chat,
+    decontamination,
+    embeddings,
+    language,
+    licenses,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substrings,
+    token_counts,
+)
 from ledgerlens.llm.license_rules import CONFIDENCE, REACH, RULES
 
 SHARDS = 8
@@ -84,6 +96,10 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.dedup_digest(_table(spark, folder, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
@@ -95,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_counts": op11_token_counts,
 }
 
 OP5_SQL = f"""
