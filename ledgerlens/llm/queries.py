@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
     chat,
+    clustering,
     decontamination,
     embeddings,
     language,
@@ -21,6 +22,7 @@ from ledgerlens.llm import (
     simhash,
     substrings,
     token_counts,
+    whitening,
 )
 from ledgerlens.llm.license_rules import CONFIDENCE, REACH, RULES
 
@@ -100,6 +102,15 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(_table(spark, folder, "embeddings"))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
@@ -112,6 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_token_counts": op11_token_counts,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 OP5_SQL = f"""
@@ -235,10 +248,46 @@ SELECT doc_id, len(t.words)::BIGINT AS n_words, (len(t.words) - coalesce(n, 0)):
 FROM texts t LEFT JOIN kept USING (doc_id)
 """
 
+_NEAREST = """
+), a{round} AS MATERIALIZED (
+    SELECT r, min({{'d': list_sum(list_transform(range(1, {dimensions} + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))),
+        'k': k}}) AS near FROM kept v CROSS JOIN c{round} c GROUP BY r"""
+_MOVED = """
+), s{round} AS MATERIALIZED (
+    SELECT near.k AS k, i, sum(x[i]) AS s, count(*) AS n
+    FROM a{before} JOIN kept USING (r) CROSS JOIN range(1, {dimensions} + 1) t(i) GROUP BY ALL
+), c{round} AS MATERIALIZED (
+    SELECT c.k, coalesce(m.x, c.x) AS x FROM c{before} c
+    LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{round} GROUP BY k) m ON c.k = m.k"""
+
+OP12_SQL = (
+    f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor({clustering.SCALE} * c::DOUBLE)::BIGINT) AS x
+    FROM embeddings WHERE len(embedding) = {clustering.DIMENSIONS}
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS k, x FROM kept
+    QUALIFY k < {clustering.CENTROIDS}"""
+    + "".join(
+        _NEAREST.format(round=n, dimensions=clustering.DIMENSIONS)
+        + (_MOVED.format(round=n + 1, before=n, dimensions=clustering.DIMENSIONS) if n < clustering.ROUNDS else "")
+        for n in range(clustering.ROUNDS + 1)
+    )
+    + f"""
+)
+SELECT vec_id, near.k::INTEGER AS cluster, near.d::BIGINT AS distance,
+    sum(near.d) OVER (PARTITION BY near.k)::BIGINT AS cluster_inertia, sum(near.d) OVER ()::BIGINT AS inertia,
+    sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{clustering.ROUNDS} a JOIN kept USING (r) JOIN c{clustering.ROUNDS} c ON a.near.k = c.k
+"""
+)
+
 SQL: dict[str, str] = {
     "op1_license_scan": OP1_SQL,
     "op4_embedding_dedup": OP4_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op5_sharding": OP5_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op12_centroid_clustering": OP12_SQL,
 }

@@ -1,0 +1,139 @@
+"""Embedding whitening against an eigendecomposition of the exact covariance."""
+
+from __future__ import annotations
+
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from ledgerlens.llm import whitening
+
+SCHEMA = "vec_id long, embedding array<float>, label int, n string, component string, x string, size string"
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame([(i, v, 1, "a", "b", "c", "d") for i, v in rows], SCHEMA)
+
+
+def _exact(rows):
+    """Kept rows, n, sums and covariance (exact, then rounded) of the distinct vectors."""
+    kept = [(i, [math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v]) for i, v in rows]
+    distinct = sorted({tuple(x) for _, x in kept})
+    n, dimensions = len(distinct), len(distinct[0])
+    sums = [sum(column) for column in zip(*distinct, strict=True)]
+    apart = [[n * a - s for a, s in zip(x, sums, strict=True)] for x in distinct]
+    covariance = np.array(
+        [[float(Fraction(sum(x[i] * x[j] for x in apart), n**3)) for j in range(dimensions)] for i in range(dimensions)]
+    )
+    return kept, n, sums, covariance
+
+
+def _compare(spark, rows, components=16):
+    kept, n, sums, covariance = _exact(rows)
+    values, vectors = np.linalg.eigh(covariance)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    count = min(components, int((values > 1e-11 * values[0]).sum()))
+    found = whitening.whiten(_frame(spark, rows), components).collect()
+    assert len(found) == len(kept) * count
+    by_component = {}
+    for row in found:
+        by_component.setdefault(row["component"], []).append(row)
+    assert sorted(by_component) == list(range(1, count + 1))
+    whole = {}
+    for i, x in kept:
+        whole.setdefault(i, x)
+    for component, part in by_component.items():
+        wanted, got = [], []
+        for row in part:
+            apart = np.array([float(Fraction(n * a - s, n)) for a, s in zip(whole[row["vec_id"]], sums, strict=True)])
+            wanted.append(apart @ vectors[:, component - 1] / math.sqrt(values[component - 1]))
+            got.append(row["whitened"])
+            assert row["n"] == n
+            assert int(row["deviation"]) == sum((n * a - s) ** 2 for a, s in zip(whole[row["vec_id"]], sums, strict=True))
+            assert row["explained"] == pytest.approx(values[component - 1] / np.trace(covariance), rel=1e-10)
+            assert row["identity_error"] < 1e-10
+        wanted, got = np.array(wanted), np.array(got)
+        assert min(np.abs(wanted - got).max(), np.abs(wanted + got).max()) < 1e-8
+    return found
+
+
+def _vectors(seed, count, dimensions):
+    draw = np.random.default_rng(seed)
+    scales = np.linspace(2.0, 0.2, dimensions)
+    return [(int(i), (draw.standard_normal(dimensions) * scales + 3).astype(np.float32).tolist()) for i in range(count)]
+
+
+@pytest.mark.parametrize(("seed", "count", "dimensions"), [(1, 400, 40), (2, 60, 5), (3, 12, 30)])
+def test_components_are_those_of_the_covariance(spark, seed, count, dimensions):
+    _compare(spark, _vectors(seed, count, dimensions))
+
+
+def test_repeated_vectors_count_once(spark):
+    rows = _vectors(4, 80, 6)
+    _compare(spark, rows + [(1000 + i, rows[0][1]) for i in range(50)] + rows[:3])
+
+
+def test_constant_dimensions_and_large_offsets(spark):
+    rows = [(i, [c * 0.02 + 900.0 for c in v[:4]] + [7.0, 0.0]) for i, v in _vectors(5, 150, 4)]
+    assert {row["component"] for row in _compare(spark, rows)} == {1, 2, 3, 4}
+
+
+def test_rows_that_are_left_out(spark):
+    rows = _vectors(6, 50, 4)
+    odd = [(900, None), (901, [1.0, None, 2.0, 3.0]), (902, [1.0, float("nan"), 2.0, 3.0]), (903, [float("-inf")] * 4), (904, []), (905, [1.0])]
+    found = whitening.whiten(_frame(spark, rows + odd + [(None, rows[0][1])])).collect()
+    assert {row["vec_id"] for row in found} == {i for i, _ in rows} | {None}
+    assert {row["n"] for row in found} == {50}
+
+
+def test_nothing_varies(spark):
+    same = [(i, [1.0, 2.0]) for i in range(3)]
+    for rows in (same, same[:1], []):
+        found = whitening.whiten(_frame(spark, rows) if rows else _frame(spark, same).limit(0))
+        assert found.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+        assert found.collect() == []
+
+
+@pytest.mark.parametrize(("dimensions", "wanted"), [(300, 16), (64, 16), (20, 16), (3, 3), (1, 1)])
+def test_jacobi_davidson_to_double_precision(dimensions, wanted):
+    draw = np.random.default_rng(7)
+    turn, _ = np.linalg.qr(draw.standard_normal((dimensions, dimensions)))
+    values = np.sort(draw.random(dimensions) ** 2)[::-1]
+    matrix = turn * values @ turn.T
+    products = []
+
+    def product(block):
+        products.append(block.shape[1])
+        return matrix @ block
+
+    found, vectors = whitening.leading(product, dimensions, wanted)
+    assert np.abs(found - values[:wanted]).max() < 1e-13
+    assert np.abs(vectors.T @ vectors - np.eye(wanted)).max() < 1e-13
+    assert np.linalg.norm(matrix @ vectors - vectors * found, axis=0).max() < 1e-13
+    assert len(products) < 150
+
+
+def test_equal_eigenvalues_and_low_rank():
+    for values in ([3.0] * 8 + [1.0] * 32, [5.0, 4.0] + [0.0] * 38, [2.0] * 40):
+        found, vectors = whitening.leading(lambda block, v=np.array(values): v[:, None] * block, 40, 10)
+        assert np.abs(found - values[:10]).max() < 1e-13
+        assert np.abs(vectors.T @ vectors - np.eye(10)).max() < 1e-13
+
+
+def test_minres_solves_in_full():
+    draw = np.random.default_rng(8)
+    half = draw.standard_normal((12, 12))
+    matrix, right, none = half @ half.T, draw.standard_normal((12, 2)), np.empty((12, 0))
+    shifts = np.array([0.0, 1.5])
+    found = whitening._minres(lambda b: matrix @ b, shifts, none, right, 40)
+    for j in range(2):
+        assert np.allclose((matrix - shifts[j] * np.eye(12)) @ found[:, j], right[:, j], atol=1e-6)
+
+
+def test_sums_do_not_depend_on_the_partitions(spark):
+    rows = spark.createDataFrame([(v,) for _, v in _vectors(9, 500, 8)], "x array<double>").selectExpr("transform(x, c -> bigint(c * 64)) as x")
+    one, many = (whitening.learn(rows.repartition(parts), 8, 3) for parts in (1, 7))
+    assert one.centre == many.centre and one.trace == many.trace
+    assert np.abs(one.values - many.values).max() < 1e-12 * one.values[0]
