@@ -8,6 +8,7 @@ import random
 import compare
 import duckdb
 import pytest
+from stars import DEFAULTS, date_row, frame_of
 
 from ledgerlens.jobs import JOBS
 from ledgerlens.plans import anomalies, merchants, scoring
