@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.session import write_table
-
-_ROW_BITS = 33  # monotonically_increasing_id keeps the row within a partition in its low 33 bits
+DIGIT_BITS = 12  # of a number that one pass over the rows tells apart
+_SIGN = -(1 << 63)
 
 
 def top(frame: DataFrame, count: int, *order: Column | str) -> DataFrame:
@@ -20,51 +21,117 @@ def _order_value(value: Column, key: Column) -> Column:
     return F.struct(value.cast("bigint").alias("value"), key.cast("bigint").alias("key"))
 
 
+@dataclass(frozen=True)
+class _Probe:
+    """Rows among which a cutoff lies: those whose number begins with `prefix`, its last `open` bits left open.
+
+    The number is the signal's value, or once that is found (`at`, which may be (None,)) the key.
+    Numbers are taken as unsigned, with the sign turned over, which keeps their order.
+    """
+
+    signal: str
+    at: tuple | None
+    prefix: int
+    open: int
+
+    def digit(self, key: str) -> Column:
+        """The next bits of a row's number, -1 for a missing key, or null for other rows."""
+        number = F.col(self.signal if self.at is None else key).cast("bigint")
+        flipped = number.bitwiseXOR(F.lit(_SIGN))
+        step = min(self.open, DIGIT_BITS)
+        prefix = self.prefix if self.prefix < -_SIGN else self.prefix + 2 * _SIGN  # as a signed number
+        inside = F.lit(True) if self.open == 64 else F.shiftrightunsigned(flipped, self.open) == F.lit(prefix)
+        rest = F.shiftrightunsigned(flipped, self.open - step).bitwiseAND((1 << step) - 1)
+        digit = F.when(inside, rest)
+        if self.at is None:
+            return digit
+        same = F.col(self.signal).cast("bigint").eqNullSafe(F.lit(self.at[0]).cast("bigint"))
+        return F.when(same, F.when(number.isNull(), -1).otherwise(digit))
+
+    def at_digit(self, digit: int) -> _Probe:
+        step = min(self.open, DIGIT_BITS)
+        return replace(self, prefix=(self.prefix << step) | digit, open=self.open - step)
+
+    def number(self) -> int:
+        """The number, once no bit is open."""
+        return self.prefix + _SIGN
+
+
+def _common_prefix(least: int, most: int) -> tuple[int, int]:
+    """The leading bits that all numbers from least to most share, and how many bits that leaves open."""
+    low, high = least - _SIGN, most - _SIGN
+    spread = (low ^ high).bit_length()
+    return low >> spread, spread
+
+
+def _histograms(frame: DataFrame, probes: list[_Probe], key: str) -> dict[_Probe, list[tuple[int, int]]]:
+    """How many rows of each probe have which digit: one pass, of which each task returns counts only."""
+    digits = [F.struct(F.lit(i).alias("probe"), probe.digit(key).cast("int").alias("digit")) for i, probe in enumerate(probes)]
+    inside = F.filter(F.array(*digits), lambda d: d["digit"].isNotNull())
+    counted = frame.select(F.explode(inside).alias("d")).groupBy("d.probe", "d.digit").count().collect()
+    found: dict[_Probe, list[tuple[int, int]]] = {probe: [] for probe in probes}
+    for row in sorted(counted):
+        found[probes[row["probe"]]].append((row["digit"], row["count"]))
+    return found
+
+
 def quantile_cutoffs(frame: DataFrame, signals: list[str], key: str, buckets: int) -> dict[str, list[tuple]]:
     """The last (value, key) of every bucket but the last, per signal, as NTILE would fill them.
 
-    All signals are put below each other and range-sorted together by (signal,
-    value, key), so that heavy ties split over partitions. Each signal holds
-    the same number of rows, so a row's place among all rows gives its place
-    within its signal. The sorted copy is written out because the sampled
-    bounds of a range partitioning change when it is recomputed. The driver
-    sees one count per partition and the cutoff rows.
+    Nothing is sorted or shuffled but counts. Each cutoff is the row at a known
+    place, which is closed in on digit by digit: a pass counts, for all cutoffs
+    at once, the rows by the next bits of their value among those that share the bits found so far; when
+    the value is found, the rows that tie there are told apart by key in the
+    same way. Passes start at the first bit in which values differ, and
+    bits are taken twelve at a time, so shares need two passes and a billion
+    keys three. The driver sees at most 4096 counts per cutoff and pass.
     """
-    long = frame.select(
-        F.col(key).cast("bigint").alias("key"),
-        F.posexplode(F.array(*[F.col(s).cast("bigint") for s in signals])).alias("signal", "value"),
-    )
-    order = [F.col("signal"), F.col("value").asc_nulls_first(), F.col("key").asc_nulls_first()]
-    ordered = write_table(
-        long.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("signal", "value", "key", F.monotonically_increasing_id().alias("position")),
-        "ordered-signals",
-    )
-    sizes = (
-        ordered.groupBy(F.shiftright("position", _ROW_BITS).alias("part"))
-        .agg(F.count(F.lit(1)).alias("size"))
-        .orderBy("part")
-        .collect()
-    )
-    members = sum(row["size"] for row in sizes) // len(signals)
+    numbers = {signal: F.col(signal).cast("bigint") for signal in (*signals, key)}
+    ranges = frame.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.struct(F.count(n).alias("known"), F.min(n).alias("least"), F.max(n).alias("most")).alias(f"range_{i}")
+          for i, n in enumerate(numbers.values())],
+    ).first()
+    members = ranges["rows"]
     if members == 0:
         return {signal: [] for signal in signals}
+    span = {signal: ranges[f"range_{i}"] for i, signal in enumerate(numbers)}
+
+    def among_keys(signal: str, value: int | None) -> _Probe:
+        bounds = span[key]
+        return _Probe(signal, (value,), *(_common_prefix(bounds["least"], bounds["most"]) if bounds["known"] else (0, 0)))
 
-    wanted: dict[int, list[tuple[int, int]]] = {}
-    for index in range(len(signals)):
+    cutoffs: dict[str, list[tuple]] = {signal: [None] * (buckets - 1) for signal in signals}
+    sought: list[tuple[_Probe, int, int]] = []  # a cutoff's probe, its place among the rows there, its bucket
+    for signal in signals:
+        missing = members - span[signal]["known"]
         for bucket in range(1, buckets):
-            last = bucket * (members // buckets) + min(bucket, members % buckets)
-            place = index * members + last - 1
-            for row in sizes:
-                if place < row["size"]:
-                    wanted.setdefault((row["part"] << _ROW_BITS) + place, []).append((index, bucket))
+            place = max(bucket * (members // buckets) + min(bucket, members % buckets) - 1, 0)
+            if place < missing:
+                sought.append((among_keys(signal, None), place, bucket))
+            else:
+                prefix, spread = _common_prefix(span[signal]["least"], span[signal]["most"])
+                sought.append((_Probe(signal, None, prefix, spread), place - missing, bucket))
+    while sought:
+        # A value with no bit open is found; keys are looked at once even so, as one may be missing.
+        sought = [
+            (among_keys(p.signal, p.number()), place, bucket) if p.at is None and not p.open else (p, place, bucket)
+            for p, place, bucket in sought
+        ]
+        counts = _histograms(frame, list(dict.fromkeys(p for p, _, _ in sought)), key)
+        going_on = []
+        for probe, place, bucket in sought:
+            for digit, count in counts[probe]:
+                if place < count:
                     break
-                place -= row["size"]
-    cutoffs: dict[str, list[tuple]] = {signal: [None] * (buckets - 1) for signal in signals}
-    for row in ordered.filter(F.col("position").isin(list(wanted))).collect():
-        for index, bucket in wanted[row["position"]]:
-            cutoffs[signals[index]][bucket - 1] = (row["value"], row["key"])
+                place -= count
+            if digit == -1:
+                cutoffs[probe.signal][bucket - 1] = (probe.at[0], None)
+            elif (closer := probe.at_digit(digit)).open or closer.at is None:
+                going_on.append((closer, place, bucket))
+            else:
+                cutoffs[probe.signal][bucket - 1] = (probe.at[0], closer.number())
+        sought = going_on
     return cutoffs
 
 

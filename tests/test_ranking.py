@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ranking import running_total_by_value, with_quantiles
+from ledgerlens.operators import ranking
+from ledgerlens.operators.ranking import quantile_cutoffs, running_total_by_value, with_quantiles
 from ledgerlens.session import write_table
 
 
@@ -48,6 +49,45 @@ def test_missing_key_ranks_first_among_its_ties(spark):
     assert got == {2: 1, 1: 2, None: 3, 3: 4, 5: 5}
 
 
+def test_far_apart_and_missing_numbers(spark):
+    rng = random.Random(8)
+    edges = [-(1 << 63), (1 << 63) - 1, 0, -1, 1, None, 1 << 40, -(1 << 40)]
+    rows = [(key, rng.choice([*edges, rng.randint(-(1 << 62), 1 << 62)])) for key in [*range(-60, 60), (1 << 62), -(1 << 62)]]
+    frame = write_table(spark.createDataFrame(rows, "key long, v long"), "test")
+    got = {r["key"]: r["q"] for r in with_quantiles(frame, {"v": "q"}, "key").collect()}
+    assert got == ntile_by_hand(rows)
+
+
+def test_keys_are_all_missing_or_one(spark):
+    frame = write_table(spark.createDataFrame([(None, 3)], "key long, v long"), "test")
+    assert quantile_cutoffs(frame, ["v"], "key", 2) == {"v": [(3, None)]}
+    frame = write_table(spark.createDataFrame([(9, 3)], "key long, v long"), "test")
+    assert quantile_cutoffs(frame, ["v"], "key", 2) == {"v": [(3, 9)]}
+
+
+def test_cutoffs_are_found_by_counting(spark, monkeypatch):
+    """Nothing is sorted or written, and a pass returns at most one count per cutoff and digit."""
+    rng = random.Random(9)
+    rows = [(k, rng.randint(0, 10_000), rng.choice([0, 0, 0, 7])) for k in range(5000)]
+    frame = write_table(spark.createDataFrame(rows, "key long, a long, b long"), "test")
+    passes = []
+    counted = ranking._histograms
+
+    def watched(frame, probes, key):
+        found = counted(frame, probes, key)
+        passes.append(max(map(len, found.values())))
+        return found
+
+    monkeypatch.setattr(ranking, "_histograms", watched)
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda *a: pytest.fail("sorted"))
+    monkeypatch.setattr(DataFrame, "orderBy", lambda *a: pytest.fail("sorted"))
+    cutoffs = quantile_cutoffs(frame, ["a", "b"], "key", 5)
+    for name, index in (("a", 1), ("b", 2)):
+        ordered = sorted((row[index], row[0]) for row in rows)
+        assert cutoffs[name] == [ordered[i * 1000 - 1] for i in range(1, 5)]
+    assert len(passes) <= 4 and max(passes) <= 4096
+
+
 def test_no_members(spark):
     frame = write_table(spark.createDataFrame([], "key long, v long"), "test")
     assert with_quantiles(frame, {"v": "q"}, "key").count() == 0
