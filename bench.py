@@ -15,7 +15,7 @@ import statistics
 import time
 
 from ledgerlens.jobs import JOBS
-from ledgerlens.session import local_session
+from ledgerlens.session import local_session, temporary_tables
 from ledgerlens.sources.order_star import order_star
 from ledgerlens.sources.schema import SCHEMAS
 from ledgerlens.sources.star import Star
@@ -37,9 +37,12 @@ def main() -> None:
 
     def run(name: str) -> float:
         begin = time.perf_counter()
-        star = Star(spark, stored.table) if name in FRESH_SCORES else stored
-        JOBS[name](star).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - begin
+        fresh = Star(spark, stored.table)
+        with temporary_tables(spark), fresh:
+            star = fresh if name in FRESH_SCORES else stored
+            JOBS[name](star).write.format("noop").mode("overwrite").save()
+            seconds = time.perf_counter() - begin
+        return seconds
 
     names = [name for name in JOBS if not ONLY or name.startswith(ONLY)]
     for name in names:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,8 +56,82 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+class Tables:
+    """The temporary tables of one piece of work, by path. They are dropped together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def drop(self) -> None:
+        """Drop the tables, those that exist."""
+        while self.paths:
+            drop_path(self.spark, self.paths.pop())
+
+    @contextmanager
+    def owning(self) -> Iterator[Tables]:
+        """Whatever is written inside belongs to these tables."""
+        token = _OWNER.set(self)
+        try:
+            yield self
+        finally:
+            _OWNER.reset(token)
+
+
+_OWNER: ContextVar[Tables | None] = ContextVar("owner of temporary tables", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Tables]:
+    """Drop at the end, also after a failure, whatever tables are written inside.
+
+    Results that read these tables have to be written or collected inside.
+    Scopes may be nested; a table belongs to the innermost. Without a scope
+    a table lasts as long as the application.
+    """
+    tables = Tables(spark)
+    try:
+        with tables.owning():
+            yield tables
+    finally:
+        tables.drop()
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it exists, from whichever store it is in."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_ROOTS: set[str] = set()
+
+
+def _drop_at_exit(spark: SparkSession, root: str) -> None:
+    """Tables outside any scope go when Python ends, if the JVM is still there to remove them."""
+    if root in _ROOTS:
+        return
+    _ROOTS.add(root)
+    context = spark.sparkContext
+    jvm, settings = context._jvm, context._jsc.hadoopConfiguration()
+
+    def drop() -> None:
+        with suppress(Exception):  # the JVM has ended before, and the cluster's own clean-up is left
+            target = jvm.org.apache.hadoop.fs.Path(root)
+            target.getFileSystem(settings).delete(target, True)
+
+    atexit.register(drop)
+
+
 def new_table_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/ledgerlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A path for a temporary table, which belongs to the scope that is open."""
+    root = f"{shared_folder(spark)}/ledgerlens/{spark.sparkContext.applicationId}"
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    if owner := _OWNER.get():
+        owner.paths.append(path)
+    else:
+        _drop_at_exit(spark, root)
+    return path
 
 
 def write_table(frame: DataFrame, label: str) -> DataFrame:
@@ -66,3 +144,12 @@ def write_table(frame: DataFrame, label: str) -> DataFrame:
     path = new_table_path(spark, label)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def write_result(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """`write_table` of what `build` gives; the tables that `build` writes on its way are dropped then."""
+    path = new_table_path(spark, label)
+    with temporary_tables(spark):
+        frame = build()
+        frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -216,4 +216,4 @@ def damaged_export(star: Star) -> tuple[str, str]:
     amount = F.when(F.col("transaction_key") % DAMAGED == 0, "n/a").otherwise(F.col("amount_usd").cast("string"))
     written = star.fact.withColumn("amount_usd", amount).write
     written.option("lineSep", "\r\n").option("nullValue", NULL_FIELD).csv(source, header=True)
-    return source, new_table_path(star.spark, "fact-loaded")
+    return source, f"{new_table_path(star.spark, 'fact-loaded')}/fact_transactions"  # rejected lines go beside it

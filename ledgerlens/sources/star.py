@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.session import Tables
 from ledgerlens.sources.schema import SCHEMAS
 
 
@@ -14,6 +15,8 @@ class Star:
 
     `open_table` maps a table name to its DataFrame. `shared` keeps tables that
     several jobs read (the customer scores), so that they are computed once.
+    Tables written for either belong to the star, whichever job needed them
+    first, and last until `close`; a star can be used in a `with` statement.
     """
 
     def __init__(self, spark: SparkSession, open_table: Callable[[str], DataFrame]):
@@ -21,17 +24,32 @@ class Star:
         self._open = open_table
         self._tables: dict[str, DataFrame] = {}
         self._shared: dict[str, DataFrame] = {}
+        self._written = Tables(spark)
+
+    def close(self) -> None:
+        """Drop the tables that were written for this star; what reads them cannot be used afterwards."""
+        self._tables.clear()
+        self._shared.clear()
+        self._written.drop()
+
+    def __enter__(self) -> Star:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
 
     def table(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise KeyError(f"{name} is not a star-schema table")
         if name not in self._tables:
-            self._tables[name] = self._open(name)
+            with self._written.owning():
+                self._tables[name] = self._open(name)
         return self._tables[name]
 
     def shared(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
         if label not in self._shared:
-            self._shared[label] = build()
+            with self._written.owning():
+                self._shared[label] = build()
         return self._shared[label]
 
     @property
