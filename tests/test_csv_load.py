@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import random
 from decimal import Decimal
 
+import pytest
+
 from ledgerlens.plans.audits import orphan_audit
 from ledgerlens.session import new_table_path
 from ledgerlens.sources.csv_load import load_csv_table, load_star
@@ -125,3 +128,75 @@ def test_a_whole_star_is_loaded_and_audited(spark, tmp_path):
     assert {r["dimension"]: r["unknown_key_rows"] for r in orphan_audit(star).collect()} == dict.fromkeys(
         (name for name in SCHEMAS if name.startswith("dim_")), 0
     )
+
+
+def raw(frame) -> list[bytes]:
+    return sorted(bytes(row[0]) for row in frame.selectExpr("cast(bad_line as binary)").collect())
+
+
+def test_odd_signs_stay(spark, tmp_path):
+    odd = ["a\x01b", "tab\there", "nul\x00", "\x7f\x1f", "\ufeffmark", "lone \r and \n", "\u2028", "a\\b"]
+    lines = [line(i, channel=text.replace("\\", "\\\\")) for i, text in enumerate(odd)]
+    got = load(spark, tmp_path, [HEADER, *lines])
+    assert {r["transaction_key"]: r["channel"] for r in got.accepted.collect()} == dict(enumerate(odd))
+    assert got.rejected.count() == 0
+
+
+def test_rejected_records_are_kept_byte_for_byte(spark, tmp_path):
+    bad = [b"1,a\x01b", b"\xff\xfe,2", b"3\x00", b'4,"x ""y"" \\" z",5', b"  5 , ", b'6,"two\r\nlines",7']
+    source = tmp_path / "in.csv"
+    source.write_bytes(b"\r\n".join([HEADER.encode(), *bad, line(1).encode()]) + b"\r\n")
+    got = load_csv_table(spark, "fact_transactions", str(source), new_table_path(spark, "loaded"))
+    assert raw(got.rejected) == sorted(bad)
+    assert [r["transaction_key"] for r in got.accepted.collect()] == [1]
+
+
+def test_line_ends_inside_quotes(spark, tmp_path):
+    texts = ["one\r\ntwo", "\r\n\r\n", 'say ""x""\r\n"",', "a,b\r\n1,2,3", "ends\r\n\\", "plain", "\r\n"]
+    lines = [line(i, channel=text.replace("\\", "\\\\")) for i, text in enumerate(texts)]
+    meant = {i: text.replace('""', '"').strip(" ") for i, text in enumerate(texts)}
+    got = load(spark, tmp_path, [HEADER, *lines])
+    assert {r["transaction_key"]: r["channel"] for r in got.accepted.collect()} == meant
+    assert got.rejected.count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_records_over_many_splits(spark, tmp_path, seed):
+    """Files that are cut at any place give the same records as a reader that goes through them."""
+    draw = random.Random(seed)
+    pieces = ["x", "\r\n", '""', ",", "word " * 9, '\\"', "\n"]
+    wanted = {}
+    for part in range(2):
+        lines = [HEADER]
+        for i in range(120):
+            text = "".join(draw.choice(pieces) for _ in range(draw.randrange(6)))
+            key = part * 1000 + i
+            lines.append(line(key, channel=text))
+            wanted[key] = text.replace('""', '"').replace('\\"', '"').strip(" ")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{part}.csv").write_bytes(("\r\n".join(lines) + "\r\n").encode())
+    names = {"spark.sql.files.maxPartitionBytes": "700b", "spark.sql.files.openCostInBytes": "1b"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        got = load_csv_table(spark, "fact_transactions", str(tmp_path / "in"), new_table_path(spark, "loaded"))
+        found = {r["transaction_key"]: r["channel"] for r in got.accepted.collect()}
+        assert got.rejected.count() == 0
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert found == wanted
+
+
+def test_a_stray_quote_takes_nothing_along(spark, tmp_path):
+    stray = line(2).replace('"Web"', '"Web')
+    lines = [HEADER, line(1), stray, *[line(i).replace('"Web"', "Web") for i in range(3, 30)]]
+    for most, also in ((1000, []), (5, [line(30)])):  # open at the end of the file; closed, but too long
+        got = load(spark, tmp_path, lines + also, most_lines=most)
+        assert sorted(r["transaction_key"] for r in got.accepted.collect()) == [1, *range(3, 31 if also else 30)]
+        assert [r[0] for r in got.rejected.collect()] == [stray]
+
+
+def test_a_header_over_two_lines_and_empty_lines(spark, tmp_path):
+    got = load(spark, tmp_path, [HEADER.replace("channel", '"chan\r\nnel"'), "", line(1), "", line(2), ""])
+    assert got.counts().first().asDict() == {"accepted_rows": 2, "rejected_rows": 0}
