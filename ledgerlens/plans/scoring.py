@@ -13,7 +13,8 @@ from ledgerlens.functions.measures import MOMENTS, PARTS, moments
 from ledgerlens.operators.hot_keys import join_per_key
 from ledgerlens.operators.ranking import top, with_quantiles
 from ledgerlens.operators.velocity import velocity_leaders
-from ledgerlens.session import write_table
+from ledgerlens.session import write_result, write_table
+from ledgerlens.sources.published import publish, published
 from ledgerlens.sources.star import Star
 
 # The weight of each signal's quintile (1 to 5), so that scores run from 20 to 100.
@@ -200,7 +201,8 @@ def score_customers(signals: DataFrame) -> DataFrame:
 def customer_risk_scores(star: Star) -> DataFrame:
     """Signals, quintiles, score and tier of every customer, computed once per star."""
     return star.shared(
-        "customer-risk-scores", lambda: score_customers(write_table(_signals(star), "customer-signals"))
+        "customer-risk-scores",
+        lambda: score_customers(write_result(star.spark, lambda: _signals(star), "customer-signals")),
     )
 
 
@@ -216,15 +218,16 @@ def customer_risk_score_table(star: Star) -> DataFrame:
 def write_scores(star: Star, target: str, run_date: datetime.date) -> None:
     """Keep all signals, quintiles, scores and tiers below `target`, in a folder of its own for each run date.
 
-    A second run of one date replaces its folder.
+    A second run of one date replaces the scores of that date at once, when all
+    of its own are written; if it fails before, readers go on finding the earlier ones.
     """
-    customer_risk_scores(star).write.mode("overwrite").parquet(_run_path(target, run_date))
+    publish(customer_risk_scores(star), _run_path(target, run_date))
 
 
 def read_scores(star: Star, target: str, run_date: datetime.date) -> Star:
     """A star whose jobs on scores (q41, q42, s5 to s8, d13, d17, d18, a3, a4) read what was kept for a run date."""
     kept = Star(star.spark, star.table)
-    kept.shared("customer-risk-scores", lambda: star.spark.read.parquet(_run_path(target, run_date)))
+    kept.shared("customer-risk-scores", lambda: published(star.spark, _run_path(target, run_date)))
     return kept
 
 

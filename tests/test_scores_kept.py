@@ -7,10 +7,12 @@ import re
 
 import pytest
 from compare import plan_of
+from pyspark.sql import functions as F
 
 from ledgerlens.jobs import JOBS
 from ledgerlens.plans import customers, scoring
 from ledgerlens.sources.order_star import order_star
+from ledgerlens.sources.published import publish, published
 from ledgerlens.sources.star import Star
 
 READERS = ["q41_top_risk_customers", "q42_risk_tier_summary", "d13_tier_kpis", "d17_tier_distribution", "d18_watchlist_top10"]
@@ -30,6 +32,32 @@ def test_jobs_read_the_scores_of_a_run_date(spark, mini, tmp_path):
     assert scoring.composite_score(scoring.read_scores(star, str(tmp_path), second)).count() == 1
 
 
+def test_a_failing_run_leaves_the_earlier_scores(spark, mini, tmp_path):
+    star, day = mini([{"customer_key": 1, "is_flagged": 1}]), datetime.date(2024, 5, 1)
+    scoring.write_scores(star, str(tmp_path), day)
+    broken = Star(spark, star.table)
+    kept = scoring.customer_risk_scores(star)
+    broken.shared("customer-risk-scores", lambda: kept.withColumn("customer_key", F.raise_error(F.lit("lost")).cast("bigint")))
+    with pytest.raises(Exception, match="lost"):
+        scoring.write_scores(broken, str(tmp_path), day)
+    read = scoring.read_scores(star, str(tmp_path), day)
+    assert [tuple(r) for r in scoring.composite_score(read).collect()] == [tuple(r) for r in scoring.composite_score(star).collect()]
+
+
+def test_versions_are_switched_and_dropped(spark, tmp_path):
+    target = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        published(spark, target)
+    publish(spark.range(1), target)
+    first = published(spark, target)
+    publish(spark.range(2), target)
+    assert (first.count(), published(spark, target).count()) == (1, 2)  # who has begun with a version can end with it
+    (tmp_path / "table" / "version-failed").mkdir()
+    publish(spark.range(3), target)
+    assert published(spark, target).count() == 3
+    assert len([path for path in (tmp_path / "table").iterdir() if path.name.startswith("version-")]) == 2
+
+
 def test_years_are_told_apart_on_request(mini):
     dates = [
         {"date_key": 20230000 + i, "year_number": 2023 + i % 2, "month_number": m, "month_name": str(m), "quarter_number": (m + 2) // 3}
