@@ -20,3 +20,11 @@ def place_in(value: Column, listed: list[str]) -> Column:
 
 def labelled(condition: Column, yes: str, no: str) -> Column:
     return F.when(condition, yes).otherwise(no)
+
+
+def compared(text: Column, collation: str | None) -> Column:
+    """A text as comparisons take it: byte by byte, or by one of Spark's collations.
+
+    UNICODE_CI_AI takes no notice of case and accents, as database servers often do.
+    """
+    return text if collation is None else F.collate(text, collation)

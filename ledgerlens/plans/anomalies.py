@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import exact
-from ledgerlens.functions.labels import labelled
+from ledgerlens.functions.labels import compared, labelled
 from ledgerlens.functions.measures import MOMENTS, moments
 from ledgerlens.operators.hot_keys import join_per_key
 from ledgerlens.operators.ranking import top
@@ -180,15 +180,18 @@ def _home(star: Star, *columns: str) -> DataFrame:
     return star.customer.select("customer_key", *columns, F.col("country").alias("home_country"))
 
 
-def _abroad() -> object:
-    return F.col("home_country") != F.col("country")
+def _abroad(collation: str | None = None) -> Column:
+    return compared(F.col("home_country"), collation) != compared(F.col("country"), collation)
 
 
-def geo_mismatch_transactions(star: Star, count: int = 50) -> DataFrame:
-    """The rows are chosen on their keys, risk and amount alone; the other columns are fetched for the chosen ones."""
+def geo_mismatch_transactions(star: Star, count: int = 50, collation: str | None = None) -> DataFrame:
+    """Transactions outside the customer's home country; countries are compared by `collation`.
+
+    The rows are chosen on their keys, risk and amount alone; the other columns are fetched for the chosen ones.
+    """
     places = star.location.select("location_key", "country", "is_high_risk_country")
     rows = star.fact.select("transaction_key", "customer_key", "location_key", "amount_usd")
-    away = rows.join(places, "location_key").join(_home(star), "customer_key").filter(_abroad())
+    away = rows.join(places, "location_key").join(_home(star), "customer_key").filter(_abroad(collation))
     order = [
         F.col("is_high_risk_country").desc(),
         F.col("amount_usd").desc_nulls_last(),
@@ -222,27 +225,28 @@ def geo_mismatch_transactions(star: Star, count: int = 50) -> DataFrame:
     )
 
 
-def geo_mismatch_by_customer(star: Star, count: int = 20) -> DataFrame:
+def geo_mismatch_by_customer(star: Star, count: int = 20, collation: str | None = None) -> DataFrame:
+    """Customers by transactions outside their home country; countries are compared, and told apart, by `collation`."""
     names = ("total_transactions", "total_value_usd", "flagged_count")
     places = star.location.select("location_key", "country", "is_high_risk_country")
     away = (
         key_parts(star.fact, ["customer_key", "location_key"], names)
         .join(places, "location_key")
         .join(_home(star, "customer_id", "full_name"), "customer_key")
-        .filter(_abroad())
+        .filter(_abroad(collation))
     )
     keys = ["customer_id", "full_name", "home_country"]
     extra = {
-        "countries_transacted_in": F.countDistinct("country"),
+        "countries_transacted_in": F.countDistinct(compared(F.col("country"), collation)),
         "high_risk_country_hits": F.sum(F.col("is_high_risk_country") * F.col("p_rows")),
     }
     groups = summarise_parts(away, keys, names, extra).withColumnRenamed("total_transactions", "mismatch_txn_count")
     return top(groups, count, F.col("high_risk_country_hits").desc(), F.col("mismatch_txn_count").desc(), *keys)
 
 
-def geo_mismatch_total(star: Star) -> DataFrame:
-    """How many transactions took place outside the customer's home country."""
+def geo_mismatch_total(star: Star, collation: str | None = None) -> DataFrame:
+    """How many transactions took place outside the customer's home country; countries are compared by `collation`."""
     places = star.location.select("location_key", "country")
     cells = key_parts(star.fact, ["customer_key", "location_key"], ("total_transactions",))
-    away = cells.join(places, "location_key").join(_home(star), "customer_key").filter(_abroad())
+    away = cells.join(places, "location_key").join(_home(star), "customer_key").filter(_abroad(collation))
     return away.agg(F.coalesce(F.sum("p_rows"), F.lit(0)).alias("geo_mismatches"))

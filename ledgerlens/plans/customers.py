@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import exact
-from ledgerlens.functions.labels import POOR_KYC, labelled
+from ledgerlens.functions.labels import POOR_KYC, compared, labelled
 from ledgerlens.operators.ranking import top
 from ledgerlens.operators.rollup import key_parts, summarise_by_dimension, summarise_parts
 from ledgerlens.sources.star import Star
@@ -40,12 +40,14 @@ def high_risk_customers(star: Star, count: int = 30) -> DataFrame:
     return top(risky, count, F.col("flagged_percentage").desc(), F.col("total_value_usd").desc(), *keys)
 
 
-def unusual_channel_use(star: Star, count: int = 30) -> DataFrame:
+def unusual_channel_use(star: Star, count: int = 30, collation: str | None = None) -> DataFrame:
+    """What customers do on another channel than the preferred one; channels are compared by `collation`."""
     profile = ["customer_id", "full_name", "preferred_channel"]
     keys = profile + ["channel"]
     names = ("total_transactions", "total_value_usd", "flagged_count", "flagged_percentage")
     parts = key_parts(star.fact, ["customer_key", "channel"], names)
-    pattern = labelled(F.col("channel") != F.col("preferred_channel"), "Unusual Channel", "Normal Channel")
+    unlike = compared(F.col("channel"), collation) != compared(F.col("preferred_channel"), collation)
+    pattern = labelled(unlike, "Unusual Channel", "Normal Channel")
     used = parts.join(_profile(star, *profile), "customer_key").withColumn("channel_pattern", pattern)
     unusual = used.filter(F.col("channel_pattern") == "Unusual Channel")
     groups = summarise_parts(unusual, keys + ["channel_pattern"], names).withColumnRenamed(
@@ -169,7 +171,8 @@ def kyc_breakdown(star: Star) -> DataFrame:
     ).orderBy(F.col("flagged_percentage").desc())
 
 
-def customer_watchlist(star: Star, count: int = 20) -> DataFrame:
+def customer_watchlist(star: Star, count: int = 20, collation: str | None = None) -> DataFrame:
+    """Customers by flags, mismatches and high-risk countries; countries and KYC states are compared by `collation`."""
     keys = ["customer_id", "full_name", "customer_segment", "kyc_status", "home_country"]
     names = ("total_transactions", "total_value_usd", "flagged_count", "flagged_percentage", "off_hours_count")
     places = star.location.select("location_key", "country", "is_high_risk_country")
@@ -178,14 +181,14 @@ def customer_watchlist(star: Star, count: int = 20) -> DataFrame:
         .join(places, "location_key")
         .join(_profile(star, *keys), "customer_key")
     )
+    abroad = compared(F.col("home_country"), collation) != compared(F.col("country"), collation)
+    poor = [compared(F.lit(status), collation) for status in POOR_KYC]
     extra = {
-        "geo_mismatch_count": F.sum(
-            F.when(F.col("home_country") != F.col("country"), F.col("p_rows")).otherwise(0)
-        ),
+        "geo_mismatch_count": F.sum(F.when(abroad, F.col("p_rows")).otherwise(0)),
         "high_risk_country_hits": F.sum(F.when(F.col("is_high_risk_country") == 1, F.col("p_rows")).otherwise(0)),
     }
     groups = summarise_parts(parts, keys, names, extra).withColumn(
-        "poor_kyc", labelled(F.col("kyc_status").isin(POOR_KYC), "YES", "NO")
+        "poor_kyc", labelled(compared(F.col("kyc_status"), collation).isin(poor), "YES", "NO")
     )
     order = [F.col(c).desc() for c in ("flagged_count", "geo_mismatch_count", "high_risk_country_hits")]
     return top(groups, count, *order, *keys)
