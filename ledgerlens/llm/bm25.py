@@ -1,125 +1,109 @@
-"""A BM25 index of short texts that is searched by block-max WAND for all entries above a threshold."""
+"""A BM25 index of short texts, searched by block-max WAND for all entries above a threshold, for many queries in step."""
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 
 K1, B = 1.2, 0.75
-BLOCK = 32  # postings that share one maximum
+BLOCK = 8  # entries that share one maximum per term
+MOST_PARTS = 1_000_000  # postings or blocks looked at in one go, which bounds memory
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of runs, one run after another."""
+    before = np.cumsum(size) - size
+    return np.repeat(first - before, size) + np.arange(int(size.sum()))
 
 
 class Index:
-    """Postings by term, sorted by entry, in blocks with their largest weight.
+    """Postings by term, sorted by entry, and for each term and block of entries the largest weight, both stored.
 
     A term's weight in an entry is its BM25 weight as a share of the entry's
     own total, so a query that holds all of an entry's terms scores 1 there.
-    Terms of a query count once.
+    Terms of a query count once. Inside, entries are numbered by length, so that
+    weights in a block are alike; everything is held in arrays but the terms.
     """
 
     def __init__(self, entries: Sequence[Sequence[str]], frequency: Mapping[str, int], count: int, mean: float):
         """`frequency` and `count` are those of the whole collection, of which `entries` may be a part."""
         self.terms: dict[str, int] = {}
-        found: list[list[tuple[int, float]]] = []
-        for entry, words in enumerate(entries):
+        self.original = np.array(sorted(range(len(entries)), key=lambda i: (len(entries[i]), i)), np.int32)
+        term, entry, weight = [], [], []
+        for place, number in enumerate(self.original.tolist()):
+            words = entries[number]
             norm = K1 * (1 - B + B * len(words) / max(mean, 1.0))
-            weights = {}
-            for term, n in Counter(words).items():
-                idf = math.log(1 + (count - frequency[term] + 0.5) / (frequency[term] + 0.5))
-                weights[term] = idf * n * (K1 + 1) / (n + norm)
-            total = sum(weights.values())
-            for term, weight in weights.items():
-                number = self.terms.setdefault(term, len(self.terms))
-                if number == len(found):
-                    found.append([])
-                found[number].append((entry, weight / total))
-        self.entries = len(entries)
-        self.sizes = np.array([len(p) for p in found], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.entry = np.array([e for p in found for e, _ in p], np.int64)
-        self.weight = np.array([w for p in found for _, w in p], np.float64)
-        self.most = np.array([max(w for _, w in p) for p in found], np.float64)
-
-    def _postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the postings of some terms, one term after another, and how many each has."""
-        sizes = self.sizes[terms]
-        before = np.cumsum(sizes) - sizes
-        return np.repeat(self.starts[terms] - before, sizes) + np.arange(int(sizes.sum())), sizes
-
-    def score_all(self, terms: np.ndarray) -> np.ndarray:
-        """The score of every entry for distinct terms: what no part of the query can exceed."""
-        at, _ = self._postings(terms)
-        return np.bincount(self.entry[at], self.weight[at], self.entries)
-
-    def _lists(self, terms: np.ndarray, among: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-        """Entries and weights of each term's postings, if there are any, and the largest weight."""
-        if among is None:
-            for term in terms:
-                part = slice(self.starts[term], self.starts[term] + self.sizes[term])
-                yield self.entry[part], self.weight[part], float(self.most[term])
-            return
-        at, sizes = self._postings(terms)
-        kept = np.isin(self.entry[at], among)
-        of_term, at = np.repeat(terms, sizes)[kept], at[kept]
-        for part in np.split(at, np.flatnonzero(np.diff(of_term)) + 1) if len(at) else []:
-            yield self.entry[part], self.weight[part], float(self.weight[part].max())
+            own = []
+            for word, n in Counter(words).items():
+                idf = math.log(1 + (count - frequency[word] + 0.5) / (frequency[word] + 0.5))
+                term.append(self.terms.setdefault(word, len(self.terms)))
+                own.append(idf * n * (K1 + 1) / (n + norm))
+            entry += [place] * len(own)
+            weight += [w / sum(own) for w in own]
+        terms = np.array(term, np.int32)
+        order = np.argsort(terms, kind="stable")  # entries rise within a term
+        terms, self.entry, self.weight = terms[order], np.array(entry, np.int32)[order], np.array(weight, np.float64)[order]
+        self.entries, self.blocks = len(entries), -(-len(entries) // BLOCK)
+        # Postings of one term and block follow one another: a part, with its maximum.
+        block = self.entry // BLOCK
+        starts = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(block, prepend=-1))
+        self.part_first, self.part_size = starts, np.diff(np.append(starts, len(terms)))
+        self.part_block = block[starts]
+        self.part_most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.empty(0)
+        parts_of = np.bincount(terms[starts], minlength=len(self.terms))
+        self.first_part, self.parts = np.cumsum(parts_of) - parts_of, parts_of
+        self.most = np.zeros(len(self.terms))  # of a whole list
+        np.maximum.at(self.most, terms, self.weight)
 
-    def search(self, terms: np.ndarray, threshold: float, among: np.ndarray | None = None) -> list[tuple[int, float]]:
-        """All entries, or those `among` some, that score at least `threshold` for distinct terms, by block-max WAND.
+    def search(self, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, entry, score) of all entries that score at least `threshold`: a query is a row of term numbers, -1 for none.
 
-        Lists of postings go by their current entry. The pivot is the first
-        list at which the largest weights so far reach the threshold: no
-        entry before its current one can. If the maxima of the lists' blocks
-        there do not reach it, the search goes on behind the first of these
-        blocks to end; otherwise the pivot's entry is scored.
+        What WAND does for one query after another goes on here for all rows in step.
+        First the pivot test: where the largest weights of all of a query's lists do not reach the
+        threshold, no entry can. Then the block test: entries of a block are passed over
+        unless the stored maxima of the query's lists there, added up, reach the
+        threshold. Only postings in the blocks that are left are scored.
         """
-        found: list[tuple[int, float]] = []
-        lists = []
-        for entries, weights, most in self._lists(terms, among):
-            lists.append([int(entries[0]), 0, entries.tolist(), weights.tolist(), most])
         slack = threshold - 1e-9  # sums in another order differ in the last digits
+        ordered = np.sort(queries, axis=1)
+        fresh = ordered >= 0
+        fresh[:, 1:] &= ordered[:, 1:] != ordered[:, :-1]
+        query, term = np.nonzero(fresh)[0], ordered[fresh]
+        pivots = np.bincount(query, self.most[term], len(queries)) >= slack
+        some = pivots[query]
+        query, term = query[some], term[some]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # As many queries at once as have a bounded number of parts, and one at least.
+        work = np.bincount(query, self.parts[term], len(queries)) + self.blocks
+        group = (np.cumsum(work) // MOST_PARTS).astype(np.int64)
+        for first, last in zip(*self._runs(group), strict=True):
+            inside = slice(*np.searchsorted(query, (first, last)))
+            found.append(self._search(query[inside] - first, term[inside], last - first, slack))
+            found[-1] = (found[-1][0] + first, *found[-1][1:])
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return tuple(np.concatenate(columns) for columns in zip(*found, strict=True))
 
-        def advance(item: list, target: int) -> None:
-            position, entry = item[1], item[2]
-            while position < len(entry) and entry[position] < target:
-                # A block that ends before the target is passed over as a whole.
-                last = min(position - position % BLOCK + BLOCK, len(entry)) - 1
-                position = last + 1 if entry[last] < target else position + 1
-            item[1] = position
-            item[0] = entry[position] if position < len(entry) else self.entries
+    @staticmethod
+    def _runs(group: np.ndarray) -> tuple[list[int], list[int]]:
+        starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+        return starts, [*starts[1:], len(group)] if starts else []
 
-        while True:
-            lists.sort(key=lambda item: item[0])
-            bound, pivot = 0.0, None
-            for number, item in enumerate(lists):
-                if item[0] == self.entries:
-                    break
-                bound += item[4]
-                if bound >= slack:
-                    pivot = number
-                    break
-            if pivot is None:
-                return found
-            target = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == target:
-                pivot += 1
-            bound, end = 0.0, self.entries
-            for item in lists[: pivot + 1]:
-                advance(item, target)
-                if item[1] < len(item[2]):
-                    first = item[1] - item[1] % BLOCK
-                    bound += max(item[3][first : first + BLOCK])
-                    end = min(end, item[2][min(first + BLOCK, len(item[2])) - 1])
-            if bound < slack:
-                after = lists[pivot + 1][0] if pivot + 1 < len(lists) else self.entries
-                target = max(target + 1, min(end + 1, after))
-            else:
-                score = sum(item[3][item[1]] for item in lists[: pivot + 1] if item[0] == target)
-                if score >= slack:
-                    found.append((target, score))
-                target += 1
-            for item in lists[: pivot + 1]:
-                advance(item, target)
+    def _search(self, query: np.ndarray, term: np.ndarray, queries: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = _ranges(self.first_part[term], self.parts[term])
+        at = np.repeat(query, self.parts[term]) * self.blocks + self.part_block[part]
+        reached = np.bincount(at, self.part_most[part], queries * self.blocks) >= slack
+        kept = reached[at]
+        part, at = part[kept], at[kept]
+        # Scores of the entries of these blocks only.
+        blocks = np.flatnonzero(reached)
+        place = (np.cumsum(reached) - 1)[at] * BLOCK
+        size = self.part_size[part]
+        posting = _ranges(self.part_first[part], size)
+        score = np.bincount(np.repeat(place, size) + self.entry[posting] % BLOCK, self.weight[posting], len(blocks) * BLOCK)
+        hits = np.flatnonzero(score >= slack)
+        block = blocks[hits // BLOCK]
+        return block // self.blocks, self.original[block % self.blocks * BLOCK + hits % BLOCK].astype(np.int64), score[hits]

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from functools import cache, partial, reduce
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -19,12 +19,12 @@ from ledgerlens.session import write_table
 
 STRIDE = 64  # words of an index entry at most; passages are twice as long, so one holds any entry whole
 PASSAGE = 2 * STRIDE
-CHUNK = 8 * STRIDE  # words that are ruled out together
+PASSAGES = 512  # that are searched for in step
 THRESHOLD = 0.6  # share of an entry's BM25 weight that a passage must hold
 SHINGLE = 5
 OVERLAP = 0.8  # share of an item's shingles, in question and answer each, that a document must hold
 LEAST_WORDS = 8  # shorter items must be there whole, word after word
-SHARD_CHARS = 16_000_000  # characters of test items in one broadcast index
+SHARD_CHARS = 4_000_000  # characters of test items in one broadcast index
 _WORD = re.compile(r"[^\W_]+")
 # Scripts that put no blank between words (Thai, Lao, Burmese, Khmer, Tai, Balinese, Javanese, kana, bopomofo, Han).
 _BLANKLESS = (
@@ -34,6 +34,8 @@ _BLANKLESS = (
 )
 _HAS_BLANKLESS = re.compile(f"[{_BLANKLESS}]").search
 _WORD_OR_SIGN = re.compile(rf"[^\W_{_BLANKLESS}]+|(?=[^\W_])[{_BLANKLESS}]")
+LONG_TEXT = 1_000_000
+_STRETCH = re.compile(rf"(?s).{{1,{LONG_TEXT}}}(?:[^\W_]+|\Z|)")  # ends behind a word
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -52,46 +54,16 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words_of(" ".join(parts[: len(parts) - len(answer)])), words_of(" ".join(answer))
 
 
-def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
-    """Runs of `size` words; of fewer words, all of them as one."""
-    return {tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))} if words else set()
-
-
-@dataclass
-class Item:
-    """The shingles of a test item's question and answer; of a short one all its words, as one shingle of the question."""
-
-    item_id: int
-    question: set[tuple[str, ...]]
-    answer: set[tuple[str, ...]]
-
-    def overlaps(self, held: Callable[[int], set[tuple[str, ...]]]) -> tuple[float, float]:
-        """Shares of the question's and of the answer's shingles in a document (1 for an item without answer).
-
-        `held` gives the document's shingles of a size.
-        """
-
-        def share(wanted: set[tuple[str, ...]]) -> float:
-            if not wanted:
-                return 1.0
-            return len(wanted & held(len(next(iter(wanted))))) / len(wanted)
-
-        return share(self.question), share(self.answer)
-
-
-def _item(item_id: int, text: str) -> Item:
+def _sides(text: str) -> tuple[list[str], list[str]]:
+    """Question and answer; the words of a short item are all question."""
     words = words_of(text)
-    if len(words) < LEAST_WORDS:
-        return Item(item_id, {tuple(words)}, set())
-    return Item(item_id, *map(shingles, question_and_answer(text)))
+    return (words, []) if len(words) < LEAST_WORDS else question_and_answer(text)
 
 
 def _entries(text: str) -> list[list[str]]:
     """What is indexed of an item: question and answer apart, in parts of STRIDE words at most; a short item whole."""
-    words = words_of(text)
-    sides = [words] if len(words) < LEAST_WORDS else [side for side in question_and_answer(text) if side]
     entries = []
-    for side in sides:
+    for side in filter(None, _sides(text)):
         parts = -(-len(side) // STRIDE)
         entries += [side[len(side) * i // parts : len(side) * (i + 1) // parts] for i in range(parts)]
     return entries
@@ -99,6 +71,7 @@ def _entries(text: str) -> list[list[str]]:
 
 def _hashes(number: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of `size` numbers."""
+    number = number.astype(np.int64)
     runs, bits = max(len(number) - size + 1, 0), number.view(np.uint64)
     found = bits[:runs].copy()
     for i in range(1, size):
@@ -107,76 +80,154 @@ def _hashes(number: np.ndarray, size: int) -> np.ndarray:
     return found
 
 
-class Questions:
-    """The shingles of items' questions, by size and hash: tells which items the overlap check can let pass."""
-
-    def __init__(self, items: list[Item], terms: dict[str, int]):
-        self.needed = np.array([OVERLAP * len(item.question) for item in items]) - 1e-9
-        found: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
-        for owner, item in enumerate(items):
-            for shingle in item.question:
-                found.setdefault(len(shingle), []).append((owner, shingle))
-        self.by_size = {}
-        for size, rows in found.items():
-            words = np.array([terms[word] for _, shingle in rows for word in shingle], np.int64)
-            hashes = _hashes(words, size)[::size]
-            order = np.argsort(hashes, kind="stable")
-            distinct, first = np.unique(hashes[order], return_index=True)
-            owners = np.array([owner for owner, _ in rows], np.int64)[order]
-            self.by_size[size] = distinct, np.append(first, len(rows)), owners
-
-    def held(self, number: np.ndarray) -> list[int]:
-        """The items of whose question a document, given as its words' numbers, holds a share of OVERLAP (or collides)."""
-        hits = []
-        for size, (distinct, first, owners) in self.by_size.items():
-            hashes = _hashes(number, size)
-            at = np.minimum(np.searchsorted(distinct, hashes), len(distinct) - 1)
-            hits += [owners[first[i] : first[i + 1]] for i in np.unique(at[distinct[at] == hashes])]
-        if not hits:
-            return []
-        owner, count = np.unique(np.concatenate(hits), return_counts=True)
-        return owner[count >= self.needed[owner]].tolist()
+def _runs(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of `size` words (of fewer, all of them as one), and their hashes."""
+    if not len(words):
+        return words[:, None], np.empty(0, np.uint64)
+    runs = np.unique(np.lib.stride_tricks.sliding_window_view(words, min(size, len(words))), axis=0)
+    return runs, np.concatenate([_hashes(run, len(run)) for run in runs])
+
+
+class _Held:
+    """The runs of a document's words (as numbers), to look up which of given ones it holds."""
+
+    def __init__(self, number: np.ndarray):
+        self.number = number
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def share(self, runs: np.ndarray, hashes: np.ndarray) -> float:
+        """The share of the runs that stand in the document; 1 without any. If too small anyhow, that of their hashes."""
+        if not len(runs):
+            return 1.0
+        size = runs.shape[1]
+        if len(self.number) < size:
+            return 0.0
+        if size not in self.by_size:
+            own = _hashes(self.number, size)
+            order = np.argsort(own, kind="stable")
+            self.by_size[size] = own[order], order
+        own, order = self.by_size[size]
+        first = np.searchsorted(own, hashes)
+        alike = own[np.minimum(first, len(own) - 1)] == hashes
+        if alike.mean() < OVERLAP - 1e-9:
+            return float(alike.mean())
+        count = 0
+        for run, place in zip(runs[alike], first[alike].tolist(), strict=True):
+            # The hash finds the place, the words decide; runs with one hash follow one another.
+            start = place
+            while place < len(own) and own[place] == own[start]:
+                if (self.number[order[place] : order[place] + size] == run).all():
+                    count += 1
+                    break
+                place += 1
+        return count / len(runs)
 
 
 @dataclass
 class Shard:
-    """An index of the entries of some items. `owner` is the item that an entry is a part of."""
-
-    index: Index
-    owner: list[int]
-    items: list[Item]
+    """An index of the entries of some items, with the items' words as numbers of terms.
 
-    def __post_init__(self) -> None:
-        self.questions = Questions(self.items, self.index.terms)
+    `owner` is the item that an entry is a part of. The words of item i are
+    those from words[starts[i]] to words[ends[i]], its answer those from words[answers[i]] on.
+    """
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, float]]:
-        """(item_id, score, question overlap, answer overlap) of each item that a document holds.
+    index: Index
+    owner: np.ndarray
+    item_id: list[int | None]
+    words: np.ndarray
+    starts: np.ndarray
+    answers: np.ndarray
+    ends: np.ndarray
+    runs: dict[int, tuple] = field(default_factory=dict)  # of items that came up
+
+    @classmethod
+    def of(cls, items: list[tuple[int | None, str]], frequency: Mapping[str, int], entries: int, mean: float) -> Shard:
+        """`frequency`, `entries` and `mean` (words of an entry) are those of all shards together."""
+        cut = [(owner, entry) for owner, (_, text) in enumerate(items) for entry in _entries(text)]
+        index = Index([entry for _, entry in cut], frequency, entries, mean)
+        words, starts, answers = [], [], []
+        for _, text in items:
+            question, answer = _sides(text)
+            starts.append(len(words))
+            answers.append(len(words) + len(question))
+            words += [index.terms[word] for word in (*question, *answer)]
+        return cls(
+            index,
+            np.array([owner for owner, _ in cut], np.int32),
+            [item_id for item_id, _ in items],
+            np.array(words, np.int32),
+            np.array(starts, np.int64),
+            np.array(answers, np.int64),
+            np.array([*starts[1:], len(words)], np.int64),
+        )
 
-        An item is held if a passage scores above the threshold for one of its
-        entries and the document as a whole passes the overlap check. The
-        check comes first: it is the cheaper one, as a short answer alone
-        scores in many passages.
+    def overlaps(self, held: _Held, item: int) -> tuple[float, float]:
+        """Shares of the runs of an item's question and answer (1 without answer) that a document holds."""
+        if item not in self.runs:
+            start, answer, end = (int(bound[item]) for bound in (self.starts, self.answers, self.ends))
+            size = end - start if end - start < LEAST_WORDS else SHINGLE
+            self.runs[item] = _runs(self.words[start:answer], size), _runs(self.words[answer:end], size)
+        question, answer = self.runs[item]
+        return held.share(*question), held.share(*answer)
+
+    def leaks(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int | None, float, float, float]]]:
+        """For each text (item_id, score, question overlap, answer overlap) of each item that it holds.
+
+        Every passage of every text queries the index, and all entries above the threshold
+        come back. The items these are parts of are then verified: the
+        document as a whole has to pass the overlap check of question and answer.
         """
-        words = words_of(text)
-        number = np.fromiter(map(self.index.terms.get, words, repeat(-1)), np.int64, len(words))
-        held = cache(partial(shingles, words))
-        overlaps = {owner: self.items[owner].overlaps(held) for owner in self.questions.held(number)}
-        overlaps = {owner: shares for owner, shares in overlaps.items() if min(shares) >= OVERLAP}
-        if not overlaps:
-            return []
-        own = np.flatnonzero(np.isin(self.owner, list(overlaps)))
-        best: dict[int, float] = {}
-        for chunk in range(0, max(len(words) - STRIDE, 1), CHUNK - STRIDE):
-            inside = number[chunk : chunk + CHUNK]
-            terms = np.unique(inside[inside >= 0])
-            if not len(terms) or self.index.score_all(terms)[own].max() < THRESHOLD - 1e-9:
-                continue
-            for start in range(0, max(len(inside) - STRIDE, 1), STRIDE):
-                passage = inside[start : start + PASSAGE]
-                for entry, score in self.index.search(np.unique(passage[passage >= 0]), THRESHOLD, own):
-                    owner = self.owner[entry]
-                    best[owner] = max(best.get(owner, 0.0), score)
-        return [(self.items[owner].item_id, score, *overlaps[owner]) for owner, score in sorted(best.items())]
+        numbers: list[np.ndarray] = []  # words of the texts that are not verified yet
+        best: list[dict[int, float]] = []
+        rows: list[np.ndarray] = []  # passages that are not searched for yet
+        texts_of: list[np.ndarray] = []
+
+        def search() -> None:
+            passage, entry, score = self.index.search(np.concatenate(rows), THRESHOLD)
+            text = np.concatenate(texts_of)[passage]
+            for own, owner, found in zip(text.tolist(), self.owner[entry].tolist(), score.tolist(), strict=True):
+                best[own][owner] = max(best[own].get(owner, 0.0), found)
+            rows.clear()
+            texts_of.clear()
+
+        def verified() -> Iterator[list[tuple[int | None, float, float, float]]]:
+            for number, scores in zip(numbers, best, strict=True):
+                held, leaks = _Held(number), []
+                for owner, score in sorted(scores.items()):
+                    shares = self.overlaps(held, owner)
+                    if min(shares) >= OVERLAP - 1e-9:
+                        leaks.append((self.item_id[owner], score, *shares))
+                yield leaks
+            numbers.clear()
+            best.clear()
+
+        for text in texts:
+            number = self._numbers(text)
+            passages = max(-(-(len(number) - STRIDE) // STRIDE), 1)
+            padded = np.full((passages + 1) * STRIDE, -1, np.int32)
+            padded[: len(number)] = number
+            numbers.append(number)
+            best.append({})
+            windows = np.lib.stride_tricks.sliding_window_view(padded, PASSAGE)[::STRIDE]
+            for some in range(0, passages, PASSAGES):
+                rows.append(windows[some : some + PASSAGES])
+                texts_of.append(np.full(len(rows[-1]), len(numbers) - 1))
+                if sum(map(len, rows)) >= PASSAGES:
+                    search()
+            if not rows:
+                yield from verified()
+        if rows:
+            search()
+        yield from verified()
+
+    def _numbers(self, text: str | None) -> np.ndarray:
+        """The words of a text as numbers of terms, -1 for others. Words of a long text are never held all at once."""
+        pieces = [text or ""]
+        if len(pieces[0]) > LONG_TEXT:
+            pieces = (match.group() for match in _STRETCH.finditer(pieces[0]))
+        known = self.index.terms.get
+        found = [np.fromiter(map(known, words, repeat(-1)), np.int32, len(words)) for words in map(words_of, pieces)]
+        return np.concatenate(found) if found else np.empty(0, np.int32)
 
 
 def shards(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> Iterator[Shard]:
@@ -216,12 +267,7 @@ def shards(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> Iterator[Sha
         rows = own.orderBy("item_id", "text").collect()
         held = own.mapInArrow(count, "term string").distinct()
         known = {row["term"]: row["n"] for row in frequency.join(held, "term").collect()}
-        cut = [(owner, entry) for owner, row in enumerate(rows) for entry in _entries(row["text"])]
-        yield Shard(
-            Index([entry for _, entry in cut], known, entries, words / entries),
-            [owner for owner, _ in cut],
-            [_item(row["item_id"], row["text"]) for row in rows],
-        )
+        yield Shard.of([(row["item_id"], row["text"]) for row in rows], known, entries, words / entries)
 
 
 LEAKS = "array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>"
@@ -235,7 +281,7 @@ def _leaks(docs: DataFrame, shard: Shard) -> Column:
     @F.pandas_udf(LEAKS)
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([[dict(zip(names, leak, strict=True)) for leak in shared.value.leaks(t)] for t in batch])
+            yield pd.Series([[dict(zip(names, leak, strict=True)) for leak in leaks] for leaks in shared.value.leaks(batch)])
 
     return search(F.col("text"))
 

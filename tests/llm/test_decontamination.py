@@ -1,8 +1,11 @@
-"""Decontamination: WAND against scoring everything, and documents that hold items or do not."""
+"""Decontamination: the search against scoring everything, and documents that hold items or do not."""
 
 from __future__ import annotations
 
+import math
+import pickle
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,7 +13,7 @@ import pytest
 
 from texts import prose
 
-from ledgerlens.llm import decontamination
+from ledgerlens.llm import bm25, decontamination
 from ledgerlens.llm.bm25 import Index
 
 
@@ -20,25 +23,100 @@ def _index(draw, entries=150, vocabulary=80):
     return Index(cut, frequency, entries, sum(map(len, cut)) / entries), cut
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_wand_finds_what_scoring_everything_finds(seed):
-    draw = random.Random(seed)
-    index, cut = _index(draw)
-    for _ in range(20):
-        terms = {draw.randrange(len(index.terms)) for _ in range(draw.randrange(0, 40))}
-        if draw.random() < 0.5:
-            terms |= {index.terms[word] for word in draw.choice(cut)}
-        query, threshold = np.array(sorted(terms), np.int64), draw.choice([0.05, 0.2, 0.6, 0.95])
-        everything = index.score_all(query) if len(query) else np.zeros(index.entries)
-        expected = {i: pytest.approx(s) for i, s in enumerate(everything) if s >= threshold - 1e-9}
-        assert dict(index.search(query, threshold)) == expected
+def _scores(cut, query):
+    """BM25 of each entry for a set of words, as a share of the entry's own total, by definition."""
+    mean, found = sum(map(len, cut)) / len(cut), []
+    for words in cut:
+        weights = {}
+        for term in set(words):
+            n, df = words.count(term), sum(term in other for other in cut)
+            idf = math.log(1 + (len(cut) - df + 0.5) / (df + 0.5))
+            weights[term] = idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words) / mean))
+        found.append(sum(weights.get(term, 0) for term in query) / sum(weights.values()))
+    return found
 
 
-def test_an_entrys_own_words_score_one():
-    index, cut = _index(random.Random(1))
-    for entry, words in enumerate(cut):
-        query = np.array(sorted({index.terms[w] for w in words}), np.int64)
-        assert index.score_all(query)[entry] == pytest.approx(1.0)
+@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("most_parts", [1_000_000, 300])
+def test_search_finds_what_scoring_everything_finds(seed, most_parts, monkeypatch):
+    monkeypatch.setattr(bm25, "MOST_PARTS", most_parts)
+    draw = random.Random(seed)
+    index, cut = _index(draw, entries=draw.choice([1, 7, 8, 9, 120]))
+    rows, expected = np.full((25, 60), -1, np.int32), {}
+    threshold = draw.choice([0.05, 0.2, 0.6, 0.95])
+    for number, row in enumerate(rows):
+        words = [draw.choice(list(index.terms)) for _ in range(draw.randrange(0, 25))]
+        if draw.random() < 0.5:
+            words += draw.choice(cut)
+        row[: len(words)] = [index.terms[word] for word in words]  # repeated words count once
+        draw.shuffle(row)
+        for entry, score in enumerate(_scores(cut, set(words))):
+            if score >= threshold - 1e-9:
+                expected[number, entry] = pytest.approx(score)
+    query, entry, score = index.search(rows, threshold)
+    assert len(query) == len(expected)
+    assert dict(zip(zip(query.tolist(), entry.tolist(), strict=True), score.tolist(), strict=True)) == expected
+
+
+def test_maxima_are_stored_per_block():
+    index, _ = _index(random.Random(2))
+    for part in range(len(index.part_first)):
+        own = slice(index.part_first[part], index.part_first[part] + index.part_size[part])
+        assert set(index.entry[own] // bm25.BLOCK) == {index.part_block[part]}
+        assert index.part_most[part] == index.weight[own].max()
+
+
+def test_blocks_that_cannot_reach_the_threshold_are_passed_over(monkeypatch):
+    """Entries of other words are never scored."""
+    cut = [[f"w{i}x{j}" for j in range(10)] for i in range(400)]
+    index = Index(cut, Counter(t for e in cut for t in e), 400, 10)
+    scored = []
+    ranges = bm25._ranges
+    monkeypatch.setattr(bm25, "_ranges", lambda first, size: scored.append(int(size.sum())) or ranges(first, size))
+    query = np.array([[index.terms[word] for word in cut[7]] + [index.terms[cut[i][0]] for i in range(50, 400, 9)]], np.int32)
+    assert index.search(query, 0.6)[1].tolist() == [7]
+    assert scored == [49, 10]  # parts looked at, postings scored
+
+
+def test_every_passage_is_a_query(monkeypatch):
+    asked = []
+    search = Index.search
+    monkeypatch.setattr(Index, "search", lambda self, rows, threshold: asked.append(len(rows)) or search(self, rows, threshold))
+    texts = [None, "", "one", prose(1, 64), prose(2, 65), prose(3, 200), prose(4, 100_000), prose(5, 129)]
+    found = list(_shard(ITEMS).leaks(texts))
+    passages = [max(math.ceil((len((text or "").split()) - 64) / 64), 1) for text in texts]
+    assert len(found) == len(texts) and sum(asked) == sum(passages)
+    assert max(asked) < 2 * decontamination.PASSAGES
+
+
+def test_retrieval_decides_where_the_overlap_would_not():
+    """All runs of five words of the item are there, each far from the others: no passage is about the item."""
+    words = [f"q{i}" for i in range(30)]
+    item = [(1, " ".join(words) + ".\n" + "a0 a1 a2 a3 a4 a5 a6")]
+    runs = [words[i : i + 5] for i in range(26)] + [[f"a{j}" for j in range(i, i + 5)] for i in range(3)]
+    scattered = " ".join(f"{' '.join(run)} {prose(i, 200)}" for i, run in enumerate(runs))
+    shard = _shard(item + ITEMS)
+    held = decontamination._Held(shard._numbers(scattered))
+    assert shard.overlaps(held, 0) == (1.0, 1.0)
+    together = f"{prose(70, 200)} {item[0][1]} {prose(71, 50)}"
+    alone = scattered.replace("a0 a1 a2 a3 a4", "").replace("a1 a2 a3 a4 a5", "").replace("a2 a3 a4 a5 a6", "")
+    assert [[leak[0] for leak in leaks] for leaks in shard.leaks([scattered.split("a0")[0], together, alone])] == [[], [1], []]
+
+
+def test_an_index_is_held_in_arrays():
+    """Some ten bytes for a character of the benchmark, with the words it consists of."""
+    items = [(i, f"{prose(i, 60, 20_000)}.\n{prose(5000 + i, 9, 20_000)}") for i in range(2000)]
+    size = len(pickle.dumps(_shard(items), protocol=5))
+    assert size < 10 * sum(len(text) for _, text in items)
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    shard = _shard(ITEMS)
+    text = " ".join(f"{t} x_{prose(i, 50)}" for i, t in ITEMS) + " ünïcode 东京 is_not"
+    whole = shard._numbers(text).tolist()
+    monkeypatch.setattr(decontamination, "LONG_TEXT", 40)
+    monkeypatch.setattr(decontamination, "_STRETCH", re.compile(r"(?s).{1,40}(?:[^\W_]+|\Z|)"))
+    assert shard._numbers(text).tolist() == whole
 
 
 @pytest.mark.parametrize(
@@ -54,6 +132,12 @@ def test_question_and_answer(text, question, answer):
     assert decontamination.question_and_answer(text) == (question, answer)
 
 
+def _shard(items):
+    cut = [entry for _, text in items for entry in decontamination._entries(text)]
+    frequency = Counter(term for entry in cut for term in set(entry))
+    return decontamination.Shard.of(items, frequency, len(cut), sum(map(len, cut)) / len(cut))
+
+
 ITEMS = [(i, prose(i, 12 + i * 9).replace(" ", "? ", 1) + ".\n" + prose(500 + i, 7)) for i in range(12)]
 ODD_ITEMS = [(50, None), (51, ""), (52, "yes"), (None, prose(900, 20)), (7, ITEMS[7][1])]
 
@@ -125,16 +209,11 @@ def test_short_items_and_scripts_without_blanks(spark, documents):
 def test_question_and_answer_stand_apart(between):
     """Either part alone is retrieved, whatever stands between them, in either order, and both must be there."""
     items = [(i, f"{prose(100 + i, length)}.\n{prose(700 + i, answer)}") for i, (length, answer) in enumerate([(25, 20), (8, 1), (9, 90), (150, 30), (20, 23)])]
-    cut = [(owner, entry) for owner, (_, text) in enumerate(items) for entry in decontamination._entries(text)]
-    frequency = Counter(term for _, entry in cut for term in set(entry))
-    mean = sum(len(entry) for _, entry in cut) / len(cut)
-    index = Index([entry for _, entry in cut], frequency, len(cut), mean)
-    shard = decontamination.Shard(index, [owner for owner, _ in cut], [decontamination._item(*item) for item in items])
+    shard = _shard(items)
     for i, text in items:
         question, answer = text.split("\n")
         other = prose(9000 + i, between)
         for parts in [(question, other, answer), (answer, other, question)]:
-            found = shard.leaks("\n".join([prose(i, 333), *parts, prose(50 + i, 70)]))
+            [found] = shard.leaks(["\n".join([prose(i, 333), *parts, prose(50 + i, 70)])])
             assert [(item, shares) for item, _, *shares in found] == [(i, [1.0, 1.0])]
-        assert shard.leaks(f"{other}\n{question}\n{other}") == []
-        assert shard.leaks(f"{other}\n{answer}\n{other}") == []
+        assert list(shard.leaks([f"{other}\n{question}\n{other}", f"{other}\n{answer}\n{other}"])) == [[], []]
