@@ -36,3 +36,8 @@ def test_filters_reach_the_scan(spark, small_folder, name):
 def test_top_rows_are_not_sorted_globally(spark, small_folder):
     for name in ("q11_city_hotspots", "q22_geo_mismatch_transactions", "q24_customer_baseline", "q41_top_risk_customers"):
         assert "TakeOrderedAndProject" in plan_of(contract.queries()[name](spark, small_folder))
+
+
+def test_the_audit_reads_the_fact_once(spark, small_folder):
+    plan = plan_of(contract.queries()["a2_orphan_audit"](spark, small_folder))
+    assert len(re.findall(r"FileScan parquet [^\n]*fact_transactions", plan)) == 1

@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 from stars import frame_of
 
+from ledgerlens.operators import velocity
 from ledgerlens.operators.velocity import closest_pairs, pair_order, velocity_leaders, velocity_pairs
 from ledgerlens.plans import anomalies, scoring
+from ledgerlens.session import write_table
 
 START = datetime.datetime(2024, 5, 1, 23, 50)
 REACH = datetime.timedelta(seconds=660)
@@ -132,3 +134,68 @@ def test_amounts_repeat_once_per_pair(mini):
     row = anomalies.velocity_account_summary(star).first()
     assert (row["velocity_hits"], row["total_value_usd"], row["average_amount_usd"]) == (3, 17.0, 5.67)
     assert row["last_seen"] == at(60)
+
+
+def _watched_tables(monkeypatch):
+    """Rows of the tables that an operator writes on its way, by label."""
+    written = {}
+
+    def counted(frame, label):
+        table = write_table(frame, label)
+        written[label] = table.count()
+        return table
+
+    monkeypatch.setattr(velocity, "write_table", counted)
+    return written
+
+
+def test_clean_ids_are_not_shuffled(spark, monkeypatch):
+    """Where no id recurs, hardly a row is looked at once more; one that does is found among many."""
+    written = _watched_tables(monkeypatch)
+    rng = random.Random(21)
+    rows = [
+        {"transaction_key": i, "transaction_id": f"T{i}", "account_key": rng.randrange(400), "transaction_datetime": at(rng.randrange(80_000)), "is_flagged": 1}
+        for i in range(4000)
+    ]
+    leaders = velocity_leaders(frame_of(spark, "fact_transactions", rows), F.col("is_flagged") == 1)
+    pairs = leaders.agg(F.sum("pairs")).first()[0]
+    assert pairs > 100 and written["suspect-cells"] < 40 and written.get("suspect-rows", 0) < 0.02 * len(rows)
+    again = dict(rows[7], transaction_key=4000, transaction_datetime=rows[7]["transaction_datetime"] + datetime.timedelta(seconds=30))
+    leaders = velocity_leaders(frame_of(spark, "fact_transactions", [*rows, again]), F.col("is_flagged") == 1)
+    more = leaders.agg(F.sum("pairs")).first()[0] - pairs
+    others = [r for r in rows if r["account_key"] == again["account_key"] and r is not rows[7]]
+    assert more == sum(datetime.timedelta(0) < abs(r["transaction_datetime"] - again["transaction_datetime"]) < REACH for r in others)
+
+
+def test_few_rows_are_looked_at_for_the_closest_pairs(spark, monkeypatch):
+    """A bound from pairs that are known to exist leaves a fixed number of leaders, whatever the number of pairs."""
+    rng = random.Random(22)
+    for count in (2000, 8000):
+        written = _watched_tables(monkeypatch)
+        rows = [
+            {"transaction_key": i, "transaction_id": f"T{i}", "account_key": rng.randrange(20), "transaction_datetime": at(rng.randrange(50_000)), "amount_usd": f"{rng.randrange(1, 10**6)}.00"}
+            for i in range(count)
+        ]
+        frame = frame_of(spark, "fact_transactions", rows)
+        accounts = spark.createDataFrame([(k,) for k in range(20)], "account_key long")
+        customers = spark.createDataFrame([(1,)], "customer_key long")
+        kept = []
+        result = velocity.write_result
+        monkeypatch.setattr(velocity, "write_result", lambda *a, result=result: kept.append(result(*a)) or kept[-1])
+        pairs = closest_pairs(frame, accounts, customers, 10)
+        assert len(pairs.orderBy(*pair_order()).limit(10).collect()) == 10
+        assert written["next-instants"] > 500 and kept[0].count() <= 200
+
+
+def test_equal_amounts_are_told_apart_by_key(spark):
+    """Where all sums are equal, the bound goes by the first row's key."""
+    rows = [
+        {"transaction_key": 1000 - i, "transaction_id": f"T{i}", "account_key": i % 7, "transaction_datetime": at((i // 7) * 20), "amount_usd": "5.00"}
+        for i in range(700)
+    ]
+    accounts = spark.createDataFrame([(k,) for k in range(7)], "account_key long")
+    customers = spark.createDataFrame([(1,)], "customer_key long")
+    found = closest_pairs(frame_of(spark, "fact_transactions", rows), accounts, customers, 9).orderBy(*pair_order()).limit(9)
+    wanted = sorted((a["transaction_key"], b["transaction_key"]) for a, b in pairs_by_hand(rows, lambda row: True)
+                    if b["transaction_datetime"] - a["transaction_datetime"] < datetime.timedelta(seconds=60))[:9]
+    assert [(r["first_transaction_key"], r["second_transaction_key"]) for r in found.collect()] == wanted
