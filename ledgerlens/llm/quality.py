@@ -14,8 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import write_table
+
 DIMENSIONS = 1 << 18  # hashed n-gram features
 SAMPLE_SIZE = 6000  # labelled documents that the model is fitted on, at most
+SAMPLE_FEATURES = 12_000_000  # features of these documents together, at most: the driver holds some 20 bytes for each
 EPOCHS = 30
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 _MIX = 0x9E3779B1
@@ -133,15 +136,25 @@ def fit(rows: list[np.ndarray], positive: np.ndarray) -> Model:
     return Model(ratios.astype(np.float32), weights.astype(np.float32), slope, offset)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_SIZE) -> Model:
-    """Fit on at most `sample` labelled documents, chosen by hash of doc_id.
+def within(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """The ids of (id, size) in their order that fit into `most` together; one that does not fit is passed over."""
+    kept, total = [], 0
+    for number, size in sizes:
+        if total + size <= most:
+            kept.append(number)
+            total += size
+    return kept
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_SIZE, most_features: int = SAMPLE_FEATURES) -> Model:
+    """Fit on at most `sample` labelled documents with at most `most_features` features together, chosen by hash of doc_id.
 
     `docs` has doc_id and text, `labels` doc_id and a label 0 or 1. Labels
     that are null or contradict each other are left out, as are documents
     without a doc_id; of texts with one doc_id the largest counts. The chosen
     labels are few, so they are broadcast and no text is shuffled before the
-    choice. The driver gets the features of the sample, at most `sample` *
-    DIMENSIONS small numbers, and fits the model.
+    choice. The driver gets the number of features of each chosen document and the features
+    of those that fit, and fits the model.
     """
     agreed = (
         labels.filter("doc_id is not null and label is not null")
@@ -149,9 +162,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_SIZE) -> Mode
         .agg(F.min("label").alias("label"), F.max("label").alias("other"))
         .filter("label = other")
     )
-    chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "label")
+    draw = F.xxhash64("doc_id").alias("draw")
+    chosen = agreed.select("doc_id", "label", draw).orderBy("draw", "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    whole = texts.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    whole = texts.groupBy("doc_id", "label", "draw").agg(F.max("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,11 +173,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_SIZE) -> Mode
             columns = {
                 "doc_id": batch.column("doc_id"),
                 "label": batch.column("label").cast(pa.int32()),
+                "draw": batch.column("draw"),
+                "size": pa.array(list(map(len, rows)), pa.int32()),
                 "features": pa.array([row.astype(np.int32) for row in rows], pa.list_(pa.int32())),
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    found = whole.mapInArrow(extract, "doc_id long, label int, features array<int>").toArrow().sort_by("doc_id")
+    schema = "doc_id long, label int, draw long, size int, features array<int>"
+    extracted = write_table(whole.mapInArrow(extract, schema), "labelled-features")
+    sizes = sorted((row["draw"], row["doc_id"], row["size"]) for row in extracted.select("draw", "doc_id", "size").collect())
+    kept = within([(number, size) for _, number, size in sizes], most_features)
+    fitting = docs.sparkSession.createDataFrame([(number,) for number in kept], "doc_id long")  # `sample` rows at most
+    found = extracted.join(F.broadcast(fitting), "doc_id").select("doc_id", "label", "features").toArrow().sort_by("doc_id")
     lists = found.column("features").combine_chunks()
     ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
     rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -81,6 +81,25 @@ def test_no_training_rows(spark):
     assert language.learn(none.limit(0)).languages == []
 
 
+@pytest.mark.parametrize("points", [1, 7, 50])
+def test_long_texts_are_counted_in_pieces(monkeypatch, points):
+    letter = language._letters()
+    text = "Ein langer Text, mit W\u00f6rtern; und\u00a0\u4e1c\u4eac!! \u039f\u0394\u039f\u03a3 \u039f\u0394\u039f\u03a3x " * 9 + "z" * 200
+    whole = language.gram_counts([text, "kurz", "", "12"], letter)
+    monkeypatch.setattr(language, "_POINTS", points)
+    pieces = language.gram_counts([text, "kurz", "", "12"], letter)
+    assert [part.tolist() for part in pieces] == [part.tolist() for part in whole]
+
+
+def test_languages_beyond_the_bound_are_told(spark, caplog):
+    rows = [(i, "some text", name) for i, name in enumerate(["a"] * 3 + ["b"] * 2 + ["d", "c"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language.learn(frame, languages=3)
+    assert (profiles.languages, profiles.left_out) == (["a", "b", "c"], 1)
+    assert "1 languages" in caplog.text
+    assert language.learn(frame).left_out == 0
+
+
 def _graded(seed, count=400):
     draw = random.Random(seed)
     rows = []
@@ -101,6 +120,22 @@ def test_quality_on_held_out_documents(spark):
     assert sum(right) >= 0.97 * len(right)
 
 
+def test_the_drivers_share_is_bounded(spark, monkeypatch):
+    """Documents with very many features do not take the place of others, and none reaches the driver beyond the bound."""
+    assert quality.within([(1, 5), (2, 9), (3, 4), (4, 1), (5, 1)], 10) == [1, 3, 4]
+    rows = _graded(2)
+    rows = [(i, text + " ".join(f" u{i}x{j}" for j in range(3000 if i % 20 == 0 else 0)), label) for i, text, label in rows]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    fitted = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, positive: fitted.append(rows) or fit(rows, positive))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int")
+    quality.learn(docs, labels, most_features=20_000)
+    assert sum(map(len, fitted[0])) <= 20_000 and len(fitted[0]) > 100
+    quality.learn(docs, labels, sample=50)
+    assert len(fitted[1]) == 50
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     """At the optimum of the squared hinge loss the gradient of the primal is zero."""
     draw = np.random.default_rng(4)
