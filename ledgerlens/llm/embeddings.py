@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ledgerlens.llm.components import components
 from ledgerlens.operators.arrow_groups import groups
@@ -129,9 +130,17 @@ def learn(sample: np.ndarray, vectors: int, threshold: float = THRESHOLD, recall
 
 
 def _unit(values: np.ndarray) -> np.ndarray:
+    values = _moderate(values)
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
+def _moderate(values: np.ndarray) -> np.ndarray:
+    """The same directions, with numbers whose squares neither overflow nor vanish; others stay as they are."""
+    largest = np.abs(values).max(axis=1, initial=0, keepdims=True)
+    far = (largest > 1e100) | (largest < 1e-100)
+    return values / np.where(far, largest, 1.0) if far.any() else values
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
@@ -146,13 +155,15 @@ def _encode(classes: DataFrame, models: dict[int, Rotations]) -> DataFrame:
                 columns = [*part.columns, pa.array(list(keys), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "keys"])
 
-    schema = "class long, label long, size int, n long, vector array<float>, keys array<long>"
+    kind = classes.schema["vector"].dataType.simpleString()
+    schema = f"class long, label long, size int, n long, vector {kind}, keys array<long>"
     return classes.select("class", "label", "size", "n", "vector").mapInArrow(encode, schema)
 
 
 def _compare(classes: np.ndarray, weights: np.ndarray, values: np.ndarray, keys: np.ndarray, table: int, block: np.ndarray,
              crossed: bool, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links that each class has in one bucket and no earlier table, weighted, and links that span the bucket's groups."""
+    values = _moderate(values)
     norms = np.linalg.norm(values, axis=1)
     near = values @ values.T / norms[:, None] / norms >= threshold
     np.fill_diagonal(near, False)
@@ -225,10 +236,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
+    # Numbers keep their precision; whole numbers and decimals become doubles.
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
     hashed = vectors.select(
         F.col("vec_id").cast("bigint").alias("vec_id"),
         F.col("label").cast("bigint").alias("label"),
-        F.col("embedding").cast("array<float>").alias("vector"),
+        F.col("embedding").cast("array<float>" if single else "array<double>").alias("vector"),
         F.coalesce(usable, F.lit(False)).alias("usable"),
         F.xxhash64("embedding").alias("hash"),
         F.xxhash64(F.lit(1), "embedding").alias("other_hash"),

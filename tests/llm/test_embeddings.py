@@ -86,6 +86,17 @@ def test_odd_vectors(spark):
     )
 
 
+def test_doubles(spark):
+    """Numbers beyond the range of floats, and a pair that only doubles tell from one at the threshold."""
+    one = [1.0, 0.0]
+    just, below = ([math.cos(a), math.sin(a)] for a in (math.acos(0.93) - 1e-9, math.acos(0.93) + 1e-9))
+    rows = [(1, [1e39, 1e39], 0), (2, [1e300, 1.01e300], 0), (3, [1e-300, 1e-300], 0), (4, [1e300, -1e300], 0), (5, one, 1), (6, just, 1),
+            (7, one, 2), (8, below, 2), (9, [5e-324, 0.0], 3), (10, [2.0, 0.0], 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(frame).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (1, 9), 10: (1, 9)}
+
+
 def test_an_empty_table(spark):
     assert _found(spark, []) == []
     assert _found(spark, [(1, None, 1)]) == [(1, 0, 1, True)]
