@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import components
+from ledgerlens.llm.rows import columns_of, whole_row
 from ledgerlens.session import write_table
 
 BITS = 64
@@ -171,15 +172,15 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     first = counted.groupBy("component").agg(F.min(F.struct(place.alias("place"), "copies")).alias("first"))
     winners = write_table(
         first.select(
-            F.col("first.place.doc_id").alias("_id"), F.col("first.place.digest").alias("_digest"), "first.copies"
-        ).withColumnRenamed("copies", "_copies"),
+            F.col("first.place.doc_id").alias("id"), F.col("first.place.digest").alias("of"), "first.copies"
+        ),
         "kept-documents",
     )
-    marked = docs.withColumn("_row_digest", text_digest())
+    marked = docs.select(whole_row(docs), "doc_id", text_digest().alias("digest"))
 
     def rows(chosen: DataFrame) -> DataFrame:
-        same = marked["doc_id"].eqNullSafe(chosen["_id"]) & (marked["_row_digest"] == chosen["_digest"])
+        same = marked["doc_id"].eqNullSafe(chosen["id"]) & (marked["digest"] == chosen["of"])
         return marked.join(chosen, same, "left_semi")
 
-    single, repeated = rows(winners.filter("_copies = 1")), rows(winners.filter("_copies > 1"))
-    return single.union(repeated.dropDuplicates(["doc_id", "_row_digest"])).drop("_row_digest")
+    single, repeated = rows(winners.filter("copies = 1")), rows(winners.filter("copies > 1"))
+    return single.union(repeated.dropDuplicates(["doc_id", "digest"])).select(*columns_of(docs))
