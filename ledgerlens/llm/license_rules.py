@@ -335,7 +335,9 @@ def _rules() -> list[Rule]:
     for name in SPDX.replace("\n", " ").split(";"):
         words = name.strip().replace("-", " ").replace(".", " ")
         found.append(Rule("spdx", f"spdx license identifiers? {words}", name.strip(), TAG, False))
-        found.append(Rule("license", f"license {words}", name.strip(), NOTICE, False))
+        # A name that is one plain word may be any word behind "license".
+        named = NOTICE if re.search("[0-9 ]", words) else MENTION
+        found.append(Rule("license", f"license {words}", name.strip(), named, False))
     return found
 
 

@@ -72,6 +72,13 @@ def _resolved_by_force(found):
     return sorted(kept)
 
 
+def test_a_plain_word_behind_license_is_a_mention_only(spark):
+    texts = ["the license intel gave them", "License: curl", "SPDX-License-Identifier: Intel", "License: BSD-3-Clause", "Intel license"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [row["score"] for row in rows[:4]] == [0.6, 0.6, 0.99, 0.95]
+    assert rows[2]["labels"] == "intel" and rows[3]["labels"] == "bsd-3-clause"
+
+
 def test_containment_and_priority_against_all_pairs(spark):
     import random
 
