@@ -51,6 +51,20 @@ def test_each_stage_takes_effect(spark, folder, tmp_path):
     assert ids["packing"] == ids["decontamination"]
 
 
+@pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES) - 1))
+def test_columns_of_any_name_stay_as_they_are(spark, documents, folder, stage):
+    """Names that the operators use themselves are kept with the user's values, and change nothing."""
+    where = folder(ROWS)
+    name, apply = corpus_pipeline.STAGES[stage]
+    plain, extra = documents(ROWS), documents(ROWS, extra=True)
+    kept = apply(spark, extra, where)
+    assert kept.columns == extra.columns
+    rows = kept.collect()
+    own = [i for i, column in enumerate(kept.columns) if column not in COLUMNS]
+    assert rows and all(row[i] == "x" for row in rows for i in own)
+    assert sorted((row[:5] for row in map(tuple, rows)), key=str) == sorted(map(tuple, apply(spark, plain, where).collect()), key=str)
+
+
 def test_run_gives_the_rows_of_the_last_stage(spark, folder, tmp_path):
     where = folder(ROWS)
     *_, (_, last) = _stages(spark, where, tmp_path)
