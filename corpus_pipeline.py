@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, language, packing, simhash, substrings
-from ledgerlens.session import new_table_path
+from ledgerlens.llm.rows import columns_of, whole_row
+from ledgerlens.session import drop_path, new_table_path, temporary_tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,9 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language.learn(docs.select("doc_id", "text", "lang"))
     if not profiles.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = docs.withColumn("_language", language.identify(F.col("text"), profiles))
-    known = (F.col("_language.lang") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)
-    return found.filter(known).select(*docs.columns)
+    found = docs.select(whole_row(docs), language.identify(F.col("text"), profiles).alias("language"))
+    known = (F.col("language.lang") != language.UNKNOWN) & (F.col("language.score") >= LEAST_LANGUAGE_SCORE)
+    return found.filter(known).select(*columns_of(docs))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,9 +69,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; what each stage returns is written as Parquet and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_table_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary_tables(spark):  # what a stage writes on its way goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if read:
+            drop_path(spark, read)
+        docs, read = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
