@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.automaton import SuffixAutomaton
+from ledgerlens.llm.rows import columns_of, whole_row
 from ledgerlens.session import write_table
 
 WINDOW = 50
 GRAM = 16  # words of an anchor
 SHARD_WORDS = 100_000  # words of an automaton
 STREAM_WORDS = 2_000_000  # words that stream past one copy of an automaton
-SEGMENT_WORDS = 20_000  # longer repeated passages are cut, with an overlap
+STRETCH_WORDS = 20_000  # windows of a stretch of a document; longer ones are cut, with an overlap
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -126,57 +127,70 @@ def sketches(docs: DataFrame, window: int, gram: int) -> DataFrame:
     ).mapInArrow(sketch, schema)
 
 
-def _windows(suspects: DataFrame, window: int, gram: int) -> DataFrame:
-    """(hash, doc) of each window under an anchor that its document shares with another one."""
+def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """The stretches of each text (doc, digest, text, shared) whose windows are all under a shared anchor.
 
-    def emit(batches: Batches) -> Batches:
+    (doc, digest, start, words, hashes), with the hashes of its windows by their starts. A long stretch is cut, with an overlap of a window less a word, so that each
+    window is in one stretch. What is under no shared anchor stands in no other
+    document, and goes no further.
+    """
+
+    def cut(batches: Batches) -> Batches:
         for batch in batches:
             for row in _rows(batch):
-                hashes, anchors = anchored(words_of(row["text"]), window, gram)
-                found = np.unique(hashes[np.isin(_signed(anchors), row["shared"])])
-                columns = [pa.array(_signed(found)), pa.array(np.full(len(found), row["doc"]))]
-                yield pa.RecordBatch.from_arrays(columns, ["hash", "doc"])
-
-    return suspects.select("doc", "text", "shared").mapInArrow(emit, "hash long, doc long")
+                words = words_of(row["text"])
+                hashes, anchors = anchored(words, window, gram)
+                starts = np.flatnonzero(np.isin(_signed(anchors), row["shared"]))
+                parts = [
+                    run[at : at + STRETCH_WORDS]
+                    for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)
+                    for at in range(0, len(run), STRETCH_WORDS)
+                ]
+                columns = [
+                    pa.array([row["doc"]] * len(parts), pa.int64()),
+                    pa.array([row["digest"]] * len(parts), pa.int64()),
+                    pa.array([int(part[0]) for part in parts], pa.int64()),
+                    pa.array([" ".join(words[part[0] : part[-1] + window]) for part in parts], pa.string()),
+                    _lists([_signed(hashes[part]) for part in parts]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "digest", "start", "words", "hashes"])
+
+    schema = "doc long, digest long, start long, words string, hashes array<long>"
+    return texts.select("doc", "digest", "text", "shared").mapInArrow(cut, schema)
 
 
 def _segments(owners: DataFrame, window: int) -> DataFrame:
-    """The passages of each owner that its repeated windows cover: doc, number, words (blank-joined), n_words, hashes."""
+    """The passages of each stretch that repeated windows cover: doc, stretch, first, words (blank-joined), n_words, hashes."""
 
     def cut(batches: Batches) -> Batches:
         for batch in batches:
             for row in _rows(batch):
-                words = words_of(row["text"])
-                hashes = _signed(_Hashes(words).of(window))
-                starts = np.flatnonzero(np.isin(hashes, row["hashes"]))
-                rows = []
+                words, rows = row["words"].split(" "), []
+                starts = np.flatnonzero(np.isin(row["hashes"], row["repeated"]))
                 # Windows that overlap by all but a word go on in one passage.
-                for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    for at in range(0, len(run), SEGMENT_WORDS):
-                        part = run[at : at + SEGMENT_WORDS]
-                        first, end = int(part[0]), int(part[-1]) + window
-                        rows.append((first, " ".join(words[first:end]), end - first, np.unique(hashes[part])))
-                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["doc"]] * len(rows), pa.int64()),
-                        pa.array(columns[0], pa.int64()),
-                        pa.array(columns[1], pa.string()),
-                        pa.array(columns[2], pa.int64()),
-                        _lists(list(columns[3])),
-                    ],
-                    ["doc", "number", "words", "n_words", "hashes"],
-                )
-
-    schema = "doc long, number long, words string, n_words long, hashes array<long>"
-    return owners.select("doc", "text", "hashes").mapInArrow(cut, schema)
+                for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []:
+                    first, end = int(run[0]), int(run[-1]) + window
+                    rows.append((first, " ".join(words[first:end]), end - first, np.unique(row["hashes"][run])))
+                firsts, texts, sizes, hashes = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                columns = [
+                    pa.array([row["doc"]] * len(rows), pa.int64()),
+                    pa.array([row["stretch"]] * len(rows), pa.int64()),
+                    pa.array(firsts, pa.int64()),
+                    pa.array(texts, pa.string()),
+                    pa.array(sizes, pa.int64()),
+                    _lists(list(hashes)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "stretch", "first", "words", "n_words", "hashes"])
+
+    schema = "doc long, stretch long, first long, words string, n_words long, hashes array<long>"
+    return owners.select("doc", "stretch", "words", "hashes", "repeated").mapInArrow(cut, schema)
 
 
 def _stream(mixed: DataFrame, window: int) -> DataFrame:
-    """Removed spans (doc, digest, start, end) of documents that follow the reference of their group.
+    """Removed spans (doc, digest, start, end) of stretches that follow the reference of their group.
 
     Rows come by group, the reference (without digest) first: it makes up an
-    automaton, and then one document after another passes.
+    automaton, and then one stretch after another passes.
     """
 
     def match(batches: Batches) -> Batches:
@@ -187,20 +201,20 @@ def _stream(mixed: DataFrame, window: int) -> DataFrame:
                 if row["group"] != group:
                     group, automaton, segments = row["group"], None, []
                 if row["digest"] is None:
-                    segments.append((row["doc"], row["text"].split(" ")))
+                    segments.append((row["doc"], row["words"].split(" ")))
                     continue
                 if automaton is None:
                     automaton, segments = SuffixAutomaton(segments), []
                 start = end = -1
-                for place, owner in automaton.owners(words_of(row["text"]), window):
+                for place, owner in automaton.owners(row["words"].split(" "), window):
                     if owner < row["doc"]:
                         if place - window + 1 > end:
                             if end >= 0:
-                                out.append((row["doc"], row["digest"], start, end))
+                                out.append((row["doc"], row["digest"], row["start"] + start, row["start"] + end))
                             start = place - window + 1
                         end = place + 1
                 if end >= 0:
-                    out.append((row["doc"], row["digest"], start, end))
+                    out.append((row["doc"], row["digest"], row["start"] + start, row["start"] + end))
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             names = ["doc", "digest", "start", "end"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
@@ -209,65 +223,68 @@ def _stream(mixed: DataFrame, window: int) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame, sketched: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Spans to remove (doc, digest, start, end), and the texts (doc, digest, text) of the documents they are in.
+    """Spans to remove (doc, digest, start, end), and the texts (doc, digest, text) of all documents.
 
     `sketched` is what `sketches` gives for `docs`, without copies. Copies of
     a text apart, text that repeats is found in four steps:
-    anchors that several documents have; the windows under such anchors,
-    whose hash tells the first document that holds them; the passages that
+    anchors that several documents have; the stretches of documents under such anchors, and of their windows
+    those that several documents have, whose hash tells the first one; the passages that
     such windows cover in their first document, which make up the reference;
-    and the passing of documents, each past the automata of those shards that
-    have a window of it from an earlier document. Anchors and hashes only choose what is compared;
+    and the passing of stretches, each past the automata of those shards that
+    have a window of it from an earlier document. Whole texts are moved once, and only where
+    an anchor is shared; from there on stretches of bounded length are. Anchors and hashes only choose what is compared;
     what is removed is decided by the words in the automata.
     """
-    spark = docs.sparkSession
     key = ["doc", "digest"]
-    anchors = sketched.select(*key, "n_words", F.explode("anchors").alias("anchor"))
+    anchors = sketched.select(*key, F.explode("anchors").alias("anchor"))
     common = (
         anchors.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
     )
     shared = write_table(
-        anchors.join(common.select("anchor"), "anchor")
-        .groupBy(*key, "n_words")
-        .agg(F.collect_set("anchor").alias("shared")),
+        anchors.join(common.select("anchor"), "anchor").groupBy(*key).agg(F.collect_set("anchor").alias("shared")),
         "shared-anchors",
     )
     texts = docs.select(order_of("doc_id").alias("doc"), text_digest().alias("digest"), "text")
-    suspects = write_table(texts.join(shared, key).dropDuplicates(key), "suspects")
+    suspects = texts.join(shared, key).dropDuplicates(key)
+    stretches = write_table(
+        _stretches(suspects, window, gram).withColumn("stretch", F.monotonically_increasing_id()),
+        "stretches",
+    )
 
-    windows = write_table(_windows(suspects, window, gram), "windows")
+    windows = stretches.select("doc", "stretch", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
     holders = windows.groupBy("hash").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"))
-    owned = holders.filter("doc < most").groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
-    reference = write_table(_segments(suspects.join(owned, "doc"), window), "reference")
+    owned = holders.filter("doc < most").groupBy("doc").agg(F.collect_list("hash").alias("repeated"))
+    reference = write_table(_segments(stretches.join(owned, "doc"), window), "reference")
     total = reference.agg(F.sum("n_words")).first()[0] or 0
-    shard = F.pmod(F.xxhash64("doc", "number"), F.lit(total // SHARD_WORDS + 1))
+    shard = F.pmod(F.xxhash64("stretch", "first"), F.lit(total // SHARD_WORDS + 1))
     sharded = reference.withColumn("shard", shard)
 
     held = sharded.select("shard", F.col("doc").alias("owner"), F.explode("hashes").alias("hash"))
-    visits = windows.join(held, "hash").filter("doc > owner").select("doc", "shard").distinct()
-    routes = write_table(visits.join(shared.select(*key, "n_words"), "doc"), "routes")
-    streams = routes.groupBy("shard").agg(F.ceil(F.sum("n_words") / STREAM_WORDS).cast("int").alias("streams"))
+    visits = windows.join(held, "hash").filter("doc > owner")
+    routes = write_table(visits.select("stretch", "size", "shard").distinct(), "routes")
+    streams = routes.groupBy("shard").agg(F.ceil(F.sum(F.col("size") + (window - 1)) / STREAM_WORDS).cast("int").alias("streams"))
     passing = (
         routes.join(streams, "shard")
-        .withColumn("stream", F.pmod(F.xxhash64(*key), F.col("streams")).cast("int"))
-        .select(*key, "shard", "stream")
-        .join(suspects.select(*key, "text"), key)
+        .withColumn("stream", F.pmod(F.xxhash64("stretch"), F.col("streams")).cast("int"))
+        .select("stretch", "shard", "stream")
+        .join(stretches.select(*key, "stretch", "start", "words"), "stretch")
     )
     automata = sharded.join(streams, "shard").select(
         "doc",
         F.lit(None).cast("bigint").alias("digest"),
+        F.lit(0).cast("bigint").alias("start"),
         "shard",
         F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("stream"),
-        F.col("words").alias("text"),
+        "words",
     )
     mixed = (
-        automata.unionByName(passing)
+        automata.unionByName(passing.drop("stretch"))
         .withColumn("group", F.concat_ws("/", "shard", "stream"))
         .repartition("group")
         .sortWithinPartitions("group", F.col("digest").isNotNull(), "doc")
-        .select("group", "doc", "digest", "text")
+        .select("group", "doc", "digest", "start", "words")
     )
-    return write_table(_stream(mixed, window), "removed-spans"), suspects
+    return write_table(_stream(mixed, window), "removed-spans"), texts
 
 
 def _cut(texts: DataFrame, finish: Callable[[list[str], list[str]], tuple], schema: str) -> DataFrame:
@@ -303,7 +320,7 @@ def _prepare(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFr
     alone = found.join(firsts.withColumnRenamed("first", "doc"), [*same, "doc"], "left_semi")
     spans, texts = removed_spans(docs, alone.dropDuplicates(["doc", "digest"]), window, gram)
     by_document = spans.groupBy("doc", "digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return marked, texts.join(by_document, ["doc", "digest"])
+    return marked, texts.join(by_document, ["doc", "digest"]).dropDuplicates(["doc", "digest"])
 
 
 def dedup_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -340,14 +357,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     shortened = _cut(cut, lambda words, kept: (" ".join(kept),), "doc long, digest long, kept string")
     gone = marked.filter(F.col("copied") & (F.col("n_words") >= window)).select("doc", "digest", F.lit("").alias("kept"))
     changes = write_table(shortened.unionByName(gone).distinct(), "changed-texts").select(
-        F.col("doc").alias("_doc"), F.col("digest").alias("_digest"), F.col("kept").alias("_kept")
-    )
-    marked_rows = docs.withColumn("_at", order_of("doc_id")).withColumn("_text_digest", text_digest())
-    joined = marked_rows.join(
-        changes, (F.col("_at") == F.col("_doc")) & (F.col("_text_digest") == F.col("_digest")), "left"
+        F.col("doc").alias("at"), F.col("digest").alias("of"), "kept"
     )
+    rows = docs.select(whole_row(docs), order_of("doc_id").alias("doc"), text_digest().alias("digest"))
     return (
-        joined.filter("_kept is null or _kept <> ''")
-        .withColumn("text", F.coalesce("_kept", "text"))
-        .select(*docs.columns)
+        rows.join(changes, (F.col("doc") == F.col("at")) & (F.col("digest") == F.col("of")), "left")
+        .filter("kept is null or kept <> ''")
+        .select(*columns_of(docs, text=F.coalesce("kept", "row.text")))
     )

@@ -7,7 +7,7 @@ import random
 import re
 
 import pytest
-
+from pyspark.sql import functions as F
 from texts import prose
 
 from ledgerlens.llm import substrings
@@ -75,10 +75,10 @@ def _sha(words):
 
 @pytest.mark.parametrize(("seed", "shard"), [(1, 100_000), (2, 60)])
 def test_removal_against_a_window_dictionary(documents, monkeypatch, seed, shard):
-    """Also with a reference of many shards, segments that are cut, and several streams."""
+    """Also with a reference of many shards, stretches that are cut, and several streams."""
     monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
     if shard == 60:
-        monkeypatch.setattr(substrings, "SEGMENT_WORDS", 20)
+        monkeypatch.setattr(substrings, "STRETCH_WORDS", 20)
         monkeypatch.setattr(substrings, "STREAM_WORDS", 500)
     rows = _rows(seed)
     found = substrings.dedup_digest(documents([(i, t, "en") for i, t in rows], extra=True)).collect()
@@ -101,6 +101,32 @@ def test_texts_lose_what_the_digest_says(documents):
     assert sorted(repr((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(map(repr, expected))
 
 
+def test_only_stretches_under_shared_anchors_go_on(spark, documents):
+    """Of a long document with one shared passage, little more than that passage is moved."""
+    long = f"{prose(41, 30_000, 10**6)} {PASSAGES[4]} {prose(42, 30_000, 10**6)}"
+    docs = documents([(1, f"{prose(43, 200, 10**6)} {PASSAGES[4]} {prose(44, 40, 10**6)}", "en"), (2, long, "en")])
+    shared = substrings.sketches(docs, 50, 16).select("doc", "digest", F.explode("anchors").alias("anchor"))
+    both = shared.groupBy("anchor").agg(F.collect_list("doc").alias("docs")).filter(F.size("docs") > 1)
+    lists = shared.join(both, "anchor").groupBy("doc", "digest").agg(F.collect_set("anchor").alias("shared"))
+    texts = docs.select(F.col("doc_id").alias("doc"), substrings.text_digest().alias("digest"), "text").join(lists, ["doc", "digest"])
+    stretches = substrings._stretches(texts, 50, 16).filter("doc = 2").collect()
+    assert 300 <= sum(len(row["words"].split(" ")) for row in stretches) <= 450
+    row = substrings.dedup_digest(docs).orderBy("doc_id").collect()[1]
+    assert row["n_removed"] == 300
+
+
+def test_long_stretches_are_cut_so_that_each_window_is_in_one(spark, documents, monkeypatch):
+    monkeypatch.setattr(substrings, "STRETCH_WORDS", 100)
+    words = prose(45, 1000).split()
+    docs = documents([(1, " ".join(words), "en")])
+    anchors = substrings.sketches(docs, 50, 16).select("doc", "digest", F.col("anchors").alias("shared"))
+    texts = docs.select(F.col("doc_id").alias("doc"), substrings.text_digest().alias("digest"), "text").join(anchors, ["doc", "digest"])
+    stretches = sorted(substrings._stretches(texts, 50, 16).collect(), key=lambda row: row["start"])
+    assert [(row["start"], len(row["words"].split(" "))) for row in stretches] == [(at, min(149, 1000 - at)) for at in range(0, 951, 100)]
+    whole = substrings.anchored(words, 50, 16)[0].view("int64").tolist()
+    assert [h for row in stretches for h in row["hashes"]] == whole
+
+
 def test_windows_with_the_same_words_have_the_same_anchor():
     text = prose(1, 400).split()
     hashes, anchors = substrings.anchored(text, 50, 16)
