@@ -108,7 +108,7 @@ _ROOTS: set[str] = set()
 
 
 def _drop_at_exit(spark: SparkSession, root: str) -> None:
-    """Tables outside any scope go when Python ends, if the JVM is still there to remove them."""
+    """Tables that no scope has dropped go when Python ends, if the JVM is still there to remove them."""
     if root in _ROOTS:
         return
     _ROOTS.add(root)
@@ -129,8 +129,7 @@ def new_table_path(spark: SparkSession, label: str) -> str:
     path = f"{root}/{label}-{uuid.uuid4().hex}"
     if owner := _OWNER.get():
         owner.paths.append(path)
-    else:
-        _drop_at_exit(spark, root)
+    _drop_at_exit(spark, root)
     return path
 
 
