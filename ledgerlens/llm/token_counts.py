@@ -172,24 +172,21 @@ def _marks(pieces: DataFrame, vocabulary: str, chunk: int, overlap: int) -> Data
 
 
 def _spliced(marks: DataFrame) -> DataFrame:
-    """Tokens of each text (digest, other_digest, n_tokens, seams, open): `open` of its seams have no common boundary.
+    """Tokens of each text (digest, other_digest, n_tokens, open): `open` of its seams have no common boundary.
 
     Up to a common boundary the chunk before counts, from there on the one
     behind: each seam adds the difference of what both have up to there.
     """
     places = (
-        marks.filter("seam is not null")
-        .groupBy(*KEY, "seam", "place")
-        .agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("sides"))
-        .filter("sides = 2")
+        marks.groupBy(*KEY, "seam", "place")
+        .agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("sides"), F.max("chunks").alias("chunks"))
+        .filter("seam is null or sides = 2")
     )
-    seams = places.groupBy(*KEY, "seam").agg(F.min_by("tokens", "place").alias("tokens"))
-    lasts = marks.filter("seam is null").select(*KEY, F.lit(None).cast("int").alias("seam"), "tokens", "chunks")
-    return (
-        seams.withColumn("chunks", F.lit(None).cast("int"))
-        .unionByName(lasts)
-        .groupBy(*KEY)
-        .agg(F.sum("tokens").alias("n_tokens"), (F.max("chunks") - 1 - F.count("seam")).alias("open"))
+    seams = places.groupBy(*KEY, "seam").agg(
+        F.min_by("tokens", F.coalesce("place", F.lit(0))).alias("tokens"), F.max("chunks").alias("chunks")
+    )
+    return seams.groupBy(*KEY).agg(
+        F.sum("tokens").alias("n_tokens"), (F.max("chunks") - 1 - F.count("seam")).alias("open")
     )
 
 
