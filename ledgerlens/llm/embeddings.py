@@ -21,6 +21,7 @@ ITERATIONS = 30
 RECALL = 0.995  # expected share of pairs just at the threshold that meet in a table
 TURNED = 4000  # pairs at the threshold, made of the sample, on which the recall of learned codes is measured
 BLOCK = 1024  # members of a bucket that one task compares with as many others
+PAIRS = 100_000  # links of a bucket that are looked up in earlier tables at once
 
 
 class Rotations:
@@ -56,8 +57,12 @@ class Rotations:
         return (unit - self.mean) @ self.projection > 0
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
-        signs = self.bits(unit).reshape(len(unit), self.tables, self.key_bits)
-        return signs @ (1 << np.arange(self.key_bits, dtype=np.int64))
+        return keys_of(self.bits(unit), self.tables, self.key_bits)
+
+
+def keys_of(bits: np.ndarray, tables: int, key_bits: int) -> np.ndarray:
+    """The keys, one for each table, that codes are made of."""
+    return bits.reshape(len(bits), tables, key_bits) @ (1 << np.arange(key_bits, dtype=np.int64))
 
 
 def table_sizes(vectors: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -146,20 +151,31 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _encode(classes: DataFrame, models: dict[int, Rotations]) -> DataFrame:
+    """`classes` with the keys to file them under, and the code they are made of, eight bits to a byte."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == size))
-                keys = models[int(size)].keys(_unit(_matrix(part.column("vector"), int(size))))
-                columns = [*part.columns, pa.array(list(keys), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "keys"])
+                part, model = batch.filter(pa.array(sizes == size)), models[int(size)]
+                bits = model.bits(_unit(_matrix(part.column("vector"), int(size))))
+                keys = pa.array(list(keys_of(bits, model.tables, model.key_bits)), pa.list_(pa.int64()))
+                codes = pa.array([code.tobytes() for code in np.packbits(bits, axis=1)], pa.binary())
+                shape = [pa.array(np.full(len(bits), number, np.int32)) for number in (model.tables, model.key_bits)]
+                columns = [*part.columns, *shape, keys, codes]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "tables", "key_bits", "keys", "code"])
 
     kind = classes.schema["vector"].dataType.simpleString()
-    schema = f"class long, label long, size int, n long, vector {kind}, keys array<long>"
+    schema = f"class long, label long, size int, n long, vector {kind}, tables int, key_bits int, keys array<long>, code binary"
     return classes.select("class", "label", "size", "n", "vector").mapInArrow(encode, schema)
 
 
+def _unpacked(codes: pa.Array, tables: int, key_bits: int) -> np.ndarray:
+    """The keys of packed codes."""
+    packed = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -(-tables * key_bits // 8))
+    return keys_of(np.unpackbits(packed, axis=1, count=tables * key_bits), tables, key_bits)
+
+
 def _compare(classes: np.ndarray, weights: np.ndarray, values: np.ndarray, keys: np.ndarray, table: int, block: np.ndarray,
              crossed: bool, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links that each class has in one bucket and no earlier table, weighted, and links that span the bucket's groups."""
@@ -169,9 +185,12 @@ def _compare(classes: np.ndarray, weights: np.ndarray, values: np.ndarray, keys:
     np.fill_diagonal(near, False)
     if crossed:
         near &= block[:, None] != block
-    fresh = near.copy()
-    for earlier in range(table):
-        fresh &= keys[:, None, earlier] != keys[:, earlier]
+    counts = np.zeros(len(classes), np.int64)
+    one, other = np.nonzero(near)
+    for some in range(0, len(one), PAIRS):  # which of the pairs have met before is asked of links alone
+        left, right = one[some : some + PAIRS], other[some : some + PAIRS]
+        fresh = ~(keys[left, :table] == keys[right, :table]).any(axis=1)
+        np.add.at(counts, left[fresh], weights[right[fresh]])
     spanning: list[tuple[int, int]] = []
     unseen = np.ones(len(classes), bool)
     for start in np.flatnonzero(near.any(axis=1)):
@@ -184,7 +203,7 @@ def _compare(classes: np.ndarray, weights: np.ndarray, values: np.ndarray, keys:
                 unseen[found] = False
                 spanning += [(int(classes[node]), int(classes[other])) for other in found]
                 waiting += found.tolist()
-    return fresh @ weights, spanning
+    return counts, spanning
 
 
 def _links(buckets: DataFrame, threshold: float) -> DataFrame:
@@ -199,7 +218,7 @@ def _links(buckets: DataFrame, threshold: float) -> DataFrame:
                 classes,
                 bucket.column("n").to_numpy(),
                 _matrix(bucket.column("vector"), bucket.column("size")[0].as_py()),
-                bucket.column("keys").flatten().to_numpy().reshape(len(classes), -1),
+                _unpacked(bucket.column("code"), bucket.column("tables")[0].as_py(), bucket.column("key_bits")[0].as_py()),
                 table,
                 bucket.column("block").to_numpy(),
                 crossed,
@@ -283,10 +302,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     # A block meets itself in a group of its own; groups of two blocks count only what crosses.
     buckets = (
         met.withColumnRenamed("own", "crossed")
-        .join(encoded.select("class", "size", "n", "vector", "keys"), "class")
+        .join(encoded.select("class", "size", "n", "vector", "tables", "key_bits", "code"), "class")
         .repartition("group")
         .sortWithinPartitions("group")
-        .select("group", "table", "crossed", "block", "class", "size", "n", "vector", "keys")
+        .select("group", "table", "crossed", "block", "class", "size", "n", "vector", "tables", "key_bits", "code")
     )
     compared = write_table(_links(buckets, threshold), "vector-links")
     counts = compared.filter("right is null").groupBy("left").agg(F.sum("n").alias("linked"))
