@@ -126,8 +126,8 @@ def _leaders(rows: DataFrame, same: list[str], leads: Column, watch_ids: bool =
     )
 
 
-def velocity_leaders(rows: DataFrame, leads: Column, unique_ids: bool = False) -> DataFrame:
-    """Pair count and pair-weighted leader amount by account, customer and instant of the leader.
+def velocity_leaders(rows: DataFrame, leads: Column, unique_ids: bool = False, amounts: bool = True) -> DataFrame:
+    """Pair count and, with `amounts`, pair-weighted leader amount by account, customer and instant of the leader.
 
     `rows` are the possible followers; those for which `leads` holds can lead.
     The counts of a leader may come in two rows, to be added up. Pairs of rows
@@ -143,30 +143,27 @@ def velocity_leaders(rows: DataFrame, leads: Column, unique_ids: bool = False) -
     if unique_ids:
         return _leaders(timed, ["account_key"], leads)
     timed = timed.filter(F.col("transaction_id").isNotNull())
-    watched = write_table(_leaders(timed, ["account_key"], leads, watch_ids=True), "velocity-leaders")
+    key, counts = ["account_key", "customer_key", "instant"], ["pairs", "paid_pairs", "pair_cents"][: 3 if amounts else 1]
+    # Only the columns that are wanted are written, so that no others are read.
+    watched = _leaders(timed, ["account_key"], leads, watch_ids=True).select(*key, *counts, "own")
+    watched = write_table(watched, "velocity-leaders")
     pairs = watched.drop("own")
     cells = watched.filter("own").select("account_key", F.explode(F.array(_cell(), _cell() + 1)).alias("cell"))
     cells = write_table(cells.distinct(), "suspect-cells")
     if cells.isEmpty():
         return pairs
-    suspects = write_table(
-        timed.withColumn("cell", _cell()).join(cells, ["account_key", "cell"], "left_semi").drop("cell"), "suspect-rows"
-    )
+    suspects = timed.withColumn("cell", _cell()).join(cells, ["account_key", "cell"], "left_semi").drop("cell")
+    if not amounts:
+        suspects = suspects.withColumn("amount_usd", F.lit(None).cast("decimal(18,2)"))
+    suspects = write_table(suspects, "suspect-rows")
     recurring = _at_several_instants(suspects, "transaction_id")
     repeated = suspects.join(recurring, ["account_key", "transaction_id"], "left_semi")
-    with_itself = _leaders(repeated, ["account_key", "transaction_id"], leads)
-    net = pairs.unionByName(
-        with_itself.withColumns({name: -F.col(name) for name in ("pairs", "paid_pairs", "pair_cents")})
-    )
-    return (
-        net.groupBy("account_key", "customer_key", "instant")
-        .agg(
-            F.sum("pairs").alias("pairs"),
-            F.sum("paid_pairs").alias("paid_pairs"),
-            F.sum("pair_cents").cast(exact.WHOLE).alias("pair_cents"),
-        )
-        .filter(F.col("pairs") > 0)
-    )
+    with_itself = _leaders(repeated, ["account_key", "transaction_id"], leads).select(*key, *counts)
+    net = pairs.unionByName(with_itself.withColumns({name: -F.col(name) for name in counts}))
+    sums = {name: F.sum(name) for name in counts}
+    if amounts:
+        sums["pair_cents"] = sums["pair_cents"].cast(exact.WHOLE)
+    return net.groupBy(*key).agg(*[column.alias(name) for name, column in sums.items()]).filter(F.col("pairs") > 0)
 
 
 _ROW = ["transaction_key", "transaction_id", "transaction_datetime", "instant", "amount_usd"]

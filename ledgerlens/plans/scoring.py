@@ -156,7 +156,7 @@ def amount_signal(star: Star) -> DataFrame:
 
 def customer_velocity_hits(star: Star) -> DataFrame:
     """Pairs led by a flagged row of the customer; the second row need not be flagged."""
-    leaders = velocity_leaders(star.fact, F.col("is_flagged") == 1)
+    leaders = velocity_leaders(star.fact, F.col("is_flagged") == 1, amounts=False)
     return leaders.groupBy("customer_key").agg(F.sum("pairs").alias("velocity_hit_count"))
 
 

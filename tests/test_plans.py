@@ -8,6 +8,9 @@ import __spark_entry__ as contract
 import pytest
 from compare import plan_of
 
+from ledgerlens.operators import velocity
+from ledgerlens.session import write_table
+
 
 @pytest.mark.parametrize(
     "name, columns",
@@ -19,9 +22,17 @@ from compare import plan_of
         ("q40_customer_velocity_hits", {"customer_key", "account_key", "is_flagged", "transaction_datetime", "transaction_id"}),
     ],
 )
-def test_only_needed_columns_are_read(spark, small_folder, name, columns):
-    frame = contract.queries()[name](spark, small_folder)
-    scans = re.findall(r"FileScan parquet \[([^\]]*)\][^\n]*fact_transactions", plan_of(frame))
+def test_only_needed_columns_are_read(spark, small_folder, monkeypatch, name, columns):
+    """In the plan of the result, and in those of the tables that are written on the way."""
+    plans = []
+
+    def watched(frame, label):
+        plans.append(plan_of(frame))
+        return write_table(frame, label)
+
+    monkeypatch.setattr(velocity, "write_table", watched)
+    plans.append(plan_of(contract.queries()[name](spark, small_folder)))
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\][^\n]*fact_transactions", "\n".join(plans))
     assert scans
     for scan in scans:
         assert {c.split("#")[0] for c in scan.split(",")} <= columns
