@@ -7,6 +7,8 @@ back, so that jobs scan a stored fact table as they would in production.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +40,22 @@ def _padded(key: Column, digits: int) -> Column:
 
 
 def _transaction_key(order: Column, line: Column, part: Column, supplier: Column) -> Column:
-    """The four keys side by side, in wide arithmetic and brought back into the range of a BIGINT."""
+    """The four keys side by side, brought back into the range of a BIGINT: modulo 2^63 - 1.
+
+    Keys of usual size need no wide arithmetic: the three leading ones fit a BIGINT, and their product with 100000 is
+    taken in halves, of which the upper one, a multiple of 2^32, is turned within 63 bits.
+    """
     wide = "decimal(38,0)"
     side_by_side = (order.cast(wide) * 8 + line).cast(wide) * 1000000 + part
     side_by_side = side_by_side.cast(wide) * 100000 + supplier
-    return (side_by_side.cast(wide) % F.lit(2**63 - 1).cast(wide)).cast("bigint")
+    any_size = (side_by_side.cast(wide) % F.lit(2**63 - 1).cast(wide)).cast("bigint")
+    leading = (order.cast("bigint") * 8 + line) * 1000000 + part
+    low = leading.bitwiseAND((1 << 32) - 1) * 100000
+    high = F.shiftrightunsigned(leading, 32) * 100000
+    turned = F.call_function("shiftleft", high.bitwiseAND((1 << 31) - 1), F.lit(32)) + (F.shiftrightunsigned(high, 31) - (2**63 - 1))
+    beyond = turned + (low + supplier)
+    usual = order.between(0, 1 << 38) & line.between(0, 1 << 20) & part.between(0, 1 << 40) & supplier.between(0, 1 << 40)
+    return F.when(usual, F.pmod(beyond, F.lit(2**63 - 1))).otherwise(any_size)
 
 
 def _fact_transactions(lineitem: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:
@@ -52,14 +65,16 @@ def _fact_transactions(lineitem: DataFrame, orders: DataFrame, customer: DataFra
     mix, order_mix = F.col("mix"), F.col("order_mix")
     day = F.pmod(F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1995-01-01"))), F.lit(DAYS)).cast("bigint")
     clock = F.when(order_mix < 100, 3600 + (order * 37) % 13500).otherwise(18000 + (order * 7919) % 63000)
-    second = day * 86400 + clock + (line - 1) * 125
-    moment = F.lit(f"{FIRST_DAY} 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
-        secs=second.cast("decimal(18,6)")
+    second = F.col("day") * 86400 + clock + (line - 1) * 125
+    moment = F.lit(f"{FIRST_DAY} 00:00:00").cast("timestamp_ntz") + F.lit(datetime.timedelta(seconds=1)) * second
+    # Orders meet customers first, as they are fewer than line items: these move once, and narrow.
+    placed = orders.select("o_orderkey", "o_custkey", "o_orderstatus", day.alias("day")).join(
+        customer.select("c_custkey", "c_nationkey"), buyer == F.col("c_custkey")
     )
+    price = F.col("l_extendedprice").cast("decimal(18,2)").alias("price")
     rows = (
-        lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
-        .join(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"), order == F.col("o_orderkey"))
-        .join(customer.select("c_custkey", "c_nationkey"), buyer == F.col("c_custkey"))
+        lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", price, "l_returnflag")
+        .join(placed, order == F.col("o_orderkey"))
         .withColumns(
             {
                 "mix": (order * 7919 + line * 1301 + part * 31 + supplier * 17) % 1000,
@@ -94,8 +109,8 @@ def _fact_transactions(lineitem: DataFrame, orders: DataFrame, customer: DataFra
             "account_key": buyer * 2 + order % 2,
             "merchant_key": F.when((mix == 13) | (buyer % 139 == 7), -1).otherwise(supplier),
             "location_key": F.when((mix == 29) | (buyer % 137 == 5), -1).otherwise(nation * 4 + order % 4),
-            "date_key": F.date_format("transaction_date", "yyyyMMdd").cast("int"),
-            "amount_usd": F.col("l_extendedprice").cast("decimal(18,2)") * F.when(mix == 7, 12).otherwise(1),
+            "date_key": F.year("transaction_date") * 10000 + F.month("transaction_date") * 100 + F.day("transaction_date"),
+            "amount_usd": F.when(mix == 7, (F.col("price") * 12).cast("decimal(18,2)")).otherwise(F.col("price")),
             "is_flagged": _flag(suspicious),
             "channel": channel,
             "transaction_type": kind.when(F.col("l_returnflag") == "R", "Withdrawal"),
@@ -203,7 +218,7 @@ def order_star(spark: SparkSession, folder: str) -> Star:
     """The star of `folder`, derived once per Spark application."""
     identity = (spark.sparkContext.applicationId, folder)
     if identity not in _STARS:
-        _STARS[identity] = Star(spark, lambda name: write_table(derive(spark, folder, name), name))
+        _STARS[identity] = Star(spark, lambda name: write_table(derive(spark, folder, name), name, "zstd"))
     return _STARS[identity]
 
 
