@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,7 +103,10 @@ def velocity_account_summary(star: Star, count: int = 20) -> DataFrame:
 
 
 def amount_outliers(star: Star, count: int = 50) -> DataFrame:
-    """Rows at or above their customer's rounded mean plus three rounded deviations."""
+    """Rows at or above their customer's rounded mean plus three rounded deviations.
+
+    The rows are chosen on their keys and amount alone; the other columns are fetched for the chosen ones.
+    """
     parts = key_parts(star.fact, ["customer_key"], ("spend_volatility",))
     amounts, total, squares = moments(*map(F.col, MOMENTS))
     usual = write_table(
@@ -113,17 +118,24 @@ def amount_outliers(star: Star, count: int = 50) -> DataFrame:
         ),
         "customer-amounts",
     )
-    columns = ["customer_key", "transaction_key", "transaction_id", "transaction_datetime", "channel",
-               "transaction_type", "amount_usd", "is_flagged"]
+    keys = ["customer_key", "transaction_key", "amount_usd"]
     cents = exact.hundredths(F.col("amount_usd"))
     far = (
-        join_per_key(star.fact.select(*columns), usual, "customer_key", "p_amounts", ["transaction_key"])
+        join_per_key(star.fact.select(*keys), usual, "customer_key", "p_amounts", ["transaction_key"])
         .filter(cents >= F.col("mean") + 3 * F.col("deviation"))
         .withColumn("times_above_average", exact.ratio(cents, F.col("mean")))
-        .join(star.customer.select("customer_key", "full_name", "customer_segment"), "customer_key")
     )
     order = [F.col("times_above_average").desc_nulls_last(), F.col("transaction_key"), F.col("amount_usd")]
-    return top(far, count, *order).select(
+    named = far.join(star.customer.select("customer_key"), "customer_key")
+    # At most `count` rows, hence small enough to broadcast; rows of the fact that are equal in these keys rank equal.
+    chosen = F.broadcast(top(named, count, *order).dropDuplicates(keys)).alias("chosen")
+    rows = star.fact.select(*keys, "transaction_id", "transaction_datetime", "channel", "transaction_type", "is_flagged")
+    found = (
+        rows.join(chosen, reduce(Column.__and__, [rows[key].eqNullSafe(F.col(f"chosen.{key}")) for key in keys]))
+        .select(*[rows[name] for name in rows.columns], "mean", "deviation", "times_above_average")
+        .join(star.customer.select("customer_key", "full_name", "customer_segment"), "customer_key")
+    )
+    return top(found, count, *order).select(
         "transaction_id",
         "customer_key",
         "full_name",

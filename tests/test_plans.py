@@ -52,3 +52,10 @@ def test_top_rows_are_not_sorted_globally(spark, small_folder):
 def test_the_audit_reads_the_fact_once(spark, small_folder):
     plan = plan_of(contract.queries()["a2_orphan_audit"](spark, small_folder))
     assert len(re.findall(r"FileScan parquet [^\n]*fact_transactions", plan)) == 1
+
+
+def test_outliers_are_chosen_on_narrow_rows(spark, small_folder):
+    plan = plan_of(contract.queries()["q20_amount_outliers"](spark, small_folder))
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\][^\n]*fact_transactions", plan)
+    assert {"customer_key", "transaction_key", "amount_usd"} in [{c.split("#")[0] for c in scan.split(",")} for scan in scans]
+    assert "TakeOrderedAndProject" in plan

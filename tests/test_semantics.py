@@ -239,3 +239,13 @@ def test_months_and_channels_add_up_to_the_total(spark, small_folder):
     assert scores[0] >= 20 and scores[1] <= 100
     sizes = [r["count"] for r in scoring.ntile_scores(star).groupBy("velocity_score").count().collect()]
     assert max(sizes) - min(sizes) <= 1
+
+
+def test_outliers_without_a_key_and_outliers_twice(mini):
+    """Rows that are equal in all that ranks them are each listed once, also without a transaction key."""
+    far = [{"amount_usd": "900.00", "transaction_key": None, "transaction_id": "a"}, {"amount_usd": "900.00", "transaction_key": None, "transaction_id": "b"}]
+    twice = [{"amount_usd": "900.00", "transaction_key": 7, "transaction_id": "c"}] * 2
+    star = mini([{"amount_usd": "1.00"}] * 60 + far + twice)
+    assert [r["transaction_id"] for r in anomalies.amount_outliers(star, 50).collect()][2:] == ["c", "c"]
+    assert {r["transaction_id"] for r in anomalies.amount_outliers(star, 50).collect()} == {"a", "b", "c"}
+    assert len(anomalies.amount_outliers(star, 3).collect()) == 3
