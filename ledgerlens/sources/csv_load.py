@@ -134,7 +134,7 @@ def load_csv_table(
     field that does not fit its type, goes to the folder `rejected_path` as it
     was read, byte for byte, which is replaced too. A quoted field that is not closed within `most_lines`
     lines, or in its file, is a stray quote: its lines are taken one by one.
-    Lines are read and parsed once: what was parsed is kept in a table of the session's
+    Lines are looked through for open fields, and read and parsed once: what was parsed is kept in a table of the session's
     shared folder, split from there, and dropped. Only the lines of records that go over several are put together and parsed again.
     """
     schema = SCHEMAS[name]
@@ -164,13 +164,23 @@ def load_csv_table(
             F.monotonically_increasing_id().alias("place"),  # rises from line to line within a split
         )
         outside, inside = _leaves_open(F.col("line")), _leaves_open(F.concat(F.lit('"'), "line"))
+        # Some files have a line that leaves a field open; a row per file can be broadcast. Only there, lines can belong
+        # together. Elsewhere the text of a line that fits the table is not needed any more.
+        opened = F.broadcast(read.filter(outside).select("file").distinct().withColumn("opened", F.lit(True)))
+        good = F.col(f"fields.{BAD_LINE}").isNull()
+        text = F.when(F.col("opened") | ~good | (F.col("line") == ""), F.col("line"))
         lines = write_table(
-            parsed(read).withColumns({"outside": outside.cast("int"), "inside": inside.cast("int")}), "parsed-lines"
-        )
+            parsed(read).join(opened, "file", "left").select(
+                "file", "block", "place", "fields", text.alias("line"),
+                outside.cast("int").alias("outside"), inside.cast("int").alias("inside"),
+            ),
+            "parsed-lines",
+            "zstd",
+        )
         place = [*_SPLIT, "place"]
         firsts = lines.groupBy("file").agg(F.min(F.struct("block", "place")).alias("first"))
-        headers = firsts.select("file", "first.*")
-        records = lines.filter("line <> ''")
+        headers = F.broadcast(firsts.select("file", "first.*"))
+        records = lines.filter("line is null or line <> ''")
         if not lines.filter("outside = 1").isEmpty():
             parts = write_table(_parts(lines, most_lines), "csv-records")
             # Empty lines inside a field belong to it.
@@ -179,7 +189,6 @@ def load_csv_table(
             glued = parsed(joined.select("file", "start.*", "line"))
             records = records.join(parts, place, "left_anti").select(*place, "line", "fields").unionByName(glued)
         records = records.join(headers, place, "left_anti")
-        good = F.col(f"fields.{BAD_LINE}").isNull()
         accepted = replace(records.filter(good).select(*columns), target)
         return Load(accepted, replace(records.filter(~good).select(F.col("line").alias(BAD_LINE)), rejected_path(target)))
 

@@ -9,7 +9,8 @@ from decimal import Decimal
 import pytest
 
 from ledgerlens.plans.audits import orphan_audit
-from ledgerlens.session import new_table_path
+from ledgerlens.session import new_table_path, write_table
+from ledgerlens.sources import csv_load
 from ledgerlens.sources.csv_load import load_csv_table, load_star
 from ledgerlens.sources.schema import SCHEMAS
 from ledgerlens.sources.star import Star
@@ -200,3 +201,24 @@ def test_a_stray_quote_takes_nothing_along(spark, tmp_path):
 def test_a_header_over_two_lines_and_empty_lines(spark, tmp_path):
     got = load(spark, tmp_path, [HEADER.replace("channel", '"chan\r\nnel"'), "", line(1), "", line(2), ""])
     assert got.counts().first().asDict() == {"accepted_rows": 2, "rejected_rows": 0}
+
+
+def test_the_text_of_lines_that_fit_is_not_written_again(spark, tmp_path, monkeypatch):
+    """Only files with an open field keep all lines; elsewhere, those that do not fit."""
+    kept = []
+
+    def watched(frame, label, *codec):
+        stored = write_table(frame, label, *codec)
+        if label == "parsed-lines":
+            kept.extend(r[0] for r in stored.filter("line is not null").select("line").collect())
+        return stored
+
+    monkeypatch.setattr(csv_load, "write_table", watched)
+    (tmp_path / "in").mkdir()
+    plain, open_field = [HEADER, line(1), "bad", "", line(2)], [HEADER, line(3, channel="a\r\nb"), line(4)]
+    for name, lines in (("plain", plain), ("open", open_field)):
+        (tmp_path / "in" / f"{name}.csv").write_bytes(("\r\n".join(lines) + "\r\n").encode())
+    got = load_csv_table(spark, "fact_transactions", str(tmp_path / "in"), new_table_path(spark, "loaded"))
+    assert {r["transaction_key"]: r["channel"] for r in got.accepted.collect()} == {1: "Web", 2: "Web", 3: "a\r\nb", 4: "Web"}
+    assert raw(got.rejected) == [b"bad"]
+    assert line(1) not in kept and {"bad", "", HEADER, line(4)} <= set(kept)
