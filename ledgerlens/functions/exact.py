@@ -155,4 +155,7 @@ def with_outlier_limit(
 def epoch_micros(moment: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session zone."""
     since = moment - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return (since.cast("interval second").cast("decimal(20,6)") * 1000000).cast("bigint")
+    # Parts of an interval carry its sign and need no wide decimals.
+    days, hours, minutes, seconds = (F.extract(F.lit(part), since) for part in ("DAY", "HOUR", "MINUTE", "SECOND"))
+    whole = (days.cast("bigint") * 24 + hours) * 60 + minutes
+    return whole * 60000000 + (seconds * 1000000).cast("bigint")

@@ -34,19 +34,10 @@ class _Probe:
     prefix: int
     open: int
 
-    def digit(self, key: str) -> Column:
-        """The next bits of a row's number, -1 for a missing key, or null for other rows."""
-        number = F.col(self.signal if self.at is None else key).cast("bigint")
-        flipped = number.bitwiseXOR(F.lit(_SIGN))
-        step = min(self.open, DIGIT_BITS)
-        prefix = self.prefix if self.prefix < -_SIGN else self.prefix + 2 * _SIGN  # as a signed number
-        inside = F.lit(True) if self.open == 64 else F.shiftrightunsigned(flipped, self.open) == F.lit(prefix)
-        rest = F.shiftrightunsigned(flipped, self.open - step).bitwiseAND((1 << step) - 1)
-        digit = F.when(inside, rest)
-        if self.at is None:
-            return digit
-        same = F.col(self.signal).cast("bigint").eqNullSafe(F.lit(self.at[0]).cast("bigint"))
-        return F.when(same, F.when(number.isNull(), -1).otherwise(digit))
+    def row(self) -> tuple:
+        """The value found, if any, the bits found as a signed number, how many are open, and how many of them are next."""
+        prefix = self.prefix if self.prefix < -_SIGN else self.prefix + 2 * _SIGN
+        return self.at is not None, self.at[0] if self.at else None, prefix, self.open, min(self.open, DIGIT_BITS)
 
     def at_digit(self, digit: int) -> _Probe:
         step = min(self.open, DIGIT_BITS)
@@ -66,9 +57,23 @@ def _common_prefix(least: int, most: int) -> tuple[int, int]:
 
 def _histograms(frame: DataFrame, probes: list[_Probe], key: str) -> dict[_Probe, list[tuple[int, int]]]:
     """How many rows of each probe have which digit: one pass, of which each task returns counts only."""
-    digits = [F.struct(F.lit(i).alias("probe"), probe.digit(key).cast("int").alias("digit")) for i, probe in enumerate(probes)]
-    inside = F.filter(F.array(*digits), lambda d: d["digit"].isNotNull())
-    counted = frame.select(F.explode(inside).alias("d")).groupBy("d.probe", "d.digit").count().collect()
+    signals = list(dict.fromkeys(probe.signal for probe in probes))
+    # Probes are rows rather than expressions, as the code generated for dozens of these would be too long to be compiled.
+    wanted = frame.sparkSession.createDataFrame(
+        [(i, signals.index(probe.signal), *probe.row()) for i, probe in enumerate(probes)],
+        "probe int, signal int, by_key boolean, at bigint, prefix bigint, open int, step int",
+    )
+    values = F.array(*[F.struct(F.lit(i).alias("signal"), F.col(s).cast("bigint").alias("value")) for i, s in enumerate(signals)])
+    rows = frame.select(F.col(key).cast("bigint").alias("key"), F.inline(values)).join(F.broadcast(wanted), "signal")
+    number = F.when(F.col("by_key"), F.col("key")).otherwise(F.col("value"))
+    flipped = number.bitwiseXOR(F.lit(_SIGN))
+    inside = (F.col("open") == 64) | (F.call_function("shiftrightunsigned", flipped, F.col("open")) == F.col("prefix"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("step")) - 1
+    rest = F.call_function("shiftrightunsigned", flipped, F.col("open") - F.col("step")).bitwiseAND(mask).cast("int")
+    same = ~F.col("by_key") | F.col("value").eqNullSafe(F.col("at"))
+    # The next bits of a row's number, -1 for a missing key, or null for rows of other probes.
+    digit = F.when(same, F.when(F.col("by_key") & F.col("key").isNull(), -1).otherwise(F.when(inside, rest)))
+    counted = rows.select("probe", digit.alias("digit")).filter("digit is not null").groupBy("probe", "digit").count().collect()
     found: dict[_Probe, list[tuple[int, int]]] = {probe: [] for probe in probes}
     for row in sorted(counted):
         found[probes[row["probe"]]].append((row["digit"], row["count"]))
