@@ -58,7 +58,7 @@ def _common_prefix(least: int, most: int) -> tuple[int, int]:
 def _histograms(frame: DataFrame, probes: list[_Probe], key: str) -> dict[_Probe, list[tuple[int, int]]]:
     """How many rows of each probe have which digit: one pass, of which each task returns counts only."""
     signals = list(dict.fromkeys(probe.signal for probe in probes))
-    # Probes are rows rather than expressions, as the code generated for dozens of these would be too long to be compiled.
+    # Probes are rows rather than expressions: a filter on an array of dozens of these would be interpreted for each row.
     wanted = frame.sparkSession.createDataFrame(
         [(i, signals.index(probe.signal), *probe.row()) for i, probe in enumerate(probes)],
         "probe int, signal int, by_key boolean, at bigint, prefix bigint, open int, step int",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import DataFrame, Window
@@ -121,3 +122,27 @@ def test_running_total_equals_range_window(spark):
     wanted = sorted(map(tuple, wanted.collect()), reverse=True)[:12]
     got = sorted(map(tuple, running_total_by_value(frame, "v", 12, "t").collect()), reverse=True)
     assert got == wanted
+
+
+def test_a_pass_for_many_cutoffs_is_compiled(spark, monkeypatch, capsys):
+    """Functions on array elements are interpreted for each row, and so are methods beyond 8000 bytes."""
+    signals = [f"s{i}" for i in range(7)]
+    frame = write_table(spark.range(500).select("id", *[(F.col("id") * (i + 3) % 11).alias(s) for i, s in enumerate(signals)]), "test")
+    probes = [ranking._Probe(s, at, prefix, 4) for s in signals for at, prefix in ((None, 1 << 59), ((2,), 1 << 59), ((3,), 1 << 59), ((None,), 0))]
+    collect = type(frame).collect
+
+    def watched(self):
+        rows = collect(self)
+        self.explain("codegen")
+        return rows
+
+    monkeypatch.setattr(type(frame), "collect", watched)
+    found = ranking._histograms(frame, probes, "id")
+    monkeypatch.undo()
+    plan = capsys.readouterr().out
+    sizes = list(map(int, re.findall(r"maxMethodCodeSize:(\d+)", plan)))
+    for i, s in enumerate(signals):
+        values = [n * (i + 3) % 11 for n in range(500)]
+        assert found[probes[4 * i]] == [(v, values.count(v)) for v in range(11) if v in values]
+        assert found[probes[4 * i + 1]] == [(n, 1) for n in range(16) if values[n] == 2]
+    assert sizes and max(sizes) < 8000 and "lambda" not in plan
