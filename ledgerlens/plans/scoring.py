@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import exact
 from ledgerlens.functions.labels import RISK_TIERS, place_in
 from ledgerlens.functions.measures import MOMENTS, PARTS, moments
-from ledgerlens.operators.hot_keys import join_per_key
+from ledgerlens.operators.hot_keys import broadcast_by_rows, join_per_key
 from ledgerlens.operators.ranking import top, with_quantiles
 from ledgerlens.operators.velocity import velocity_leaders
 from ledgerlens.session import write_result, write_table
@@ -67,7 +67,7 @@ def customer_activity(star: Star, geo: bool = True, shell: bool = True) -> DataF
     sums = {name: F.sum(name) for name in cells}
     if shell:
         flags = star.merchant.select("merchant_key", F.col("is_shell_merchant").alias("shell"), F.lit(1).alias("m"))
-        rows = rows.join(flags, "merchant_key", "left")
+        rows = rows.join(broadcast_by_rows(flags), "merchant_key", "left")
         cells["merchant_rows"] = F.count("m")
         cells["shell_rows"] = F.count(F.when(F.col("shell") == 1, 1))
         sums |= {name: F.sum(name) for name in ("merchant_rows", "shell_rows")}
@@ -89,7 +89,7 @@ def customer_activity(star: Star, geo: bool = True, shell: bool = True) -> DataF
             F.lit(True).alias("located"),
         )
         homes = star.customer.select("customer_key", F.col("country").alias("home"), F.lit(True).alias("known"))
-        parts = parts.join(places, "location_key", "left").join(homes, "customer_key", "left")
+        parts = parts.join(places, "location_key", "left").join(broadcast_by_rows(homes), "customer_key", "left")
     return parts.groupBy("customer_key").agg(*[column.alias(name) for name, column in sums.items()])
 
 

@@ -12,6 +12,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.hot_keys import broadcast_by_rows
 from ledgerlens.session import new_table_path, write_table
 from ledgerlens.sources.csv_load import NULL_FIELD
 from ledgerlens.sources.schema import SCHEMAS
@@ -69,7 +70,7 @@ def _fact_transactions(lineitem: DataFrame, orders: DataFrame, customer: DataFra
     moment = F.lit(f"{FIRST_DAY} 00:00:00").cast("timestamp_ntz") + F.lit(datetime.timedelta(seconds=1)) * second
     # Orders meet customers first, as they are fewer than line items: these move once, and narrow.
     placed = orders.select("o_orderkey", "o_custkey", "o_orderstatus", day.alias("day")).join(
-        customer.select("c_custkey", "c_nationkey"), buyer == F.col("c_custkey")
+        broadcast_by_rows(customer.select("c_custkey", "c_nationkey")), buyer == F.col("c_custkey")
     )
     price = F.col("l_extendedprice").cast("decimal(18,2)").alias("price")
     rows = (

@@ -6,6 +6,7 @@ import datetime
 import random
 
 import pytest
+from compare import plan_of
 from pyspark.sql import functions as F
 from stars import frame_of
 
@@ -64,6 +65,37 @@ def test_join_per_key_divides_the_hot_key(spark):
     assert max(r["count"] for r in sizes) < 2 * 30000 / 16
 
 
+def test_join_per_key_never_broadcasts_many_rows_of_small_files(spark):
+    """No key is hot, so that the list of hot ones is empty, and the files are far below the limit."""
+    table = write_table(spark.range(40000).select(F.col("id").alias("k"), F.lit(5).cast("long").alias("w")), "test")
+    rows = spark.range(200000).select((F.col("id") % 40000).alias("k"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        joined = join_per_key(rows, table, "k", "w", ["id"])
+        assert len(joined.collect()) == 200000
+        plan = plan_of(joined).split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_customers_and_merchants_are_broadcast_by_their_rows(spark, mini, tmp_path):
+    """Files of many like rows are below the limit for broadcasts, what the driver would hold of them is not."""
+    facts = [{"customer_key": 1, "location_key": 1}, {"customer_key": 1, "location_key": 2}, {"customer_key": None}, {"customer_key": -1}]
+    star = mini(facts, dim_location=[{"location_key": 1, "country": "A"}, {"location_key": 2, "country": "B"}])
+    tables = {}
+    for name, key in (("dim_customer", "customer_key"), ("dim_merchant", "merchant_key")):
+        schema, path = star.table(name).schema, str(tmp_path / name)
+        alike = {key: F.col("id"), "country": F.lit("A"), "is_shell_merchant": F.lit(1)}
+        row = [alike.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        spark.range(800_000).select(*row).coalesce(1).write.parquet(path)
+        tables[name] = spark.read.schema(schema).parquet(path)
+    activity = scoring.customer_activity(Star(spark, lambda name: tables.get(name) or star.table(name)))
+    assert "BroadcastExchange" not in plan_of(activity)
+    got = activity.select("customer_key", "total_txns", "shell_rows", "geo_mismatch_count").collect()
+    assert sorted(map(tuple, got), key=str) == [(-1, 1, 1, None), (1, 2, 2, 1), (None, 1, 1, None)]
+
+
 @pytest.fixture(scope="module")
 def hot_star(spark):
     """A third of the rows on one customer, account, merchant and location, many of them at one instant."""
